@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, hilbert, idfiles, neardup, packing, pieces, quality, warc
+from . import fingerprint, hilbert, idfiles, neardup, packing, phrases, pieces, quality, suffixes, warc
 from .scratch import Scratch
 
 
@@ -46,6 +46,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
 
 
+def op5_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = phrases.remove_repeated(_table(spark, sf_dir, "documents"), width=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "idfiles").path("ids")
     idfiles.write_ids(_table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2)
@@ -72,7 +77,23 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.remove_repeated(_table(spark, sf_dir, "documents"), width=100)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_near_duplicates, op3_sentencepiece, op4_quality_rules, op6_token_files, op7_warc, op8_hilbert_shards, op9_fingerprints)
+    for f in (
+        op1_packing,
+        op2_near_duplicates,
+        op3_sentencepiece,
+        op4_quality_rules,
+        op5_phrase_automata,
+        op6_token_files,
+        op7_warc,
+        op8_hilbert_shards,
+        op9_fingerprints,
+        op10_suffix_dedup,
+    )
 }
