@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import fresh
+from .scratch import Scratch, fresh
 from .textarrays import gram_hashes, list_array, mix, prefix_hash, slices, sliding_argmin, utf8, word_hashes
 
 FOUND = "array<struct<h:bigint,p:int,lo:int,hi:int>>"
@@ -52,32 +52,47 @@ def of_slice(keys: np.ndarray, firsts: np.ndarray, gram: int, window: int) -> tu
 
 
 def anchors(docs: DataFrame, keys_of, gram: int, window: int) -> DataFrame:
-    """``doc_id, a`` (every anchor: hash, place, window starts from ``lo`` to ``hi``) for ``doc_id, text``."""
+    """``doc_id, t1, t2`` (hashes of the text) and ``a`` (every anchor: hash, place, window starts from ``lo`` to
+    ``hi``) for ``doc_id, text``."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
+            data, offsets = utf8(batch.column(3))
             for first, end, part, bounds in slices(data, offsets):
                 keys, firsts = keys_of(part, bounds, gram)
                 text, h, *places = of_slice(keys, np.asarray(firsts), gram, window)
                 fields = [pa.array(h.view(np.int64)), *[pa.array(x.astype(np.int32)) for x in places]]
                 lists = list_array(pa.StructArray.from_arrays(fields, names=["h", "p", "lo", "hi"]), np.bincount(text, minlength=end - first))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), lists], names=["doc_id", "a"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(first, end - first) for i in range(3)], lists], names=["doc_id", "t1", "t2", "a"])
 
-    return docs.select("doc_id", "text").mapInArrow(tasks, f"doc_id bigint, a {FOUND}")
+    read = docs.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+    return read.mapInArrow(tasks, f"doc_id bigint, t1 bigint, t2 bigint, a {FOUND}")
 
 
-def recurring(found: DataFrame, across_documents: bool) -> DataFrame:
-    """``doc_id, a`` with only those anchors whose hash occurs elsewhere too (in another document).
+def search(docs: DataFrame, keys_of, gram: int, window: int, across_documents: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Where windows may recur: ``doc_id, a`` with the anchors whose hash occurs elsewhere too (in another
+    document), and, apart, the copies: ``doc_id`` of documents whose whole text, of a window or more, a
+    smaller document has.
 
-    Both sides of the join shrink before they move: a hash with a third of all rows is one row a task
-    when it is counted, and is split by the join when its rows are looked up."""
+    Copies leave first, so that a group of them costs a row each from then on. A hash that a third of all
+    rows share is one row a task when it is counted, and is split by the join when its rows are looked up."""
+    found = scratch.write(anchors(docs, keys_of, gram, window), "all")
+    texts = found.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    copies = found.select("doc_id", "t1", "t2", (F.size("a") > 0).alias("whole")).join(texts, ["t1", "t2"]).where(F.col("doc_id") != F.col("first"))
+    copies = scratch.write(copies.select("doc_id", "whole"), "copies")
+    found = scratch.write(found.select("doc_id", "a").join(copies, "doc_id", "left_anti"), "anchors", drop=("all",))
     flat = found.select("doc_id", F.inline("a"))
     if across_documents:
         again = flat.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("h")
     else:
         again = flat.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    return flat.join(again, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "p", "lo", "hi")).alias("a"))
+    hits = flat.join(again, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "p", "lo", "hi")).alias("a"))
+    return scratch.write(hits, "hits", drop=("anchors",)), copies.where("whole").select("doc_id")
+
+
+def whole_spans(copies: DataFrame) -> DataFrame:
+    """A span ``a, b`` over all of each copy."""
+    return copies.select("doc_id", F.lit(0).alias("a"), F.lit((1 << 31) - 1).alias("b"))
 
 
 def numbers(lists: pa.ListArray | pa.ChunkedArray) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -1,7 +1,8 @@
 """Substring deduplication by repeated-phrase automata.
 
 1. Word windows that may recur are found through their anchors (:mod:`anchors`); the stretches of text
-   that hold them are written once.
+   that hold them are written once. Whole copies of a smaller document are found by their texts' hashes
+   and set aside.
 2. Passages are confirmed: a window that starts in several documents belongs to the smallest one.
 3. Confirmed windows are compiled into Aho-Corasick automata, one per shard of owning documents; every
    stretch that may hold one of a shard's windows is streamed through the shard's automaton, which
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import anchors, keyed_documents, merged, numbers, recurring, with_spans, word_keys
+from .anchors import keyed_documents, merged, numbers, search, whole_spans, with_spans, word_keys
 from .scratch import Scratch
 from .textarrays import gram_hashes, list_array, slices, utf8, word_hashes
 
@@ -129,8 +130,8 @@ def repeated_spans(df: DataFrame, width: int = 13, text: str = "text", doc_id: s
     """``doc_id, spans``: the word intervals ``[a, b)`` that windows of smaller documents cover."""
     scratch = Scratch(df.sparkSession, "phrases")
     docs = keyed_documents(df, text, doc_id)
-    found = scratch.write(anchors(docs, word_keys, GRAM, width), "anchors")
-    stretches = scratch.write(_stretches(docs, recurring(found, across_documents=True), width), "stretches", drop=("anchors",))
+    hits, copied = search(docs, word_keys, GRAM, width, True, scratch)
+    stretches = scratch.write(_stretches(docs, hits, width), "stretches", drop=("hits",))
 
     windows = _windows(stretches, width).select("doc_id", "start", F.explode("windows").alias("w"))
     owners = windows.groupBy("w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("w", "owner")
@@ -150,6 +151,7 @@ def repeated_spans(df: DataFrame, width: int = 13, text: str = "text", doc_id: s
     dealt = both.withColumn("task", F.explode(F.when(F.col("is_owner"), F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(one)))
     with_text = dealt.join(stretches, ["doc_id", "start"]).select("shard", "task", "doc_id", "start", "owned", "words")
     located = with_text.groupBy("shard", "task").applyInArrow(_scan(width), "doc_id bigint, a int, b int")
+    located = located.unionByName(whole_spans(copied))
     return scratch.write(located.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans", drop=("visits", "stretches"))
 
 

@@ -1,7 +1,8 @@
 """Suffix-array deduplication by bucket-pointer refinement, sharded over contexts of recurring anchors.
 
 1. Every ``width``-byte string has an anchor (:mod:`anchors`); strings whose anchor occurs once are unique.
-   An anchor's context is the stretch of bytes that holds all the strings it anchors there.
+   An anchor's context is the stretch of bytes that holds all the strings it anchors there. Whole copies of
+   a smaller document are found by their texts' hashes and set aside.
 2. Equal contexts collapse: in all but the first every string recurs, and only the first goes on.
 3. Contexts are sharded by anchor. In a shard the suffixes are put in buckets by q-gram, and buckets are
    refined by sorting on the bucket identifiers of later offsets: 2q bytes from the buckets q further
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import anchors, byte_keys, keyed_documents, merged, numbers, recurring, with_spans
+from .anchors import byte_keys, keyed_documents, merged, numbers, search, whole_spans, with_spans
 from .scratch import Scratch, fresh
 from .textarrays import mix, prefix_hash
 
@@ -138,10 +139,10 @@ def repeated_spans(df: DataFrame, width: int = 100, text: str = "text", doc_id:
     """``doc_id, spans``: the byte intervals ``[a, b)`` covered by strings that also start earlier."""
     scratch = Scratch(df.sparkSession, "suffixes")
     docs = keyed_documents(df, text, doc_id)
-    found = scratch.write(anchors(docs, byte_keys, GRAM, width), "anchors")
-    contexts = _contexts(docs, recurring(found, across_documents=False), width)
-    keys = [F.xxhash64("context").alias("k1"), F.xxhash64("context", F.lit(1)).alias("k2")]
-    contexts = scratch.write(contexts.select("h", "doc_id", "lo", "context", *keys), "contexts", drop=("anchors",))
+    hits, copied = search(docs, byte_keys, GRAM, width, False, scratch)
+    contexts = _contexts(docs, hits, width)
+    keys = [F.xxhash64("context").alias("k1"), F.xxhash64(F.lit(1), "context").alias("k2")]
+    contexts = scratch.write(contexts.select("h", "doc_id", "lo", "context", *keys), "contexts", drop=("hits",))
 
     place = F.struct("doc_id", "lo")
     firsts = contexts.groupBy("h", "k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.min_by("context", place).alias("context"))
@@ -156,7 +157,7 @@ def repeated_spans(df: DataFrame, width: int = 100, text: str = "text", doc_id:
     cold, hot = left.where(F.col("different") <= shard_contexts), left.where(F.col("different") > shard_contexts)
     shards = max(1, math.ceil(2 * left.count() / shard_contexts))
     refined = cold.select("doc_id", "lo", "context", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(_refine(width), "doc_id bigint, a int, b int")
-    spans = copies.unionByName(refined).unionByName(_by_string(hot, width))
+    spans = whole_spans(copied).unionByName(copies).unionByName(refined).unionByName(_by_string(hot, width))
     return scratch.write(spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans", drop=("contexts", "firsts", "left"))
 
 
