@@ -149,16 +149,16 @@ def repeated_spans(df: DataFrame, width: int = 100, text: str = "text", doc_id:
     firsts = scratch.write(firsts, "firsts")
     size = F.octet_length("context")
     copies = contexts.join(firsts.where("n > 1").select("h", "k1", "k2", "first"), ["h", "k1", "k2"]).where(place != F.col("first"))
-    copies = copies.select("doc_id", F.col("lo").alias("a"), (F.col("lo") + size).alias("b"))
+    copies = scratch.write(copies.select("doc_id", F.col("lo").alias("a"), (F.col("lo") + size).alias("b")), "copied", drop=("contexts",))
 
     several = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
     left = firsts.join(several, "h").select("h", "first.doc_id", "first.lo", "context", "different")
-    left = scratch.write(left, "left")
+    left = scratch.write(left, "left", drop=("firsts",))
     cold, hot = left.where(F.col("different") <= shard_contexts), left.where(F.col("different") > shard_contexts)
     shards = max(1, math.ceil(2 * left.count() / shard_contexts))
     refined = cold.select("doc_id", "lo", "context", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(_refine(width), "doc_id bigint, a int, b int")
     spans = whole_spans(copied).unionByName(copies).unionByName(refined).unionByName(_by_string(hot, width))
-    return scratch.write(spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans", drop=("contexts", "firsts", "left"))
+    return scratch.write(spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans", drop=("left",))
 
 
 def _whole_characters(body: bytes, a: int, b: int) -> tuple[int, int]:
