@@ -9,8 +9,8 @@ Texts with equal sets form one class from here on, so that copies cost nothing f
 Phase 2 links classes. In each band bucket every member is paired with the bucket's smallest member
 (pairs grow with the members, not their square); pairs whose sketches are too far apart are dropped,
 the others are confirmed on their full sets, and components are formed. Buckets that still hold
-several components are compared in blocks with numpy, by sketch, across components only; what the
-sketches let through is confirmed in the same way. No pair within a component is ever emitted there.
+several components are compared in blocks with numpy, across components only: by sketch, then on
+full sets. A block returns at most one link per two components that it joins, never its pairs.
 
 Defined results: a text without words, or a null one, has an empty set and links with nothing; a null
 doc_id links with nothing, gets a null component and is kept; rows repeated with one doc_id are one
@@ -33,7 +33,7 @@ from .textarrays import list_array, mix, shingle_sets
 
 ROWS, BANDS = 4, 28
 SKETCH_BITS, SKETCH_SAMPLES = 2048, 512
-BLOCK = 1024
+BLOCK = 2048
 
 _SET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 _rng = np.random.default_rng(20100617)
@@ -144,36 +144,53 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= union * percent).select("a", "b")
 
 
-def _across(members: DataFrame, limit: int, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of different components that share a bucket and whose sketches and sizes allow a link.
+def _across(placed: DataFrame, described: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Links ``a, b`` between different components, confirmed on full sets, enough to join what they join.
 
-    ``members`` has ``bucket, id, component, n, sketch, place`` (the member's number in its bucket) and
-    ``size`` (the bucket's). A bucket is cut in blocks of BLOCK; a block meets itself and each later one."""
+    ``placed`` has ``bucket, id, component``, ``place`` (the member's number in its bucket) and ``size`` (the
+    bucket's); ``described`` has ``id, bands, sketch, shingles``. A bucket is cut in blocks of BLOCK members; a
+    block meets itself and each later one. Each pair is looked at in the first bucket that it shares."""
     blocks = F.floor((F.col("size") - 1) / BLOCK)
     own = F.floor(F.col("place") / BLOCK)
     meets = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks), lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y")))
-    dealt = members.select("bucket", "id", "component", "n", "sketch", own.alias("block"), F.explode(meets).alias("m"))
-    dealt = dealt.select("bucket", "id", "component", "n", "sketch", "block", F.col("m.x").alias("x"), F.col("m.y").alias("y"))
+    dealt = placed.select("bucket", "id", "component", own.alias("block"), F.inline(meets)).join(described, "id")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        ids, comps, sizes = (table.column(c).to_numpy() for c in ("id", "component", "n"))
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
-        block = table.column("block").to_numpy()
-        x, y = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
-        a, b = [], []
-        for i in left:
+        bucket, x, y = (k.as_py() for k in key)
+        table = table.combine_chunks()
+        ids, root, block = (table.column(c).to_numpy().copy() for c in ("id", "component", "block"))
+        n = len(ids)
+        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(n, -1)
+        bands = np.array(table.column("bands").to_pylist(), dtype=np.int64)
+        lists = table.column("shingles").combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        values = lists.flatten().to_numpy(zero_copy_only=False)
+        places, member = np.unique(values, return_inverse=True)
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        inside = np.zeros(len(places), dtype=np.int64)
+        links: list[tuple[int, int]] = []
+        right = np.flatnonzero(block == y)
+        for i in np.flatnonzero(block == x).tolist():
             other = right if x != y else right[ids[right] > ids[i]]
-            other = other[comps[other] != comps[i]]
-            other = other[(100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i]))]
-            near = other[np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1) <= limit]
-            a.append(np.full(len(near), ids[i]))
-            b.append(ids[near])
-        a = np.concatenate(a) if a else np.zeros(0, np.int64)
-        b = np.concatenate(b) if b else np.zeros(0, np.int64)
-        return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
-
-    return dealt.groupBy("bucket", "x", "y").applyInArrow(compare, "a bigint, b bigint").distinct()
+            other = other[root[other] != root[i]]
+            other = other[100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i])]
+            other = other[np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1) <= limit]
+            first = bands[i][np.argmax(bands[other] == bands[i], axis=1)] if len(other) else other
+            other = other[first == bucket]
+            if not len(other):
+                continue
+            own_part = member[begins[i] : begins[i + 1]]
+            inside[own_part] = 1
+            flat = np.concatenate([member[begins[j] : begins[j + 1]] for j in other.tolist()])
+            common = np.add.reduceat(inside[flat], np.concatenate([[0], np.cumsum(sizes[other])[:-1]]))
+            inside[own_part] = 0
+            for j in other[100 * common >= percent * (sizes[i] + sizes[other] - common)].tolist():
+                if root[j] != root[i]:
+                    links.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+                    root[root == root[j]] = root[i]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return dealt.groupBy("bucket", "x", "y").applyInArrow(compare, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id", lower: bool = True) -> DataFrame:
@@ -195,22 +212,22 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, text: str
     pairs = _sketched(starred.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), classes, limit)
     pairs = scratch.write(pairs, "pairs")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("wanted")).unionByName(pairs.select(F.col("b").alias("wanted"))).distinct()
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        wanted = ids.select(F.col(ids.columns[0]).alias("wanted")).distinct()
         texts = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
-        found = _sets(texts.join(wanted, texts["id"] == wanted["wanted"], "left_semi"), width, "text", "id", lower)
-        sets = scratch.write(found, f"{name}-sets")
-        return scratch.write(_confirm(pairs, sets, percent), f"{name}-links", drop=(f"{name}-sets",))
+        return scratch.write(_sets(texts.join(wanted, texts["id"] == wanted["wanted"], "left_semi"), width, "text", "id", lower), name)
 
-    links = confirmed(pairs, "star")
+    sets = sets_of(pairs.select("a").union(pairs.select("b")), "star-sets")
+    links = scratch.write(_confirm(pairs, sets, percent), "star-links", drop=("star-sets", "pairs"))
     labels = components(links, scratch, "first")
-    labelled = classes.join(labels, "id", "left").select("id", "n", "bands", F.coalesce("component", "id").alias("component"))
-    spread = labelled.select("id", "n", "component", F.explode("bands").alias("bucket"))
+    labelled = classes.join(labels, "id", "left").select("id", "bands", F.coalesce("component", "id").alias("component"))
+    spread = labelled.select("id", "component", F.explode("bands").alias("bucket"))
     open_ = spread.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    open_ = scratch.write(open_.select("bucket", "size"), "open")
-    members = spread.join(open_, "bucket").join(classes.select("id", "sketch").dropDuplicates(["id"]), "id")
-    more = scratch.write(_across(_numbered(members), limit, percent).join(pairs, ["a", "b"], "left_anti"), "more")
-    links = links.unionByName(confirmed(more, "across"))
+    members = scratch.write(spread.join(open_.select("bucket", "size"), "bucket"), "members")
+    shingles = sets_of(members.select("id"), "across-sets")
+    described = classes.select("id", "bands", "sketch").join(shingles, "id")
+    across = scratch.write(_across(_numbered(members), described, limit, percent), "across-links", drop=("members", "across-sets"))
+    links = links.unionByName(across)
 
     # Rows of one doc_id are one document: their classes' representatives are joined by their ids.
     rows = docs.where("doc_id is not null and n > 0").select("doc_id", "n", "f1", "f2").join(classes.select("n", "f1", "f2", "id"), ["n", "f1", "f2"])
