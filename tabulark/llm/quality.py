@@ -153,4 +153,8 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") ->
 def keep_good(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows that no rule rejects, with the columns of ``df``."""
     judged, at = judge(df, rules, text)
-    return judged.where(F.col(at["kept"])).select(*[F.col(f"`{c}`") for c in df.columns])
+    # The optimizer does not move a filter below a row number. Moved below the metrics it would hold each of
+    # them written out once for every use of every step, and planning would not end.
+    row = fresh(judged, "_q_row")
+    numbered = judged.withColumn(row, F.monotonically_increasing_id())
+    return numbered.where(F.col(at["kept"]) & (F.col(row) >= 0)).select(*[F.col(f"`{c}`") for c in df.columns])
