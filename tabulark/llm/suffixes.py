@@ -33,6 +33,8 @@ from .textarrays import mix, prefix_hash
 
 GRAM = 32
 SHARD_CONTEXTS = 8_000
+# So many shards to that number of contexts: most hold an eighth of it, one with a frequent anchor little over it.
+SHARDS_PER_BOUND = 8
 
 _CONTEXT = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("context", pa.binary())])
 
@@ -60,32 +62,38 @@ def _contexts(docs: DataFrame, hits: DataFrame, width: int) -> DataFrame:
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
-    """Bucket identifiers: the rank of each key."""
-    return np.unique(keys, return_inverse=True)[1].astype(np.int64)
+    """Bucket identifiers: the rank of each key, in 32 bits, as a shard's positions are far fewer."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    rank = np.zeros(len(keys), dtype=np.int32)
+    rank[order[1:]] = np.cumsum(ordered[1:] != ordered[:-1], dtype=np.int32)
+    return rank
 
 
 def refined_buckets(data: np.ndarray, offsets: np.ndarray, width: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which ``width`` bytes of one text start, and their buckets: equal if the bytes are.
 
     ``data`` is the texts' bytes and ``offsets`` their n + 1 bounds."""
-    ends = np.repeat(offsets[1:], np.diff(offsets))  # of the text that each position is in
-    reach, places = gram, np.arange(len(data))
-    room = ends - places
+    reach = gram
     if len(data) < gram:
-        return places[:0], places[:0]
-    sums, inverse = prefix_hash(data)
-    n = len(data) - gram + 1
-    bucket = np.full(len(data), -1, dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        return none, none
+    # How far each position's text goes on.
+    room = np.repeat(offsets[1:].astype(np.int32), np.diff(offsets)) - np.arange(len(data), dtype=np.int32)
+    bucket = np.full(len(data), -1, dtype=np.int32)
     at = np.flatnonzero(room >= gram)
-    at = at[at < n]
-    bucket[at] = _dense(mix((sums[at + gram] - sums[at]) * inverse[at]))
+    sums, inverse = prefix_hash(data)
+    grams = mix((sums[at + gram] - sums[at]) * inverse[at])
+    del sums, inverse
+    bucket[at] = _dense(grams)
+    del grams
     while reach < width:
         step = min(reach, width - reach)
         at = np.flatnonzero(room >= reach + step)
         if not len(at):
             return at, at
-        pairs = bucket[at] * (int(bucket.max()) + 1) + bucket[at + step]
-        bucket = np.full(len(data), -1, dtype=np.int64)
+        pairs = bucket[at].astype(np.int64) * (int(bucket.max()) + 1) + bucket[at + step]
+        bucket[:] = -1
         bucket[at] = _dense(pairs)
         reach += step
     at = np.flatnonzero(room >= width)
@@ -155,7 +163,7 @@ def repeated_spans(df: DataFrame, width: int = 100, text: str = "text", doc_id:
     left = firsts.join(several, "h").select("h", "first.doc_id", "first.lo", "context", "different")
     left = scratch.write(left, "left", drop=("firsts",))
     cold, hot = left.where(F.col("different") <= shard_contexts), left.where(F.col("different") > shard_contexts)
-    shards = max(1, math.ceil(2 * left.count() / shard_contexts))
+    shards = max(1, math.ceil(SHARDS_PER_BOUND * left.count() / shard_contexts))
     refined = cold.select("doc_id", "lo", "context", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(_refine(width), "doc_id bigint, a int, b int")
     spans = whole_spans(copied).unionByName(copies).unionByName(refined).unionByName(_by_string(hot, width))
     return scratch.write(spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans", drop=("left",))
