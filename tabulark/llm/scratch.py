@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds that the driver gives Spark's cleaner between two collections.
+CLEANER_S = 0.25
+
 _own_folder: list[str] = []
 
 
@@ -30,7 +34,8 @@ class Scratch:
 
     A lost executor costs at most the tasks of the running phase: finished phases are files. Tables
     that a later phase no longer reads are dropped as soon as their successor is written, and the
-    shuffle files of a finished phase are released by asking the driver's collector to run.
+    shuffle files of a finished phase are released by asking the driver's collector to run: once for what
+    holds the phase's plan, and, when Spark's cleaner has seen that, once for the shuffles themselves.
     """
 
     def __init__(self, spark: SparkSession, job: str):
@@ -48,6 +53,8 @@ class Scratch:
             self.drop(old)
         gc.collect()
         self.spark._jvm.System.gc()
+        time.sleep(CLEANER_S)
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
