@@ -4,6 +4,9 @@ The vocabularies split a text at white space, and then into runs of letters, dig
 any merge; a text's ids are the concatenation of its parts' ids. A worker keeps bounded memos of
 space-separated pieces and of their parts, and hands only new parts to the library. The memos change
 no result: the older half is forgotten when they are full.
+
+A vocabulary's added tokens (``<|endoftext|>`` and the like) are the library's by default, wherever a text
+holds their content: the text is cut at them first, as the library does, and each stretch between is a text.
 """
 
 from __future__ import annotations
@@ -85,10 +88,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as file:
-            says = json.load(file)["pre_tokenizer"]
+            whole = json.load(file)
+        says, added = whole["pre_tokenizer"], whole["added_tokens"]
+        self.added = {t["content"]: _packed([t["id"]]) for t in added}
+        # The longest of those that begin at one place comes first, as in the library.
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
+        # Tokens that take in white space, want a word's edge or are sought in normalised text are left to the library.
+        self.plain = not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
         split = next((x for x in says.get("pretokenizers", []) if x["type"] == "Split" and x["behavior"] == "Removed"), None)
         self.drops_space = split is not None
         self.parts = regex.compile(split["pattern"]["Regex"] if split else BYTE_LEVEL_PATTERN)
@@ -126,6 +134,14 @@ class Encoder:
         return learnt
 
     def __call__(self, text: str) -> bytes:
+        if not self.plain:
+            return self._alone(text)
+        if any(content in text for content in self.added):
+            return b"".join([self.added[x] if x in self.added else self._between(x) for x in self.cut.split(text)])
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
+        """The ids of a text without added tokens."""
         if _double.search(text):
             pieces = _pieces.findall(text)
         else:

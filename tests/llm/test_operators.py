@@ -16,6 +16,7 @@ from tabulark.llm import fingerprint, hilbert, idcoder, idfiles, neardup, packin
 from tabulark.llm.oracles import ORACLES
 from tabulark.llm.queries import QUERIES, vocabulary
 from tabulark.llm.tokenize import Encoder
+from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -323,3 +324,26 @@ def test_tokenizer_is_exact():
         for text in texts * 2:
             assert np.frombuffer(encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
     assert pa.__version__ and zlib.crc32(b"") == 0
+
+
+def test_tokenizer_added_tokens():
+    """Against the library as it comes, and through both operators that use the encoder."""
+    texts = ["x <|endoftext|> y", "<|startoftext|>", "a<|startoftext|><|endoftext|>b", "x  <|endoftext|>  \n y", "İ<|endoftext|>\u0301É ", "<|endoftext|", "<|EndOfText|> <|endoftext|>'s", "plain"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encode, library = Encoder(vocabulary(name)), Tokenizer.from_file(vocabulary(name))
+        for text in texts * 2:
+            assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_operators(spark, tmp_path):
+    texts = ["x <|endoftext|> y", "later", "<|startoftext|>z"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    byte, word = (Tokenizer.from_file(vocabulary(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    packed = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(docs, vocabulary("byte_bpe_50k.json"), window=256).collect()}
+    assert packed == {i: [*byte.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    path, at = f"file://{tmp_path}/ids", 0
+    idfiles.write_ids(docs, path, vocabulary("word_bpe_49k.json"), 2)
+    for r in sorted(idfiles.read_ids(spark, path).collect(), key=lambda r: r.doc_id):
+        ids = [*word.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+        assert (r.start, np.frombuffer(r.ids, "<u4").tolist()) == (at, ids)
+        at += len(ids)
