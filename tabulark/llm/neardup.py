@@ -33,7 +33,9 @@ from .textarrays import list_array, mix, shingle_sets
 
 ROWS, BANDS = 4, 28
 SKETCH_BITS, SKETCH_SAMPLES = 2048, 512
-BLOCK = 2048
+# A block has at most so many members, and at most so many shingles besides its last member's: a task holds
+# two blocks, at some 90 bytes a shingle.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 
 _SET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 _rng = np.random.default_rng(20100617)
@@ -147,13 +149,9 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _across(placed: DataFrame, described: DataFrame, limit: int, percent: int) -> DataFrame:
     """Links ``a, b`` between different components, confirmed on full sets, enough to join what they join.
 
-    ``placed`` has ``bucket, id, component``, ``place`` (the member's number in its bucket) and ``size`` (the
-    bucket's); ``described`` has ``id, bands, sketch, shingles``. A bucket is cut in blocks of BLOCK members; a
-    block meets itself and each later one. Each pair is looked at in the first bucket that it shares."""
-    blocks = F.floor((F.col("size") - 1) / BLOCK)
-    own = F.floor(F.col("place") / BLOCK)
-    meets = F.transform(F.sequence(F.lit(0).cast("bigint"), blocks), lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y")))
-    dealt = placed.select("bucket", "id", "component", own.alias("block"), F.inline(meets)).join(described, "id")
+    ``placed`` comes from ``_numbered``; ``described`` has ``id, bands, sketch, shingles``. A bucket is cut in
+    blocks; a block meets itself and each later one. Each pair is looked at in the first bucket that it shares."""
+    dealt = _dealt(placed).join(described, "id")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         bucket, x, y = (k.as_py() for k in key)
@@ -220,8 +218,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, text: str
     sets = sets_of(pairs.select("a").union(pairs.select("b")), "star-sets")
     links = scratch.write(_confirm(pairs, sets, percent), "star-links", drop=("star-sets", "pairs"))
     labels = components(links, scratch, "first")
-    labelled = classes.join(labels, "id", "left").select("id", "bands", F.coalesce("component", "id").alias("component"))
-    spread = labelled.select("id", "component", F.explode("bands").alias("bucket"))
+    labelled = classes.join(labels, "id", "left").select("id", "n", "bands", F.coalesce("component", "id").alias("component"))
+    spread = labelled.select("id", "n", "component", F.explode("bands").alias("bucket"))
     open_ = spread.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
     members = scratch.write(spread.join(open_.select("bucket", "size"), "bucket"), "members")
     shingles = sets_of(members.select("id"), "across-sets")
@@ -239,17 +237,29 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, text: str
     return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _dealt(placed: DataFrame) -> DataFrame:
+    """Every member once for each pair ``x, y`` of blocks of its bucket of which ``block`` (its own) is one."""
+    own, last = (F.floor(F.col(c) / BLOCK_SHINGLES) for c in ("place", "last"))
+    meets = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y")))
+    return placed.select("bucket", "id", "component", own.alias("block"), F.inline(meets))
+
+
 def _numbered(members: DataFrame) -> DataFrame:
-    """Members with ``place``, their number in the bucket. Numbers are given in slices of a bucket, dealt by a
-    hash of the id, so that no task has to sort a bucket that holds a large part of all rows."""
+    """Members (``bucket, id, component, size, n``) with ``place``, the weight of those before them in the bucket,
+    and ``last``, the place of the bucket's last one. A member weighs its shingles, but at least a BLOCK-th of
+    BLOCK_SHINGLES and at most all of it. Places are given in slices of a bucket, dealt by a hash of the id, so
+    that no task has to sort a bucket that holds a large part of all rows."""
     from pyspark.sql import Window
 
     slices = F.greatest(F.floor(F.col("size") / (8 * BLOCK)), F.lit(0)) + 1
-    cut = members.withColumn("slice", F.pmod(F.xxhash64("id"), slices))
-    counts = cut.groupBy("bucket", "slice").agg(F.count(F.lit(1)).alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy("bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    begins = counts.select("bucket", "slice", before.alias("before"))
-    local = F.row_number().over(Window.partitionBy("bucket", "slice").orderBy("id")) - 1
+    weight = F.least(F.greatest(F.col("n"), F.lit(BLOCK_SHINGLES // BLOCK)), F.lit(BLOCK_SHINGLES)).cast("bigint")
+    cut = members.withColumn("slice", F.pmod(F.xxhash64("id"), slices)).withColumn("weight", weight)
+    sums = cut.groupBy("bucket", "slice").agg(F.sum("weight").alias("c"), F.max_by("weight", "id").alias("final"))
+    by_slice = Window.partitionBy("bucket").orderBy("slice")
+    before = F.coalesce(F.sum("c").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = by_slice.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    begins = sums.select("bucket", "slice", before.alias("before"), (F.sum("c").over(whole) - F.last("final").over(whole)).alias("last"))
+    local = F.sum("weight").over(Window.partitionBy("bucket", "slice").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("weight")
     return cut.withColumn("local", local).join(begins, ["bucket", "slice"]).withColumn("place", (F.col("before") + F.col("local")).cast("bigint"))
 
 

@@ -347,3 +347,36 @@ def test_added_tokens_in_operators(spark, tmp_path):
         ids = [*word.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
         assert (r.start, np.frombuffer(r.ids, "<u4").tolist()) == (at, ids)
         at += len(ids)
+
+
+def test_blocks_bounded_by_shingles(spark):
+    """Long texts are dealt to more tasks, short ones as before, and every two members meet in one task."""
+    limit, most = neardup.BLOCK_SHINGLES, 2 * neardup.BLOCK
+    sizes = {1: [20_000] * 300, 2: [3] * 4100, 3: [3 * limit, 5, limit + 1, 9], 4: [limit // 2] * 2}
+    rows = [(b, i, i, len(own), n) for b, own in sizes.items() for i, n in enumerate(own)]
+    members = spark.createDataFrame(rows, "bucket bigint, id bigint, component bigint, size bigint, n bigint")
+    tasks = {}
+    for r in neardup._dealt(neardup._numbered(members)).collect():
+        tasks.setdefault((r.bucket, r.x, r.y), []).append((r.id, r.block))
+    for (b, x, y), own in tasks.items():
+        blocks = {k: [sizes[b][i] for i, at in own if at == k] for k in {x, y}}
+        assert len(own) <= most and all(v and sum(v) - max(v) <= limit for v in blocks.values())
+    assert {b: sum(t[0] == b for t in tasks) for b in (1, 2, 4)} == {1: 6, 2: 6, 4: 1}
+    for b in (1, 3):
+        met = [frozenset((i, j)) for (c, x, y), own in tasks.items() if c == b for i, k in own for j, m in own if i < j and {k, m} == {x, y}]
+        assert len(met) == len(set(met)) == len(sizes[b]) * (len(sizes[b]) - 1) // 2
+
+
+def test_small_blocks_change_nothing(spark, monkeypatch):
+    rng, base = random.Random(9), words(random.Random(9), 200).split()
+    near = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 14)):
+            copy[rng.randrange(200)] = f"new{rng.randrange(9999)}"
+        near.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(near, "doc_id bigint, text string")
+    whole = sorted(neardup.near_duplicates(docs, 5, 80).collect())
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 1500)
+    assert sorted(neardup.near_duplicates(docs, 5, 80).collect()) == whole
