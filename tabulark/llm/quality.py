@@ -69,6 +69,8 @@ RULES = (
     Rule("repeated_lines", "n_dup_lines", ">", 30, "n_lines", 100),
     Rule("capitals", "n_capitals", ">", 30, "word_chars", 100),
 )
+#: What a corpus is filtered by: no clean text is too long, the ratio rules judge long texts as they do others.
+CORPUS_RULES = tuple(r for r in RULES if r.name != "words_max")
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -150,7 +152,7 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") ->
     ), at
 
 
-def keep_good(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+def keep_good(df: DataFrame, rules: tuple[Rule, ...] = CORPUS_RULES, text: str = "text") -> DataFrame:
     """The rows that no rule rejects, with the columns of ``df``."""
     judged, at = judge(df, rules, text)
     # The optimizer does not move a filter below a row number. Moved below the metrics it would hold each of

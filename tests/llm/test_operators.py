@@ -380,3 +380,9 @@ def test_small_blocks_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 1500)
     assert sorted(neardup.near_duplicates(docs, 5, 80).collect()) == whole
+
+
+def test_clean_long_text_is_kept(spark):
+    long = " ".join("the" if i % 10 == 0 else f"w{i}" for i in range(1_000_001))
+    docs = spark.createDataFrame([(1, long), (2, "again and again " * 400_000)], "doc_id bigint, text string")
+    assert [r.doc_id for r in quality.keep_good(docs).select("doc_id").collect()] == [1]
