@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordinal import with_group_carry
+
 UNWANTED = "logo|icon|google|button"
 
 
@@ -48,9 +50,8 @@ def capped_union(queries: list[DataFrame], cap: int) -> DataFrame:
 def resume_quota(articles: DataFrame, manifest: DataFrame, targets: DataFrame) -> DataFrame:
     """Articles from the saved position on, whole, while the images before them are below the type's target."""
     rest = articles.join(F.broadcast(manifest), "type", "left").where(F.col("pos") >= F.coalesce("next_index", F.lit(0)))
-    before = F.coalesce(F.sum("images").over(Window.partitionBy("type").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counted = rest.withColumn("before", before).join(F.broadcast(targets), "type")
-    return counted.where(F.coalesce("have", F.lit(0)) + F.col("before") < F.col("target")).select("type", "pos", "article_id", "images", F.col("before").cast("bigint").alias("before"))
+    counted = with_group_carry(rest, "type", [F.col("pos")], F.col("images"), "before").join(F.broadcast(targets), "type")
+    return counted.where(F.coalesce("have", F.lit(0)) + F.col("before") < F.col("target")).select("type", "pos", "article_id", "images", "before")
 
 
 def number_in(name: Column) -> Column:
@@ -64,16 +65,15 @@ def chart_name(number: Column, kind: Column) -> Column:
 def dense_reindex(files: DataFrame) -> DataFrame:
     """``type, name, number, new_name``: .png files of a type numbered 1 to n by the number in their names."""
     own = files.where(F.col("name").endswith(".png")).withColumn("number", number_in(F.col("name")))
-    rank = F.row_number().over(Window.partitionBy("type").orderBy("number", "name")).cast("bigint")
-    return own.withColumn("rank", rank).select("type", "name", "number", chart_name(F.col("rank"), F.col("type")).alias("new_name"))
+    ranked = with_group_carry(own, "type", [F.col("number"), F.col("name")], F.lit(1), "before")
+    return ranked.select("type", "name", "number", chart_name(F.col("before") + 1, F.col("type")).alias("new_name"))
 
 
 def continuing_ids(existing: DataFrame, new: DataFrame) -> DataFrame:
     """New files numbered on from each type's largest number (a count would reuse numbers after a gap)."""
     top = existing.groupBy("type").agg(F.max("number").alias("top"))
-    rank = F.row_number().over(Window.partitionBy("type").orderBy("pos"))
-    numbered = new.withColumn("rank", rank).join(top, "type", "left")
-    return numbered.select("type", "pos", (F.coalesce("top", F.lit(0)) + F.col("rank")).cast("bigint").alias("number"))
+    numbered = with_group_carry(new, "type", [F.col("pos")], F.lit(1), "before").join(top, "type", "left")
+    return numbered.select("type", "pos", (F.coalesce("top", F.lit(0)) + F.col("before") + 1).cast("bigint").alias("number"))
 
 
 def type_totals(rows: DataFrame, kind: str) -> DataFrame:

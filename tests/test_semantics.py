@@ -149,3 +149,15 @@ def test_plans(spark):
     df = spark.range(50).select(F.col("id"), (F.col("id") % 3).cast("string").alias("c"))
     plan = sampling.balanced(df, "c", "id", 9, "s")._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_one_type_is_numbered_by_several_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [("km", f"chart_{i:03d}_km.png") for i in range(400, 0, -1)] + [(None, "chart_007_x.png")]
+        made = harvest.dense_reindex(spark.createDataFrame(rows, "type string, name string")).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    own = [r for r in made if r.type == "km"]
+    assert len(made) == 401 and all(r.new_name == r.name for r in own)
+    assert len({r.task for r in own}) > 1
