@@ -55,8 +55,8 @@ def encode_frames(df: DataFrame, vocabulary: str, end_id: int, largest: int = 65
             frame, start, held, docs, size = frame + 1, start + size, held + size, [], 0
 
         for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(value.as_py() or "") + end
+            for key, ids in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1)), strict=True):
+                ids += end
                 if docs and size + len(ids) // 4 > FRAME_IDS:
                     close()
                 docs.append((key, ids))

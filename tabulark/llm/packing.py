@@ -140,8 +140,8 @@ def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, te
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + ROWS_OUT], strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
         for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(key, encode(value.as_py() or "") + end)
+            for key, ids in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1)), strict=True):
+                packer.add(key, ids + end)
                 yield from ready(512)
         packer.top_up(last=True)
         yield from ready(1)
