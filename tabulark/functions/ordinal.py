@@ -8,20 +8,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: list[str] = []
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (one process) gets a temporary folder; on a cluster, whose executors
+    would each write to their own disk, this raises."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    _own[:] = _own or ["file://" + tempfile.mkdtemp(prefix="tabulark-")]
+    return _own[0]
+
+
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder (``spark.checkpoint.dir``; a temporary one where that is unset)."""
+    """``df`` as a table in the shared folder."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        _own[:] = _own or ["file://" + tempfile.mkdtemp(prefix="tabulark-")]
-        folder = _own[0]
-    path = f"{folder.rstrip('/')}/ordinal-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/ordinal-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
