@@ -1,61 +1,45 @@
 """Written tables in the cluster's shared folder, used to cut lineage between the phases of a job.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (a test, a notebook)
-does a process-local temporary folder take its place.
+The folder is the session's ``spark.checkpoint.dir`` (see :func:`tabulark.functions.ordinal.shared_folder`).
 """
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Seconds that the driver gives Spark's cleaner between two collections.
-CLEANER_S = 0.25
+from ..functions.ordinal import shared_folder
 
-_own_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not _own_folder:
-        _own_folder.append("file://" + tempfile.mkdtemp(prefix="tabulark-"))
-    return _own_folder[0]
+#: Spark's setting to remove a query's shuffle files as soon as the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
     """The written tables of one job.
 
     A lost executor costs at most the tasks of the running phase: finished phases are files. Tables
-    that a later phase no longer reads are dropped as soon as their successor is written, and the
-    shuffle files of a finished phase are released by asking the driver's collector to run: once for what
-    holds the phase's plan, and, when Spark's cleaner has seen that, once for the shuffles themselves.
+    that a later phase no longer reads are dropped as soon as their successor is written, and Spark
+    removes the shuffle files of a phase when its write has ended.
     """
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark).rstrip('/')}/{job}-{uuid.uuid4().hex}"
+        self.root = f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str, drop: tuple[str, ...] = ()) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        schema = df.schema
-        del df
+        was = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(CLEANUP, was)
         for old in drop:
             self.drop(old)
-        gc.collect()
-        self.spark._jvm.System.gc()
-        time.sleep(CLEANER_S)
-        self.spark._jvm.System.gc()
-        return self.spark.read.schema(schema).parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
