@@ -9,8 +9,10 @@ Texts with equal sets form one class from here on, so that copies cost nothing f
 Phase 2 links classes. In each band bucket every member is paired with the bucket's smallest member
 (pairs grow with the members, not their square); pairs whose sketches are too far apart are dropped,
 the others are confirmed on their full sets, and components are formed. Buckets that still hold
-several components are compared in blocks with numpy, across components only: by sketch, then on
-full sets. A block returns at most one link per two components that it joins, never its pairs.
+several components are compared in blocks with numpy, across components only, twice: first by sketch
+alone, which leaves the members that have a near sketch in another component, and then those members by
+their full sets. A block returns each of its members once, or at most one link per two components that it
+joins, never its pairs.
 
 Defined results: a text without words, or a null one, has an empty set and links with nothing; a null
 doc_id links with nothing, gets a null component and is kept; rows repeated with one doc_id are one
@@ -33,9 +35,9 @@ from .textarrays import list_array, mix, shingle_sets
 
 ROWS, BANDS = 4, 28
 SKETCH_BITS, SKETCH_SAMPLES = 2048, 512
-# A block has at most so many members, and at most so many shingles besides its last member's: a task holds
-# two blocks, at some 90 bytes a shingle.
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+# A block has at most so many members, and, where sets are compared, at most so many shingles besides its last
+# member's: a task holds two blocks, at some 90 bytes a shingle.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 21
 
 _SET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 _rng = np.random.default_rng(20100617)
@@ -146,20 +148,57 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= union * percent).select("a", "b")
 
 
+def _first_shared(bands: np.ndarray, i: int, others: np.ndarray, bucket: int) -> np.ndarray:
+    """Those of ``others`` that share no earlier band with i than the one of this bucket."""
+    if not len(others):
+        return others
+    return others[bands[i][np.argmax(bands[others] == bands[i], axis=1)] == bucket]
+
+
+def _within(sizes: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Those of ``others`` whose sets are large and small enough to be like that of i."""
+    return others[100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i])]
+
+
+def _sketches(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(table), -1)
+
+
+def _near(placed: DataFrame, classes: DataFrame, limit: int, percent: int) -> DataFrame:
+    """``bucket, id`` of members with a member of another component whose sketch is near; each pair is looked
+    at in the first bucket that it shares. Only bands and sketches are dealt to the blocks."""
+    dealt = _dealt(placed).join(classes.select("id", "bands", "sketch"), "id")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        bucket, x, y = (k.as_py() for k in key)
+        ids, root, block, sizes = (table.column(c).to_numpy() for c in ("id", "component", "block", "n"))
+        sketches, bands = _sketches(table), np.array(table.column("bands").to_pylist(), dtype=np.int64)
+        near = np.zeros(len(ids), dtype=bool)
+        right = np.flatnonzero(block == y)
+        for i in np.flatnonzero(block == x).tolist():
+            other = right if x != y else right[ids[right] > ids[i]]
+            other = _within(sizes, i, other[root[other] != root[i]], percent)
+            other = other[np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1) <= limit]
+            other = _first_shared(bands, i, other, bucket)
+            near[other] = True
+            near[i] |= len(other) > 0
+        return pa.table({"bucket": pa.array(np.full(int(near.sum()), bucket, dtype=np.int64)), "id": pa.array(ids[near])})
+
+    return dealt.groupBy("bucket", "x", "y").applyInArrow(compare, "bucket bigint, id bigint").distinct()
+
+
 def _across(placed: DataFrame, described: DataFrame, limit: int, percent: int) -> DataFrame:
     """Links ``a, b`` between different components, confirmed on full sets, enough to join what they join.
 
     ``placed`` comes from ``_numbered``; ``described`` has ``id, bands, sketch, shingles``. A bucket is cut in
-    blocks; a block meets itself and each later one. Each pair is looked at in the first bucket that it shares."""
+    blocks; a block meets itself and each later one."""
     dealt = _dealt(placed).join(described, "id")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         bucket, x, y = (k.as_py() for k in key)
         table = table.combine_chunks()
         ids, root, block = (table.column(c).to_numpy().copy() for c in ("id", "component", "block"))
-        n = len(ids)
-        sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(n, -1)
-        bands = np.array(table.column("bands").to_pylist(), dtype=np.int64)
+        sketches, bands = _sketches(table), np.array(table.column("bands").to_pylist(), dtype=np.int64)
         lists = table.column("shingles").combine_chunks()
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         values = lists.flatten().to_numpy(zero_copy_only=False)
@@ -170,11 +209,9 @@ def _across(placed: DataFrame, described: DataFrame, limit: int, percent: int) -
         right = np.flatnonzero(block == y)
         for i in np.flatnonzero(block == x).tolist():
             other = right if x != y else right[ids[right] > ids[i]]
-            other = other[root[other] != root[i]]
-            other = other[100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i])]
+            other = _within(sizes, i, other[root[other] != root[i]], percent)
             other = other[np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1) <= limit]
-            first = bands[i][np.argmax(bands[other] == bands[i], axis=1)] if len(other) else other
-            other = other[first == bucket]
+            other = _first_shared(bands, i, other, bucket)
             if not len(other):
                 continue
             own_part = member[begins[i] : begins[i + 1]]
@@ -220,11 +257,12 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, text: str
     labels = components(links, scratch, "first")
     labelled = classes.join(labels, "id", "left").select("id", "n", "bands", F.coalesce("component", "id").alias("component"))
     spread = labelled.select("id", "n", "component", F.explode("bands").alias("bucket"))
-    open_ = spread.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high")
-    members = scratch.write(spread.join(open_.select("bucket", "size"), "bucket"), "members")
-    shingles = sets_of(members.select("id"), "across-sets")
+    members = scratch.write(_open(spread), "members")
+    near = scratch.write(_near(_numbered(members, by_shingles=False), classes, limit, percent), "near")
+    members = scratch.write(_open(members.drop("size").join(near, ["bucket", "id"])), "near-members", drop=("members",))
+    shingles = sets_of(near.select("id"), "across-sets")
     described = classes.select("id", "bands", "sketch").join(shingles, "id")
-    across = scratch.write(_across(_numbered(members), described, limit, percent), "across-links", drop=("members", "across-sets"))
+    across = scratch.write(_across(_numbered(members), described, limit, percent), "across-links", drop=("near", "near-members", "across-sets"))
     links = links.unionByName(across)
 
     # Rows of one doc_id are one document: their classes' representatives are joined by their ids.
@@ -237,22 +275,29 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, text: str
     return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, with the bucket's ``size``."""
+    of = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+    return members.join(of.where("low <> high").select("bucket", "size"), "bucket")
+
+
 def _dealt(placed: DataFrame) -> DataFrame:
     """Every member once for each pair ``x, y`` of blocks of its bucket of which ``block`` (its own) is one."""
     own, last = (F.floor(F.col(c) / BLOCK_SHINGLES) for c in ("place", "last"))
     meets = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y")))
-    return placed.select("bucket", "id", "component", own.alias("block"), F.inline(meets))
+    return placed.select("bucket", "id", "component", "n", own.alias("block"), F.inline(meets))
 
 
-def _numbered(members: DataFrame) -> DataFrame:
+def _numbered(members: DataFrame, by_shingles: bool = True) -> DataFrame:
     """Members (``bucket, id, component, size, n``) with ``place``, the weight of those before them in the bucket,
     and ``last``, the place of the bucket's last one. A member weighs its shingles, but at least a BLOCK-th of
-    BLOCK_SHINGLES and at most all of it. Places are given in slices of a bucket, dealt by a hash of the id, so
-    that no task has to sort a bucket that holds a large part of all rows."""
+    BLOCK_SHINGLES (where sets are not compared, just that) and at most all of it. Places are given in slices of a
+    bucket, dealt by a hash of the id, so that no task has to sort a bucket that holds a large part of all rows."""
     from pyspark.sql import Window
 
     slices = F.greatest(F.floor(F.col("size") / (8 * BLOCK)), F.lit(0)) + 1
-    weight = F.least(F.greatest(F.col("n"), F.lit(BLOCK_SHINGLES // BLOCK)), F.lit(BLOCK_SHINGLES)).cast("bigint")
+    least, most = BLOCK_SHINGLES // BLOCK, BLOCK_SHINGLES if by_shingles else BLOCK_SHINGLES // BLOCK
+    weight = F.least(F.greatest(F.col("n"), F.lit(least)), F.lit(most)).cast("bigint")
     cut = members.withColumn("slice", F.pmod(F.xxhash64("id"), slices)).withColumn("weight", weight)
     sums = cut.groupBy("bucket", "slice").agg(F.sum("weight").alias("c"), F.max_by("weight", "id").alias("final"))
     by_slice = Window.partitionBy("bucket").orderBy("slice")
