@@ -3,9 +3,13 @@
 Every task packs the documents that it reads, in the order it reads them, with no shuffle. A level
 array counts the open windows of each fill level; a document goes to the level at which the sum of
 the squared counts of partially filled windows rises least (a new window is level 0; ties take the
-fullest). A document longer than a window first fills whole windows of its own. When a task ends, or
-holds too many open windows, those still open are topped up from the emptiest ones by cutting
-pieces, which leaves one window a task with padding.
+fullest). A document longer than a window first fills whole windows of its own. A task packs in sessions
+of ``SESSION_IDS`` ids, which bounds its memory at every size; when a session ends, the windows still open
+are topped up from the emptiest ones by cutting pieces, so that one window a task is left with padding.
+
+How many windows are still open depends on the lengths, hardly on the number of documents: of the windows
+that hold more than one piece, placement closes most in a session of some thousand documents (``closed_by``
+counts them), and few in one of some hundred. Small partitions are therefore read together (``LEAST_BYTES``).
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .tokenize import encoder
 
-OPEN_WINDOWS = 4096
+SESSION_IDS = 1 << 24
+LEAST_BYTES = 16 << 20
 ROWS_OUT = 2048
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
@@ -30,19 +35,28 @@ _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_
 class SumOfSquares:
     """The open windows of one task. A piece is (doc_id, start, doc_tokens, ids as bytes)."""
 
-    def __init__(self, window: int, first_sequence: int = 0, open_windows: int = OPEN_WINDOWS):
-        self.window, self.sequence, self.limit = window, first_sequence, open_windows
+    def __init__(self, window: int, first_sequence: int = 0, session: int = SESSION_IDS):
+        self.window, self.sequence, self.session = window, first_sequence, session
         self.counts = np.zeros(window + 1, dtype=np.int64)
         self.levels: list[list[list]] = [[] for _ in range(window)]
-        self.held = 0
+        self.seen = 0
         self.closed: list[list] = []
+        self.closed_by = {"whole": 0, "placed": 0, "topped": 0}
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         total, whole = len(ids) // 4, len(ids) // 4 // self.window * self.window
         for at in range(0, whole, self.window):
-            self.closed.append([(doc_id, at, total, ids[4 * at : 4 * (at + self.window)])])
+            self._close([(doc_id, at, total, ids[4 * at : 4 * (at + self.window)])], "whole")
         if whole < total:
             self._place((doc_id, whole, total, ids[4 * whole :]), total - whole)
+        self.seen += total
+        if self.seen >= self.session:
+            self.top_up()
+            self.seen = 0
+
+    def _close(self, window: list, how: str) -> None:
+        self.closed.append(window)
+        self.closed_by[how] += 1
 
     def best_level(self, size: int) -> int:
         """The level whose use adds least to the sum of squared counts, or 0 for a new window."""
@@ -61,25 +75,20 @@ class SumOfSquares:
         if level:
             window = self.levels[level].pop()
             self.counts[level] -= 1
-            self.held -= 1
         else:
             window = []
         window.append(piece)
         if level + size == self.window:
-            self.closed.append(window)
+            self._close(window, "placed")
             return
         self.levels[level + size].append(window)
         self.counts[level + size] += 1
-        self.held += 1
-        if self.held > self.limit:
-            self.top_up()
 
     def top_up(self, last: bool = False) -> None:
         """Close all open windows by moving cut pieces from the emptiest to the fullest."""
         still = [(level, w) for level in range(self.window - 1, 0, -1) for w in self.levels[level]]
         self.levels = [[] for _ in range(self.window)]
         self.counts[:] = 0
-        self.held = 0
         low, high = 0, len(still) - 1
         while low < high:
             level, window = still[low]
@@ -99,16 +108,15 @@ class SumOfSquares:
             if need:
                 still[low] = (self.window - need, window)
                 break
-            self.closed.append(window)
+            self._close(window, "topped")
             low += 1
         if low <= high and still:
             level, window = still[low]
             if level == self.window or last:
-                self.closed.append(window)
+                self._close(window, "topped")
             else:
                 self.levels[level].append(window)
                 self.counts[level] += 1
-                self.held += 1
 
     def rows(self) -> Iterator[tuple]:
         for window in self.closed:
@@ -147,4 +155,5 @@ def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, te
         yield from ready(1)
 
     read = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return read.mapInArrow(tasks, SCHEMA)
+    size = read.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    return read.coalesce(1 + size // LEAST_BYTES).mapInArrow(tasks, SCHEMA)
