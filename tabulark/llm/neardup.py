@@ -248,7 +248,8 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, text: str
     pairs = scratch.write(pairs, "pairs")
 
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
-        wanted = ids.select(F.col(ids.columns[0]).alias("wanted")).distinct()
+        # The ids grow with the texts: a join that is planned to shuffle both from the start, without sorting texts.
+        wanted = ids.select(F.col(ids.columns[0]).alias("wanted")).distinct().hint("shuffle_hash")
         texts = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
         return scratch.write(_sets(texts.join(wanted, texts["id"] == wanted["wanted"], "left_semi"), width, "text", "id", lower), name)
 
@@ -295,7 +296,7 @@ def _numbered(members: DataFrame, by_shingles: bool = True) -> DataFrame:
     bucket, dealt by a hash of the id, so that no task has to sort a bucket that holds a large part of all rows."""
     from pyspark.sql import Window
 
-    slices = F.greatest(F.floor(F.col("size") / (8 * BLOCK)), F.lit(0)) + 1
+    slices = F.greatest(F.floor(F.col("size") / BLOCK), F.lit(0)) + 1
     least, most = BLOCK_SHINGLES // BLOCK, BLOCK_SHINGLES if by_shingles else BLOCK_SHINGLES // BLOCK
     weight = F.least(F.greatest(F.col("n"), F.lit(least)), F.lit(most)).cast("bigint")
     cut = members.withColumn("slice", F.pmod(F.xxhash64("id"), slices)).withColumn("weight", weight)
