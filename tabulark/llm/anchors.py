@@ -75,7 +75,8 @@ def search(docs: DataFrame, keys_of, gram: int, window: int, across_documents: b
     smaller document has.
 
     Copies leave first, so that a group of them costs a row each from then on. A hash that a third of all
-    rows share is one row a task when it is counted, and is split by the join when its rows are looked up."""
+    rows share is one row a task when it is counted. The hashes that recur are written before the anchors are
+    looked up among them, so that both sides of that join are plain shuffles, which Spark cuts at a hot hash."""
     found = scratch.write(anchors(docs, keys_of, gram, window), "all")
     texts = found.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     copies = found.select("doc_id", "t1", "t2", (F.size("a") > 0).alias("whole")).join(texts, ["t1", "t2"]).where(F.col("doc_id") != F.col("first"))
@@ -86,8 +87,9 @@ def search(docs: DataFrame, keys_of, gram: int, window: int, across_documents: b
         again = flat.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("h")
     else:
         again = flat.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    again = scratch.write(again, "again")
     hits = flat.join(again, "h").groupBy("doc_id").agg(F.collect_list(F.struct("h", "p", "lo", "hi")).alias("a"))
-    return scratch.write(hits, "hits", drop=("anchors",)), copies.where("whole").select("doc_id")
+    return scratch.write(hits, "hits", drop=("anchors", "again")), copies.where("whole").select("doc_id")
 
 
 def whole_spans(copies: DataFrame) -> DataFrame:
@@ -114,19 +116,32 @@ def merged(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return begins[opens], reach[np.concatenate([opens[1:], [True]])]
 
 
-def keyed_documents(df: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """``doc_id, text`` with one row per non-null doc_id.
+def keyed_documents(df: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame | None]:
+    """``doc_id, text`` with one row per non-null doc_id, and, if rows share a doc_id, those ids with the hash
+    ``t`` of their document's text (else None).
 
-    Where rows share a doc_id they are one document, with the smallest of their texts (null: empty). Only if
-    a count over the ids finds such rows are texts grouped."""
+    Rows that share a doc_id are one document, with the smallest of their texts (null: empty). Only if a count
+    over the ids finds such rows are texts grouped."""
     docs = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("doc_id is not null")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return docs
-    return docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+    several = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if several.isEmpty():
+        return docs, None
+    docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+    return docs, docs.join(several, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("t"))
 
 
-def with_spans(df: DataFrame, spans: DataFrame, doc_id: str) -> tuple[DataFrame, str]:
-    """``df`` with each row's spans ``array<struct<a:int,b:int>>`` (null: none) under a name of its own."""
-    key, name = fresh(df, "_span_id"), fresh(df, "_spans")
-    own = spans.select(F.col("doc_id").alias(key), F.col("spans").alias(name))
-    return df.join(own, F.col(f"`{doc_id}`").cast("bigint") == F.col(key), "left").drop(key), name
+def by_document(spans: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """``doc_id, spans, t`` from intervals ``doc_id, a, b``; ``t`` is null where no rows share the doc_id."""
+    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return lists.withColumn("t", F.lit(None).cast("bigint")) if shared is None else lists.join(shared, "doc_id", "left")
+
+
+def with_spans(df: DataFrame, spans: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
+    """``df`` with each row's spans ``array<struct<a:int,b:int>>`` (null: none) under a name of its own.
+
+    Of rows that share a doc_id only those with their document's text have its spans."""
+    key, name, of = fresh(df, "_span_id"), fresh(df, "_spans"), fresh(df, "_span_text")
+    own = spans.select(F.col("doc_id").alias(key), F.col("spans").alias(name), F.col("t").alias(of))
+    joined = df.join(own, F.col(f"`{doc_id}`").cast("bigint") == F.col(key), "left")
+    same = F.col(of).isNull() | (F.col(of) == F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    return joined.withColumn(name, F.when(same, F.col(name))).drop(key, of), name

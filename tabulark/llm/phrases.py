@@ -3,15 +3,16 @@
 1. Word windows that may recur are found through their anchors (:mod:`anchors`); the stretches of text
    that hold them are written once. Whole copies of a smaller document are found by their texts' hashes
    and set aside.
-2. Passages are confirmed: a window that starts in several documents belongs to the smallest one.
-3. Confirmed windows are compiled into Aho-Corasick automata, one per shard of owning documents; every
+2. Passages are confirmed: a window that starts in several documents belongs to the smallest one, and there
+   to its first stretch.
+3. Confirmed windows are compiled into Aho-Corasick automata, one per shard of owning stretches; every
    stretch that may hold one of a shard's windows is streamed through the shard's automaton, which
    locates each occurrence, word for word. A shard that many stretches visit is served by several tasks.
 4. Words covered by a window that belongs to a smaller document are removed.
 
 Defined results: a null or empty text has no words and loses none; a null doc_id is compared with
 nothing and keeps its words; rows that share a doc_id are one document for the search, with the
-smallest of their texts, and have the same spans removed; an empty table gives an empty table;
+smallest of their texts, and those with another text keep theirs; an empty table gives an empty table;
 other columns are not read.
 """
 
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import keyed_documents, merged, numbers, search, whole_spans, with_spans, word_keys
+from .anchors import by_document, keyed_documents, merged, numbers, search, whole_spans, with_spans, word_keys
 from .scratch import Scratch
 from .textarrays import gram_hashes, list_array, slices, utf8, word_hashes
 
 GRAM = 5
 SHARD_PATTERNS = 20_000
 SHARD_STRETCHES = 2_000
+# A stretch has at most so many windows; a longer one is cut in several that overlap.
+STRETCH_WINDOWS = 8_192
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -49,7 +52,7 @@ def _stretches(docs: DataFrame, hits: DataFrame, width: int) -> DataFrame:
             for row, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
                 words = _WORD.findall(text.as_py())
                 a, b = merged(lo[bounds[row] : bounds[row + 1]], hi[bounds[row] : bounds[row + 1]] + 1)
-                for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                for x, y in ((z, min(z + STRETCH_WINDOWS, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True) for z in range(x, y, STRETCH_WINDOWS)):
                     ids.append(key)
                     starts.append(x)
                     texts.append(" ".join(words[x : y + width - 1]))
@@ -84,11 +87,12 @@ class Automaton:
 
     def add(self, words: list[str], chosen: np.ndarray, owner: int) -> None:
         codes = self.codes
-        for w in words:
+        begins, ends = merged(chosen, chosen + self.width)
+        for w in [w for x, y in zip(begins.tolist(), ends.tolist(), strict=True) for w in words[x:y]]:
             if w not in codes:
                 code = 2 + len(codes)
                 codes[w] = chr(code if code < 0xD800 else code + 0x800)  # characters that are no surrogates
-        text = "".join([codes[w] for w in words])
+        text = "".join([codes.get(w, "\x01") for w in words])
         for at in chosen.tolist():
             self.automaton.add_word(text[at : at + self.width], owner)
 
@@ -127,23 +131,25 @@ def _scan(width: int):
 
 
 def repeated_spans(df: DataFrame, width: int = 13, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, spans``: the word intervals ``[a, b)`` that windows of smaller documents cover."""
+    """``doc_id, spans, t``: the word intervals ``[a, b)`` that windows of smaller documents cover; see
+    ``keyed_documents`` for ``t``."""
     scratch = Scratch(df.sparkSession, "phrases")
-    docs = keyed_documents(df, text, doc_id)
+    docs, shared = keyed_documents(df, text, doc_id)
     hits, copied = search(docs, word_keys, GRAM, width, True, scratch)
     stretches = scratch.write(_stretches(docs, hits, width), "stretches", drop=("hits",))
 
     windows = _windows(stretches, width).select("doc_id", "start", F.explode("windows").alias("w"))
-    owners = windows.groupBy("w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("w", "owner")
-    owners = scratch.write(owners, "owners")
-    # A stretch and an owner: the owner's own windows to compile, or a visit of another document.
+    owners = windows.groupBy("w").agg(F.min(F.struct("doc_id", "start")).alias("o"), F.max("doc_id").alias("last")).where("o.doc_id < last")
+    owners = scratch.write(owners.select("w", F.col("o.doc_id").alias("owner"), F.col("o.start").alias("owner_start")), "owners")
+    # A stretch and an owning one: the owner's own windows to compile, or a visit of another document.
     mine = F.when(F.col("doc_id") == F.col("owner"), F.col("w"))
-    visits = windows.join(owners, "w").groupBy("doc_id", "start", "owner").agg(F.collect_set(mine).alias("owned"))
+    met = windows.join(owners, "w").where("doc_id <> owner or start = owner_start")
+    visits = met.groupBy("doc_id", "start", "owner", "owner_start").agg(F.collect_set(mine).alias("owned"))
     visits = scratch.write(visits, "visits", drop=("owners",))
 
     patterns = visits.agg(F.sum(F.size("owned"))).first()[0] or 0
     shards = max(1, math.ceil(patterns / SHARD_PATTERNS))
-    sharded = visits.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards))).groupBy("shard", "doc_id", "start", (F.size("owned") > 0).alias("is_owner"))
+    sharded = visits.withColumn("shard", F.pmod(F.xxhash64("owner", "owner_start"), F.lit(shards))).groupBy("shard", "doc_id", "start", (F.size("owned") > 0).alias("is_owner"))
     sharded = sharded.agg(F.array_distinct(F.flatten(F.collect_list("owned"))).alias("owned"))
     load = sharded.where("not is_owner").groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_STRETCHES).cast("int").alias("tasks"))
     both = sharded.join(load, "shard")
@@ -152,7 +158,7 @@ def repeated_spans(df: DataFrame, width: int = 13, text: str = "text", doc_id: s
     with_text = dealt.join(stretches, ["doc_id", "start"]).select("shard", "task", "doc_id", "start", "owned", "words")
     located = with_text.groupBy("shard", "task").applyInArrow(_scan(width), "doc_id bigint, a int, b int")
     located = located.unionByName(whole_spans(copied))
-    return scratch.write(located.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans", drop=("visits", "stretches"))
+    return scratch.write(by_document(located, shared), "spans", drop=("visits", "stretches"))
 
 
 def remove_repeated(df: DataFrame, width: int = 13, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -173,5 +179,5 @@ def remove_repeated(df: DataFrame, width: int = 13, text: str = "text", doc_id:
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text"])
 
     read = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    joined, spans = with_spans(read, repeated_spans(df, width, text, doc_id), "doc_id")
+    joined, spans = with_spans(read, repeated_spans(df, width, text, doc_id), "doc_id", "text")
     return joined.select("doc_id", cut("text", F.col(f"{spans}.a"), F.col(f"{spans}.b")).alias("x")).select("doc_id", "x.*")

@@ -4,16 +4,18 @@
    An anchor's context is the stretch of bytes that holds all the strings it anchors there. Whole copies of
    a smaller document are found by their texts' hashes and set aside.
 2. Equal contexts collapse: in all but the first every string recurs, and only the first goes on.
-3. Contexts are sharded by anchor. In a shard the suffixes are put in buckets by q-gram, and buckets are
-   refined by sorting on the bucket identifiers of later offsets: 2q bytes from the buckets q further
-   on, 4q from those of 2q, and at last ``width`` from two overlapping buckets. Suffixes in one bucket then
+3. Contexts are sharded by anchor. In a shard the suffixes are put in buckets by q-gram, and buckets that
+   hold several are refined by sorting on the bucket identifiers of later offsets: 2q bytes from the buckets
+   q further on, 4q from those of 2q, and at last ``width`` from two overlapping buckets. Each step reuses the
+   identifiers of the one before; a suffix alone in its bucket keeps its own. Suffixes in one bucket then
    agree in ``width`` bytes; all but the earliest are repeats.
-4. An anchor with more different contexts than a shard may hold is not gathered at all: its strings meet in
-   a shuffle by their own hash, a row per string.
+4. An anchor with more different contexts than a shard may hold gets several shards: its strings are parted by
+   where in them the anchor lies, and each part goes on, from step 2, by the bytes around the anchor that all
+   its strings hold. At every turn the parts halve, so that an anchor is at last known by whole strings.
 
 Defined results: a null or empty text has no bytes and loses none; a null doc_id is compared with
 nothing and keeps its bytes; rows that share a doc_id are one document for the search, with the
-smallest of their texts, and have the same spans removed; an empty table gives an empty table.
+smallest of their texts, and those with another text keep theirs; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import byte_keys, keyed_documents, merged, numbers, search, whole_spans, with_spans
+from .anchors import by_document, byte_keys, keyed_documents, merged, numbers, search, whole_spans, with_spans
 from .scratch import Scratch, fresh
 from .textarrays import mix, prefix_hash
 
@@ -36,15 +38,16 @@ SHARD_CONTEXTS = 8_000
 # So many shards to that number of contexts: most hold an eighth of it, one with a frequent anchor little over it.
 SHARDS_PER_BOUND = 8
 
-_CONTEXT = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("context", pa.binary())])
+_CONTEXT = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("p", pa.int32()), ("context", pa.binary())])
 
 
 def _contexts(docs: DataFrame, hits: DataFrame, width: int) -> DataFrame:
-    """``h, doc_id, lo, context``: the bytes from the first string of a recurring anchor to the end of its last."""
+    """``h, doc_id, lo, p, context``: the bytes from the first string (at ``lo``) of a recurring anchor (at ``p``)
+    to the end of its last."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bounds, (h, _, lo, hi) = numbers(batch.column(2))
+            bounds, (h, p, lo, hi) = numbers(batch.column(2))
             ids = batch.column(0).to_pylist()
             for first in range(0, len(ids), 64):
                 end = min(first + 64, len(ids))
@@ -55,10 +58,10 @@ def _contexts(docs: DataFrame, hits: DataFrame, width: int) -> DataFrame:
                     pieces += [body[a : b + width] for a, b in zip(x, y, strict=True)]
                     counts.append(len(x))
                 part = slice(bounds[first], bounds[end])
-                columns = [pa.array(h[part], pa.int64()), pa.array(np.repeat(np.array(ids[first:end], dtype=np.int64), counts)), pa.array(lo[part], pa.int32()), pa.array(pieces, pa.binary())]
+                columns = [pa.array(h[part], pa.int64()), pa.array(np.repeat(np.array(ids[first:end], dtype=np.int64), counts)), pa.array(lo[part], pa.int32()), pa.array(p[part], pa.int32()), pa.array(pieces, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema=_CONTEXT)
 
-    return docs.join(hits, "doc_id").select("doc_id", "text", "a").mapInArrow(tasks, "h bigint, doc_id bigint, lo int, context binary")
+    return docs.join(hits, "doc_id").select("doc_id", "text", "a").mapInArrow(tasks, "h bigint, doc_id bigint, lo int, p int, context binary")
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
@@ -87,14 +90,18 @@ def refined_buckets(data: np.ndarray, offsets: np.ndarray, width: int, gram: int
     del sums, inverse
     bucket[at] = _dense(grams)
     del grams
+    used = int(bucket.max()) + 1
     while reach < width:
         step = min(reach, width - reach)
         at = np.flatnonzero(room >= reach + step)
-        if not len(at):
-            return at, at
-        pairs = bucket[at].astype(np.int64) * (int(bucket.max()) + 1) + bucket[at + step]
-        bucket[:] = -1
-        bucket[at] = _dense(pairs)
+        own = bucket[at]
+        # Only the buckets that hold several suffixes are refined; the others are known by one already.
+        several = np.bincount(own, minlength=used)[own] > 1
+        later = at[several]
+        ranks = used + _dense(own[several].astype(np.int64) * used + bucket[later + step]) if len(later) else later
+        bucket[room < reach + step] = -1
+        bucket[later] = ranks
+        used = int(ranks.max()) + 1 if len(later) else used
         reach += step
     at = np.flatnonzero(room >= width)
     return at, bucket[at]
@@ -121,52 +128,60 @@ def _refine(width: int):
     return refine
 
 
-def _by_string(contexts: DataFrame, width: int) -> DataFrame:
-    """Repeats among the strings of ``contexts``, a row per string: no group is gathered."""
+def _parted(contexts: DataFrame, width: int, turn: int) -> DataFrame:
+    """Contexts ``h, doc_id, lo, p, context`` cut by where in their strings the anchor lies, in ``2**turn`` parts; the
+    new ``h`` stands for the old one, the part, and the bytes around the anchor that all the part's strings hold."""
+    places, count = width - GRAM + 1, 1 << turn
+    ranges = [(-(-k * places // count), -(-(k + 1) * places // count) - 1) for k in range(count)]
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, lo, context in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = np.frombuffer(context.as_py(), dtype=np.uint8)
-                n = len(data) - width + 1
-                sums, inverse = prefix_hash(data)
-                raw = (sums[width:] - sums[:n]) * inverse[:n]
-                check = np.zeros(n, dtype=np.uint64)
-                for part in range(0, width, 8):
-                    check = mix(check ^ (sums[min(part + 8, width) : min(part + 8, width) + n] - sums[part : part + n]) * inverse[part : part + n])
-                columns = [pa.array(mix(raw).view(np.int64)), pa.array(check.view(np.int64)), pa.array(np.full(n, key)), pa.array(np.arange(lo, lo + n, dtype=np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["s1", "s2", "doc_id", "a"])
-
-    rows = contexts.select("doc_id", "lo", "context").mapInArrow(tasks, "s1 bigint, s2 bigint, doc_id bigint, a int")
-    firsts = rows.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "a")).alias("first"))
-    again = rows.join(firsts, ["s1", "s2"]).where(F.struct("doc_id", "a") != F.col("first"))
-    return again.select("doc_id", "a", (F.col("a") + width).alias("b"))
+            rows = []
+            for h, doc_id, lo, p, context in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                last = lo + len(context) - width
+                for k, (near, far) in enumerate(ranges):
+                    a, b = max(lo, p - far), min(last, p - near)
+                    if near <= far and a <= b:
+                        rows.append((h, k, context[p - near - lo : p - far + width - lo], doc_id, a, p, context[a - lo : b - lo + width]))
+            if rows:
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["h", "part", "core", "doc_id", "lo", "p", "context"])
+
+    rows = contexts.select("h", "doc_id", "lo", "p", "context").mapInArrow(tasks, "h bigint, part int, core binary, doc_id bigint, lo int, p int, context binary")
+    return rows.select(F.xxhash64("h", F.lit(turn), "part", "core").alias("h"), "doc_id", "lo", "p", "context")
 
 
 def repeated_spans(df: DataFrame, width: int = 100, text: str = "text", doc_id: str = "doc_id", shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
-    """``doc_id, spans``: the byte intervals ``[a, b)`` covered by strings that also start earlier."""
+    """``doc_id, spans, t``: the byte intervals ``[a, b)`` covered by strings that also start earlier; see
+    ``keyed_documents`` for ``t``."""
     scratch = Scratch(df.sparkSession, "suffixes")
-    docs = keyed_documents(df, text, doc_id)
+    docs, shared = keyed_documents(df, text, doc_id)
     hits, copied = search(docs, byte_keys, GRAM, width, False, scratch)
-    contexts = _contexts(docs, hits, width)
     keys = [F.xxhash64("context").alias("k1"), F.xxhash64(F.lit(1), "context").alias("k2")]
-    contexts = scratch.write(contexts.select("h", "doc_id", "lo", "context", *keys), "contexts", drop=("hits",))
-
-    place = F.struct("doc_id", "lo")
-    firsts = contexts.groupBy("h", "k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.min_by("context", place).alias("context"))
-    firsts = scratch.write(firsts, "firsts")
-    size = F.octet_length("context")
-    copies = contexts.join(firsts.where("n > 1").select("h", "k1", "k2", "first"), ["h", "k1", "k2"]).where(place != F.col("first"))
-    copies = scratch.write(copies.select("doc_id", F.col("lo").alias("a"), (F.col("lo") + size).alias("b")), "copied", drop=("contexts",))
-
-    several = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
-    left = firsts.join(several, "h").select("h", "first.doc_id", "first.lo", "context", "different")
-    left = scratch.write(left, "left", drop=("firsts",))
-    cold, hot = left.where(F.col("different") <= shard_contexts), left.where(F.col("different") > shard_contexts)
-    shards = max(1, math.ceil(SHARDS_PER_BOUND * left.count() / shard_contexts))
-    refined = cold.select("doc_id", "lo", "context", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(_refine(width), "doc_id bigint, a int, b int")
-    spans = whole_spans(copied).unionByName(copies).unionByName(refined).unionByName(_by_string(hot, width))
-    return scratch.write(spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans", drop=("left",))
+    place, size = F.struct("doc_id", "lo", "p"), F.octet_length("context")
+    spans, turn, used = whole_spans(copied), 0, ["hits"]
+    contexts = _contexts(docs, hits, width)
+    while True:
+        name = f"contexts-{turn}"
+        contexts = scratch.write(contexts.select("h", "doc_id", "lo", "p", "context", *keys), name, drop=tuple(used) if not turn else ())
+        firsts = contexts.groupBy("h", "k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.min_by("context", place).alias("context"))
+        firsts = scratch.write(firsts, f"firsts-{turn}")
+        copies = contexts.join(firsts.where("n > 1").select("h", "k1", "k2", "first"), ["h", "k1", "k2"]).where(place != F.col("first"))
+        copies = scratch.write(copies.select("doc_id", F.col("lo").alias("a"), (F.col("lo") + size).alias("b")), f"copied-{turn}", drop=(name,))
+
+        several = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
+        left = firsts.join(several, "h").select("h", "first.doc_id", "first.lo", "first.p", "context", "different")
+        left = scratch.write(left, f"left-{turn}", drop=(f"firsts-{turn}",))
+        cold, hot = left.where(F.col("different") <= shard_contexts), left.where(F.col("different") > shard_contexts)
+        shards = max(1, math.ceil(SHARDS_PER_BOUND * left.count() / shard_contexts))
+        refined = cold.select("doc_id", "lo", "context", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(_refine(width), "doc_id bigint, a int, b int")
+        spans = spans.unionByName(copies).unionByName(refined)
+        used = [*used, f"copied-{turn}", f"left-{turn}"]
+        if hot.isEmpty():
+            break
+        turn += 1
+        contexts = _parted(hot, width, turn)
+    return scratch.write(by_document(spans, shared), "spans", drop=("copies", *used[1:]))
 
 
 def _whole_characters(body: bytes, a: int, b: int) -> tuple[int, int]:
@@ -195,7 +210,7 @@ def remove_repeated(df: DataFrame, width: int = 100, text: str = "text", doc_id:
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
     read = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    joined, spans = with_spans(read, repeated_spans(df, width, text, doc_id), "doc_id")
+    joined, spans = with_spans(read, repeated_spans(df, width, text, doc_id), "doc_id", "text")
     return joined.select("doc_id", cut("text", F.col(f"{spans}.a"), F.col(f"{spans}.b")).alias("x")).select("doc_id", "x.*")
 
 
@@ -214,7 +229,7 @@ def without_repeated(df: DataFrame, width: int = 100, text: str = "text", doc_id
             kept.append(value)
         return pd.Series(kept, dtype=object)
 
-    joined, spans = with_spans(df, repeated_spans(df, width, text, doc_id), doc_id)
+    joined, spans = with_spans(df, repeated_spans(df, width, text, doc_id), doc_id, text)
     name = fresh(joined, "_cut")
     made = joined.withColumn(name, cut(F.col(f"`{text}`"), F.col(f"{spans}.a"), F.col(f"{spans}.b")))
     out = {text: F.col(name)} | ({n_chars: F.length(name).cast(df.schema[n_chars].dataType)} if n_chars in df.columns else {})
