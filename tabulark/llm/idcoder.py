@@ -1,12 +1,15 @@
 """Token ids in checksummed blocks, by an adaptive context-mixing range coder.
 
-The distribution of the next id is a mixture: the id that followed the last two ids before (order 2),
-the id that followed the last one (order 1), and adaptive counts of id bands (order 0, which covers
-every id). The order-2 and order-1 weights adapt to how often ids predicted with that confidence
-came true. A range coder codes each id by its interval in the mixture. Every block starts from a
-reset model and carries the CRC-32 of its ids, so any block can be read, and checked, alone.
+Four predictions share the code space of the next id: the id that followed the last two ids before (order 2),
+the two ids that followed the last one most lately (order 1), and adaptive counts of single ids (order 0, which
+covers every id). The weights of the first three adapt to how often ids predicted with that confidence came true;
+order 0 has the rest. Its counts start from a rank prior, as vocabularies number frequent ids first, and take in
+the block's ids so far whenever these have grown fourfold. A range coder codes each id by its interval. Every
+block starts from a reset model and carries a CRC-32 of its header and ids, so any block can be read, and
+checked, alone.
 
-Many blocks are coded side by side, one numpy lane each: step t codes the t-th id of every block.
+Many blocks are coded side by side, one numpy lane each: step t codes the t-th id of every block. All of the model
+is integer arithmetic, the same on every machine.
 
 A block: header ``magic, ids, words, crc32`` as four little-endian unsigned 32-bit integers, then the
 code as little-endian 32-bit words.
@@ -18,19 +21,23 @@ import zlib
 
 import numpy as np
 
-MAGIC = 0x31424354
-BLOCK_IDS = 1024
-LANES = 4096
+MAGIC = 0x32424354
+BLOCK_IDS = 16384
+LANES = 512
+#: Entries of all lanes' order-0 tables together: with more ids, fewer lanes are coded side by side.
+TABLE_ENTRIES = LANES << 16
 
 _U = np.uint64
 _TOTAL_BITS = 26
 _TOTAL = 1 << _TOTAL_BITS
-# Order 0 keeps a sixteenth at least. With at most BLOCK_IDS steps, two counts a band from the start and
-# bands of at most 2**12 ids, every id has an interval: 2**22 * 2 / (2 * 80 + 1024) / 2**12 > 1.
+# Order 0 keeps a sixteenth at least, so that an id with one of its 2**_BITS0 parts has an interval.
 _CHOSEN = _TOTAL - (_TOTAL >> 4)
-_WIDEST = 12
-_ORDER1, _ORDER2 = 512, 1024
-_NONE = 1 << 24  # predicted by an empty slot: no id
+_BITS0, _INVERSE_BITS = 22, 14
+_GROWTH, _FIRST_COUNT, _COUNT_WEIGHT = 4, 256, 512
+_ORDER1, _ORDER2 = 2048, 4096
+# A slot is an id and, in three bits, the confidence in it: 0 to 3, or that there is none.
+_CONFIDENT, _NOTHING = 3, 4
+_EMPTY = 1 << 26 | _NOTHING
 _LOW = _U(0xFFFFFFFF)
 _SHIFT = _U(32)
 
@@ -39,103 +46,113 @@ class CorruptBlock(ValueError):
     """A block whose header, length or checksum does not hold."""
 
 
-def _bands(largest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower bounds (and the end) of some tens of id bands, each a power of two wide, and the widths' exponents."""
-    bounds, bits = [0], []
-    while bounds[-1] <= largest:
-        bits.append(min(_WIDEST, max(3, (bounds[-1] // 16).bit_length() + 1)))
-        bounds.append(bounds[-1] + (1 << bits[-1]))
-    return np.array(bounds, dtype=np.int64), np.array(bits, dtype=np.int64)
-
-
 class _Model:
-    """The mixture of every lane. Ids are below 2**23."""
+    """The mixture of every lane. Ids are below 2**21."""
 
     def __init__(self, lanes: int, largest: int):
-        self.bounds, self.bits = _bands(largest)
-        self.of_id = np.repeat(np.arange(len(self.bits)), np.diff(self.bounds)).astype(np.int64)
-        n = len(self.bits)
-        self.lane = np.arange(lanes)
-        self.below = np.tile(2 * np.arange(n + 1, dtype=np.uint16), (lanes, 1))  # counts of all bands before one
-        self.row = self.lane * (n + 1)
-        self.later = (np.arange(n + 1) > np.arange(n)[:, None]).astype(np.uint16)  # what one id of a band adds
-        self.count = 2 * n
-        self.one = np.full(lanes * _ORDER1, _NONE << 2, dtype=np.int64)
-        self.two = np.full(lanes * _ORDER2, _NONE << 2, dtype=np.int64)
-        self.trust2 = np.full(lanes * 8, 1 << 14, dtype=np.int64)
-        self.trust1 = np.full(lanes * 8, 1 << 13, dtype=np.int64)
-        self.last = np.zeros(lanes, dtype=np.int64)
-        self.before = np.zeros(lanes, dtype=np.int64)
+        if largest >= 1 << 21:
+            raise ValueError("ids are too large")
+        self.size = size = largest + 1
+        self.prior, self.own = 1 + (1 << 16) // (np.arange(size) + 64), np.arange(1, size + 1)
+        self.cum = np.zeros((lanes, size + 1), dtype=np.int32)
+        self.inverse = np.zeros((lanes, (1 << _INVERSE_BITS) + 1), dtype=np.int32)
+        self._count(0, self.prior)
+        self.cum[:], self.inverse[:] = self.cum[0], self.inverse[0]
+        self.flat, self.flat_inverse = self.cum.ravel(), self.inverse.ravel()
+        lane = np.arange(lanes)
+        self.row, self.row_inverse = lane * (size + 1), lane * ((1 << _INVERSE_BITS) + 1)
+        # All slots in one array: order 2, then the later and the earlier one of order 1.
+        firsts = (0, lanes * _ORDER2, lanes * (_ORDER2 + _ORDER1))
+        self.slots = np.full(lanes * (_ORDER2 + 2 * _ORDER1), _EMPTY, dtype=np.int32)
+        self.rows = np.stack([lane * width + first for first, width in zip(firsts, (_ORDER2, _ORDER1, _ORDER1), strict=True)])
+        self.masks = np.array([[_ORDER2 - 1], [_ORDER1 - 1], [_ORDER1 - 1]])
+        # Trust in each confidence, in 65536ths; the last entries stand for empty slots and stay 0.
+        self.trusts = np.concatenate([np.tile(np.array([t, t, t, t, 0, 0, 0, 0], dtype=np.int64), lanes) for t in (1 << 14, 1 << 13, 1 << 12)])
+        self.lanes = np.stack([(lane + k * lanes) * 8 for k in range(3)])
+        self.last, self.before = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+        self.next_count = _FIRST_COUNT
+
+    def _count(self, lane: int, weights: np.ndarray) -> None:
+        """Every id has a part of its own besides its share of the others."""
+        sums = np.cumsum(weights)
+        cum = self.cum[lane]
+        cum[1:] = (sums * ((((1 << _BITS0) - self.size) << 20) // int(sums[-1])) >> 20) + self.own
+        step = _BITS0 - _INVERSE_BITS
+        begun = np.bincount(cum[:-1] + ((1 << step) - 1) >> step, minlength=(1 << _INVERSE_BITS) + 1)
+        self.inverse[lane] = np.cumsum(begun[: (1 << _INVERSE_BITS) + 1]) - 1
+        cum[-1] = 1 << _BITS0
+
+    def seen(self, ids: np.ndarray) -> None:
+        """Counts ids (steps by lanes) anew when there are enough more of them."""
+        if len(ids) == self.next_count:
+            for lane in range(ids.shape[1]):
+                self._count(lane, self.prior + _COUNT_WEIGHT * np.bincount(ids[:, lane], minlength=self.size))
+            self.next_count *= _GROWTH
 
     def predict(self) -> None:
-        self.at1 = self.lane * _ORDER1 + ((self.last * 0x9E35 >> 4) & (_ORDER1 - 1))
-        self.at2 = self.lane * _ORDER2 + (((self.last * 0x9E35 + self.before * 0x85EB) >> 3) & (_ORDER2 - 1))
-        self.slot1, self.slot2 = slot1, slot2 = self.one.take(self.at1), self.two.take(self.at2)
-        self.id1, self.id2 = slot1 >> 2, slot2 >> 2
-        self.t2 = self.lane * 8 + (slot2 & 3) + 4 * (self.id1 == self.id2)
-        self.t1 = self.lane * 8 + (slot1 & 3)
-        self.was2, self.was1 = self.trust2.take(self.t2), self.trust1.take(self.t1)
-        known2 = self.id2 != _NONE
-        known1 = (self.id1 != _NONE) & (self.id1 != self.id2)
-        self.w2 = np.where(known2, self.was2 * (_CHOSEN >> 16), 0)
-        self.w1 = np.where(known1, ((_CHOSEN - self.w2) >> 16) * self.was1, 0)
-        self.w0 = _TOTAL - self.w2 - self.w1
-
-    def share(self, band: np.ndarray) -> np.ndarray:
-        """Order-0 mass before a band."""
-        return self.w0 * self.below.take(self.row + band) // self.count
+        mixed = self.last * 0x9E35
+        self.at = self.rows + ((np.stack([mixed + self.before * 0x85EB, mixed, mixed]) >> 3) & self.masks)
+        self.slot = self.slots.take(self.at)
+        self.ids = self.slot >> 3
+        self.state = self.lanes + (self.slot & 7)
+        self.trust = self.trusts.take(self.state)
+        self.end2 = self.trust[0] * (_CHOSEN >> 16)
+        other = self.ids[1:] != self.ids[0]
+        rest = _CHOSEN - self.end2
+        w1 = (rest >> 16) * self.trust[1] * other[0]
+        self.end1 = self.end2 + w1
+        self.end = self.end1 + (rest - w1 >> 16) * self.trust[2] * other[1]
+        self.rest = _TOTAL - self.end
 
     def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of the ids' intervals among _TOTAL."""
-        self.band = band = self.of_id.take(ids)
-        base, top = self.share(band), self.share(band + 1)
-        each = (top - base) >> self.bits.take(band)
-        inside = ids - self.bounds.take(band)
-        start = base + each * inside + self.w2 * (self.id2 < ids) + self.w1 * (self.id1 < ids)
-        return start, each + self.w2 * (self.id2 == ids) + self.w1 * (self.id1 == ids)
+        place = self.row + ids
+        start = (self.rest * self.flat.take(place) >> _BITS0) + self.end
+        stop = (self.rest * self.flat.take(place + 1) >> _BITS0) + self.end
+        hits = self.ids == ids
+        for guess, low, high in ((2, self.end1, self.end), (1, self.end2, self.end1), (0, 0, self.end2)):
+            here = hits[guess] & (high > low)
+            start, stop = np.where(here, low, start), np.where(here, high, stop)
+        return start, stop - start
 
     def find(self, value: np.ndarray) -> np.ndarray:
         """The ids in whose intervals the values lie."""
-        ids = np.full(len(value), -1, dtype=np.int64)
-        rest = value.copy()
-        first = np.minimum(self.id1, self.id2)
-        second = np.maximum(self.id1, self.id2)
-        wa = np.where(self.id1 < self.id2, self.w1, self.w2)
-        wb = np.where(self.id1 < self.id2, self.w2, self.w1)
-        for guess, weight in ((first, wa), (second, wb)):
-            # ``rest`` is the value without the point masses of smaller guesses.
-            open_ = (ids < 0) & (weight > 0)
-            known = np.where(open_, guess, 0)
-            band = self.of_id.take(known)
-            base = self.share(band)
-            each = (self.share(band + 1) - base) >> self.bits.take(band)
-            start = base + each * (known - self.bounds.take(band))
-            here = open_ & (rest >= start) & (rest < start + weight + each)
-            ids = np.where(here, known, ids)
-            rest = np.where(open_ & (rest >= start + weight + each), rest - weight, rest)
-        most = np.clip(((rest + 1) * self.count - 1) // self.w0, 0, 65535).astype(np.uint16)  # count whose share is not above
-        band = np.minimum((self.below <= most[:, None]).sum(axis=1, dtype=np.int64) - 1, len(self.bits) - 1)
-        base = self.share(band)
-        bits = self.bits.take(band)
-        each = np.maximum((self.share(band + 1) - base) >> bits, 1)
-        plain = self.bounds.take(band) + np.minimum((rest - base) // each, (1 << bits) - 1)
-        return np.where(ids < 0, plain, ids)
+        # The last part whose scaled begin is not above the value.
+        part = ((np.maximum(value - self.end, 0) + 1 << _BITS0) - 1) // self.rest
+        slot = self.row_inverse + (part >> (_BITS0 - _INVERSE_BITS))
+        low = self.flat_inverse.take(slot)
+        high = self.flat_inverse.take(slot + 1) + 1
+        while (high - low).max() > 1:
+            middle = low + high >> 1
+            reached = self.flat.take(self.row + middle) <= part
+            low, high = np.where(reached, middle, low), np.where(reached, high, middle)
+        two, one, other = self.ids
+        found = np.where(value < self.end, other, low)
+        return np.where(value < self.end2, two, np.where(value < self.end1, one, found))
 
     def update(self, ids: np.ndarray) -> None:
-        hit2, hit1 = self.id2 == ids, self.id1 == ids
-        t2, t1 = self.was2, self.was1
-        self.trust2[self.t2] = np.where(self.id2 == _NONE, t2, t2 + ((hit2 * 65000 + 200 - t2) >> 4))
-        self.trust1[self.t1] = np.where((self.id1 == _NONE) | hit2, t1, t1 + ((hit1 * 65000 + 200 - t1) >> 4))
-        self.two[self.at2] = np.where(hit2, np.minimum(self.slot2 + 1, ids << 2 | 3), ids << 2)
-        self.one[self.at1] = np.where(hit1, np.minimum(self.slot1 + 1, ids << 2 | 3), ids << 2)
-        self.below += self.later.take(self.band, axis=0)
-        self.count += 1
+        hits = self.ids == ids
+        self.trusts[self.state] = (self.trust + (hits * 65000 + 200 - self.trust >> 4)) * (self.trust > 0)
+        fresh = ids << 3
+        new = np.where(hits, np.minimum(self.slot + 1, fresh | _CONFIDENT), fresh)
+        # What order 1 now has first was it already, or came second, or is new; else the first becomes the second.
+        new[1] += hits[2]
+        new[2] = np.where(hits[1], self.slot[2], self.slot[1])
+        self.slots[self.at] = new
         self.before, self.last = self.last, ids
 
     def keep(self, n: int) -> None:
         """Go on with the first n lanes only."""
-        for name in ("lane", "row", "last", "before", "below"):
-            setattr(self, name, getattr(self, name)[:n])
+        for name in ("row", "row_inverse", "rows", "lanes", "last", "before"):
+            setattr(self, name, getattr(self, name)[..., :n])
+
+
+def _lanes_for(largest: int) -> int:
+    return max(1, min(LANES, TABLE_ENTRIES // (largest + 1)))
+
+
+def _crc(head: np.ndarray, ids: np.ndarray) -> int:
+    return zlib.crc32(ids.tobytes(), zlib.crc32(head[:3].tobytes()))
 
 
 def _narrow(low: np.ndarray, span: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,10 +171,13 @@ def _lanes(blocks: list[np.ndarray]) -> tuple[list[int], np.ndarray, np.ndarray]
 
 
 def encode(blocks: list[np.ndarray], largest: int = 65535) -> list[bytes]:
-    """The blocks' bytes. A block is an array of ids of 0 to ``largest`` (at most 2**22)."""
+    """The blocks' bytes. A block is an array of at most BLOCK_IDS ids of 0 to ``largest`` (below 2**21)."""
+    if any(len(b) > BLOCK_IDS for b in blocks):
+        raise ValueError("a block has too many ids")
     made: list[bytes] = [b""] * len(blocks)
-    for at in range(0, len(blocks), LANES):
-        group = [np.asarray(b, dtype=np.int64) for b in blocks[at : at + LANES]]
+    lanes = _lanes_for(largest)
+    for at in range(0, len(blocks), lanes):
+        group = [np.asarray(b, dtype=np.int64) for b in blocks[at : at + lanes]]
         order, lengths, active = _lanes(group)
         n, steps = len(group), len(active)
         ids = np.zeros((steps, n), dtype=np.int64)
@@ -178,6 +198,7 @@ def encode(blocks: list[np.ndarray], largest: int = 65535) -> list[bytes]:
                 flush(m, low[m:])
                 low, span = low[:m], span[:m]
                 model.keep(m)
+            model.seen(ids[:t, :m])
             model.predict()
             now = ids[t, :m]
             low, span, out = _narrow(low, span, *model.interval(now))
@@ -190,7 +211,8 @@ def encode(blocks: list[np.ndarray], largest: int = 65535) -> list[bytes]:
         flush(0, low)
         for lane, i in enumerate(order):
             code = words[lane, : used[lane]]
-            head = np.array([MAGIC, lengths[lane], len(code), zlib.crc32(group[i].astype("<u4").tobytes())], dtype="<u4")
+            head = np.array([MAGIC, lengths[lane], len(code), 0], dtype="<u4")
+            head[3] = _crc(head, group[i].astype("<u4"))
             made[at + i] = head.tobytes() + code.tobytes()
     return made
 
@@ -198,12 +220,13 @@ def encode(blocks: list[np.ndarray], largest: int = 65535) -> list[bytes]:
 def decode(blocks: list[bytes], largest: int = 65535) -> list[np.ndarray]:
     """The ids of every block, as little-endian unsigned 32-bit arrays; CorruptBlock where one fails its checks."""
     made: list[np.ndarray] = [np.zeros(0, dtype="<u4")] * len(blocks)
-    for at in range(0, len(blocks), LANES):
-        group = blocks[at : at + LANES]
+    lanes = _lanes_for(largest)
+    for at in range(0, len(blocks), lanes):
+        group = blocks[at : at + lanes]
         heads = []
         for block in group:
             head = np.frombuffer(block[:16], dtype="<u4")
-            if len(head) < 4 or head[0] != MAGIC or len(block) != 16 + 4 * int(head[2]):
+            if len(head) < 4 or head[0] != MAGIC or int(head[1]) > BLOCK_IDS or len(block) != 16 + 4 * int(head[2]):
                 raise CorruptBlock("header or length")
             heads.append(head)
         order = sorted(range(len(group)), key=lambda i: -int(heads[i][1]))
@@ -223,6 +246,7 @@ def decode(blocks: list[bytes], largest: int = 65535) -> list[np.ndarray]:
             if m < len(low):
                 low, span, code, used = low[:m], span[:m], code[:m], used[:m]
                 model.keep(m)
+            model.seen(ids[:t, :m])
             model.predict()
             value = np.minimum((code - low) // (span >> _U(_TOTAL_BITS)), _U(_TOTAL - 1)).astype(np.int64)
             now = np.minimum(model.find(value), largest)
@@ -236,7 +260,7 @@ def decode(blocks: list[bytes], largest: int = 65535) -> list[np.ndarray]:
             model.update(now)
         for lane, i in enumerate(order):
             found = np.ascontiguousarray(ids[: lengths[lane], lane]).astype("<u4")
-            if zlib.crc32(found.tobytes()) != int(heads[i][3]):
+            if _crc(heads[i], found) != int(heads[i][3]):
                 raise CorruptBlock("checksum")
             made[at + i] = found
     return made

@@ -3,7 +3,8 @@
 A frame is one row ``file, frame, start, doc_ids, doc_tokens, blocks``: some whole documents whose ids,
 concatenated, are cut into blocks of :mod:`idcoder`. ``start`` counts the ids of the file before the
 frame. Files are range partitions of the document ids, so file order is document order. The rows
-are kept in Parquet, whose commit protocol makes a write by many executors, some lost, safe.
+are kept in Parquet, whose commit protocol makes a write by many executors, some lost, safe. A table
+``_files`` beside them says how many frames and ids each file has, so that reading notices what is missing.
 """
 
 from __future__ import annotations
@@ -116,8 +117,15 @@ def decode_frames(frames: DataFrame, largest: int = 65535) -> DataFrame:
     return frames.select("file", "frame", "start", "doc_ids", "doc_tokens", "blocks").mapInArrow(tasks, "file int, doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
+def _files(frames: DataFrame) -> DataFrame:
+    """``file, frames, ids``: a row per file, whose number the cluster sets, not the data."""
+    ids = F.aggregate("doc_tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return frames.groupBy("file").agg(F.count(F.lit(1)).alias("frames"), F.sum(ids).alias("ids"))
+
+
 def write_ids(df: DataFrame, path: str, vocabulary: str, end_id: int, **names: str) -> None:
     encode_frames(df, vocabulary, end_id, **names).write.mode("overwrite").parquet(path)
+    _files(df.sparkSession.read.schema(FRAME).parquet(path)).write.mode("overwrite").parquet(f"{path}/_files")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -125,10 +133,12 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     Defined results: a null or empty text is a document of the end id alone; null doc_ids come first
     and stay null; equal doc_ids are ordered by text; an empty table gives no rows; other columns
-    are not written."""
+    are not written. A file or frame that is missing raises."""
     frames = spark.read.schema(FRAME).parquet(path)
-    # One row per file, a number that the cluster sets, not the data.
-    files = frames.groupBy("file").agg(F.sum(F.aggregate("doc_tokens", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("ids"))
-    before = F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = files.select("file", F.coalesce(before, F.lit(0)).alias("before"))
+    written = spark.read.schema("file int, frames bigint, ids bigint").parquet(f"{path}/_files")
+    before = F.coalesce(F.sum("w.ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = F.col("w.frames").eqNullSafe(F.col("r.frames")) & F.col("w.ids").eqNullSafe(F.col("r.ids"))
+    both = written.alias("w").join(_files(frames).alias("r"), "file", "full_outer")
+    missing = F.raise_error(F.lit("frames or files are missing")).cast("bigint")
+    offsets = both.select("file", F.when(whole, before).otherwise(missing).alias("before"))
     return decode_frames(frames).join(F.broadcast(offsets), "file").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
