@@ -59,9 +59,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = Scratch(spark, "warc").write(warc.write_archives(_table(spark, sf_dir, "pages")), "archives")
-    pages = warc.read_pages(archives)
-    sizes = pages.where("record_type = 'response'").groupBy("payload_digest").agg(F.max(F.octet_length("payload")).cast("bigint").alias("payload_bytes"))
-    return pages.drop("payload").join(sizes, "payload_digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read_pages(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

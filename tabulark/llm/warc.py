@@ -7,7 +7,8 @@ segment 2, and (the last one) give the total length. Reading groups the segments
 orders them by number, verifies the total length, takes the chunk framing off, and checks the digest.
 
 Of pages with equal payloads, the one with the largest id is the response and the others are revisit
-records without a body. Only digests meet in a shuffle by payload, after partial aggregation.
+records without a body, which name the response's record and say how long the payload is. Only ids and digests
+meet in a shuffle by payload; a payload that very many pages have is spread by their ids when it is looked up.
 
 Defined results: a null html is an empty payload; a null page id is smaller than any other, and is
 kept as null; rows repeated with one page id and payload are all responses, or all revisits; an
@@ -32,9 +33,11 @@ CHUNK_BYTES = 4096
 
 ARCHIVE = "archive string, content binary"
 _SEGMENT = pa.schema(
-    [("origin", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("digest", pa.string()), ("content", pa.binary())]
+    [("origin", pa.string()), ("segment", pa.int64()), ("total", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("digest", pa.string()), ("size", pa.int64()), ("content", pa.binary())]
 )
-SEGMENT = "origin string, segment bigint, total bigint, kind string, page_id bigint, refers_to bigint, digest string, content binary"
+SEGMENT = "origin string, segment bigint, total bigint, kind string, page_id bigint, refers_to bigint, digest string, size bigint, content binary"
+_PAGE = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
+PAGE = "page_id bigint, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary"
 
 
 class BrokenArchive(ValueError):
@@ -95,13 +98,20 @@ def _page_id(value: str | None) -> int | None:
     return None if value in (None, "none") else int(value)
 
 
+def _name(page_id: int | None, digest: str) -> str:
+    """The record id of a page's response: the same wherever it is made, so that revisits can name it."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}/{digest}").urn
+
+
 def _records(origin: str, page_id: int | None, url: str, payload: bytes, refers_to: int | None, segment_bytes: int) -> Iterator[bytes]:
     digest = f"sha1:{base32_sha1(payload)}"
-    own = [("WARC-Record-ID", f"<{origin}>"), ("WARC-Date", "2000-01-01T00:00:00Z"), ("WARC-Target-URI", url), ("X-Page-ID", "none" if page_id is None else str(page_id)), ("WARC-Payload-Digest", digest)]
+    own = [("WARC-Date", "2000-01-01T00:00:00Z"), ("WARC-Target-URI", url), ("X-Page-ID", "none" if page_id is None else str(page_id)), ("WARC-Payload-Digest", digest)]
     if refers_to is not None:
-        headers = [("WARC-Type", "revisit"), *own, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-ID", str(refers_to))]
-        yield record(headers, b"HTTP/1.1 200 OK\r\n\r\n")
+        headers = [("WARC-Type", "revisit"), ("WARC-Record-ID", f"<{origin}>"), *own, ("WARC-Refers-To", f"<{_name(refers_to, digest)}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        yield record([*headers, ("X-Refers-To-Page-ID", str(refers_to)), ("X-Payload-Length", str(len(payload)))], b"HTTP/1.1 200 OK\r\n\r\n")
         return
+    origin = _name(page_id, digest)
+    own = [("WARC-Record-ID", f"<{origin}>"), *own]
     message = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(message) <= segment_bytes:
         yield record([("WARC-Type", "response"), *own], message)
@@ -118,9 +128,11 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, segment
     """The archives of all pages. Payloads of fewer than ``least_bytes`` bytes are never revisited."""
     read = pages.select(F.col(f"`{page_id}`").cast("bigint").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
     read = read.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    firsts = read.groupBy("sha1").agg(F.max("page_id").alias("response"))
-    own = F.col("page_id").eqNullSafe(F.col("response")) | (F.octet_length("html") < least_bytes)
-    placed = read.join(firsts, "sha1").select("page_id", "url", "html", F.when(~own, F.col("response")).alias("refers_to"))
+    ids = read.where(F.octet_length("html") >= least_bytes).select("page_id", "sha1")
+    firsts = ids.groupBy("sha1").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("pages")).where("pages > 1")
+    again = ids.join(firsts, "sha1").where(~F.col("page_id").eqNullSafe(F.col("response"))).select(F.col("page_id").alias("again"), F.col("sha1").alias("again_sha1"), "response").distinct()
+    same = F.col("page_id").eqNullSafe(F.col("again")) & (F.col("sha1") == F.col("again_sha1"))
+    placed = read.join(again, same, "left").select("page_id", "url", "html", F.col("response").alias("refers_to"))
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, rows, made, size = TaskContext.get().partitionId(), 0, 0, 0
@@ -148,7 +160,8 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, segment
 
 
 def read_segments(archives: DataFrame) -> DataFrame:
-    """One row per record: ``origin, segment`` (null: whole record), ``total, kind, page_id, refers_to, digest, content``."""
+    """One row per record: ``origin, segment`` (null: whole record), ``total, kind, page_id, refers_to, digest, size`` (of
+    a revisit's payload), ``content``."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +169,8 @@ def read_segments(archives: DataFrame) -> DataFrame:
                 rows = []
                 for h, body in parse(content.as_py()):
                     origin = h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]).strip("<>")
-                    number, total = h.get("WARC-Segment-Number"), h.get("WARC-Segment-Total-Length")
-                    rows.append((origin, number and int(number), total and int(total), h["WARC-Type"], _page_id(h.get("X-Page-ID")), _page_id(h.get("X-Refers-To-Page-ID")), h.get("WARC-Payload-Digest", "").removeprefix("sha1:"), body))
+                    number, total, length = (h.get(k) for k in ("WARC-Segment-Number", "WARC-Segment-Total-Length", "X-Payload-Length"))
+                    rows.append((origin, number and int(number), total and int(total), h["WARC-Type"], _page_id(h.get("X-Page-ID")), _page_id(h.get("X-Refers-To-Page-ID")), h.get("WARC-Payload-Digest", "").removeprefix("sha1:"), length and int(length), body))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SEGMENT.types, strict=True)], schema=_SEGMENT)
 
@@ -165,40 +178,67 @@ def read_segments(archives: DataFrame) -> DataFrame:
 
 
 def reassemble(segments: DataFrame) -> DataFrame:
-    """Whole records: ``kind, page_id, refers_to, digest, content``.
+    """Whole records: ``kind, page_id, refers_to, digest, size, pieces`` (the contents of the segments, in order).
 
-    Only segmented records meet in a shuffle, by origin; a group is one page. An origin whose numbers have
-    gaps or whose length is not the total that its last segment gives raises."""
-    whole = segments.where(F.col("segment").isNull()).select("kind", "page_id", "refers_to", "digest", "content")
+    Only segmented records meet in a shuffle, by origin; a group is one page (rows repeated with one page id and
+    payload have one origin, and as many copies of each segment). An origin whose numbers have gaps or whose
+    length is not the total that its last segment gives raises."""
+    whole = segments.where(F.col("segment").isNull()).select("kind", "page_id", "refers_to", "digest", "size", F.array("content").alias("pieces"), F.lit(1).alias("copies"))
     pieces = F.array_sort(F.collect_list(F.struct("segment", "total", "page_id", "digest", "content")))
     parts = segments.where(F.col("segment").isNotNull()).groupBy("origin").agg(pieces.alias("p"))
+    parts = parts.withColumn("copies", F.size(F.filter("p", lambda x: x["segment"] == 1)))
+    parts = parts.withColumn("p", F.filter("p", lambda x, i: i % F.greatest(F.col("copies"), F.lit(1)) == 0))
     first, last = F.element_at("p", 1), F.element_at("p", -1)
-    joined = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["content"]))
-    parts = parts.select(first["page_id"].alias("page_id"), first["digest"].alias("digest"), joined.alias("content"), last["total"].alias("total"), last["segment"].alias("last"), F.size("p").alias("n"), first["segment"].alias("first"))
-    good = (F.col("first") == 1) & (F.col("last") == F.col("n")) & F.col("total").eqNullSafe(F.octet_length("content").cast("bigint"))
-    checked = F.when(good, F.col("content")).otherwise(F.raise_error(F.lit("segments are missing or do not add up to the total length")).cast("binary"))
-    return whole.unionByName(parts.select(F.lit("response").alias("kind"), "page_id", F.lit(None).cast("bigint").alias("refers_to"), "digest", checked.alias("content")))
+    length = F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + F.octet_length(x["content"]))
+    in_order = F.forall(F.transform("p", lambda x, i: x["segment"] == i + 1), lambda x: x)
+    good = in_order & last["total"].eqNullSafe(length)
+    broken = F.raise_error(F.lit("segments are missing or do not add up to the total length")).cast("array<binary>")
+    contents = F.when(good, F.transform("p", lambda x: x["content"])).otherwise(broken)
+    none = F.lit(None).cast("bigint")
+    joined = parts.select(F.lit("response").alias("kind"), first["page_id"].alias("page_id"), none.alias("refers_to"), first["digest"].alias("digest"), none.alias("size"), contents.alias("pieces"), "copies")
+    return whole.unionByName(joined)
 
 
 def read_pages(archives: DataFrame) -> DataFrame:
-    """One row per page: ``page_id, record_type, refers_to, payload_digest, payload`` (null for revisits).
+    """One row per page: ``page_id, record_type, refers_to, payload_digest, payload_bytes, payload`` (null for revisits).
 
     The digest of a response is computed from the payload read back, and must be the one in its header."""
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, ids, refers, digests = (batch.column(i).to_pylist() for i in range(4))
-            payloads = []
-            for kind, digest, content in zip(kinds, digests, batch.column(4), strict=True):
-                head, _, body = content.as_py().partition(b"\r\n\r\n")
-                if kind == "revisit":
-                    payloads.append(None)
-                    continue
-                payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
-                if base32_sha1(payload) != digest:
-                    raise BrokenArchive("payload digest")
-                payloads.append(payload)
-            columns = [pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(refers, pa.int64()), pa.array(digests, pa.string()), pa.array(payloads, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "record_type", "refers_to", "payload_digest", "payload"])
-
-    return reassemble(read_segments(archives)).mapInArrow(tasks, "page_id bigint, record_type string, refers_to bigint, payload_digest string, payload binary")
+            kinds, ids, refers, digests, sizes, copies = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 6))
+            rows = []
+            for kind, key, refer, digest, size, pieces, n in zip(kinds, ids, refers, digests, sizes, batch.column(5), copies, strict=True):
+                payload = None
+                if kind != "revisit":
+                    head, _, body = b"".join(pieces.as_py()).partition(b"\r\n\r\n")
+                    payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+                    if base32_sha1(payload) != digest:
+                        raise BrokenArchive("payload digest")
+                    size = len(payload)
+                rows += [(key, kind, refer, digest, size, payload)] * n
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PAGE.types, strict=True)], schema=_PAGE)
+
+    return reassemble(read_segments(archives)).mapInArrow(tasks, PAGE)
+
+
+def export(archives: DataFrame, folder: str) -> DataFrame:
+    """Each archive as a file ``folder/<archive>`` that any WARC reader opens; ``archive, bytes`` of what was written.
+
+    Tasks write through the file system that ``folder`` names (a shared one), first under a name of their own,
+    so that a task that is run again leaves one whole file."""
+    from pyarrow import fs
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = f"{root}/.{name}-{uuid.uuid4().hex}"
+                with system.open_output_stream(own) as out:
+                    out.write(content.as_buffer())
+                system.move(own, f"{root}/{name}")
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(content.as_buffer())], pa.int64())], names=["archive", "bytes"])
+
+    return archives.select("archive", "content").mapInArrow(tasks, "archive string, bytes bigint")
