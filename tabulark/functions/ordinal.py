@@ -71,7 +71,8 @@ def with_next_valid(df: DataFrame, key: str, valid: Column, name: str) -> DataFr
 def with_group_carry(df: DataFrame, by: str, order: list[Column], value: Column, name: str) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows of the same ``by`` that come earlier in the given (total) order.
 
-    Each range passes on one row for each ``by`` in it, so that a large group is many tasks."""
+    Each range passes on one row for each ``by`` in it, so that a large group is many tasks; these rows grow with
+    the groups, and are joined, not broadcast."""
     rows = ranged(df.withColumn("_value", value), [F.col(by), *order])
     earlier = Window.rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("_range", by).agg(F.sum("_value").alias("_n"))
@@ -79,5 +80,5 @@ def with_group_carry(df: DataFrame, by: str, order: list[Column], value: Column,
     begins = sums.select(F.col("_range").alias("_at"), F.col(by).alias("_by"), begin.alias("_begin"))
     local = F.coalesce(F.sum("_value").over(earlier.partitionBy("_range", by).orderBy(*order)), F.lit(0))
     same = (F.col("_range") == F.col("_at")) & F.col(by).eqNullSafe(F.col("_by"))
-    found = rows.withColumn("_local", local).join(F.broadcast(begins), same)
+    found = rows.withColumn("_local", local).join(begins, same)
     return found.withColumn(name, (F.col("_begin") + F.col("_local")).cast("bigint")).drop("_value", "_range", "_at", "_by", "_begin", "_local")

@@ -17,6 +17,21 @@ def page_links(pages: DataFrame) -> DataFrame:
     return wanted.select("page_id", F.col("pos").cast("bigint").alias("pos"), "link", resolve(F.col("page"), F.col("link")).alias("url"))
 
 
+def image_links(pages: DataFrame) -> DataFrame:
+    """``page_id, pos, link, url``: the wanted images of each page in order; the lazy address (``data-src``) goes
+    before ``src``, and an empty one counts as none."""
+    tags = pages.select("page_id", F.col("url").alias("page"), F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)(<img\s[^>]*>)"), 1)).alias("pos", "tag"))
+    of = lambda name: F.nullif(F.regexp_extract("tag", rf"""(?i)\s{name}\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
+    found = tags.withColumn("link", F.coalesce(of("data-src"), of("src")))
+    wanted = found.where(F.col("link").isNotNull() & ~F.lower("link").rlike(UNWANTED))
+    return wanted.select("page_id", F.col("pos").cast("bigint").alias("pos"), "link", resolve(F.col("page"), F.col("link")).alias("url"))
+
+
+def image_responses(responses: DataFrame, content_type: str = "content_type") -> DataFrame:
+    """Responses whose content type names an image; none counts as no image."""
+    return responses.where(F.coalesce(F.col(content_type), F.lit("")).contains("image"))
+
+
 def resolve(page: Column, link: Column) -> Column:
     scheme = F.regexp_extract(page, r"^([a-zA-Z]+):", 1)
     host = F.regexp_extract(page, r"^([a-zA-Z]+://[^/?#]*)", 1)
@@ -49,8 +64,8 @@ def capped_union(queries: list[DataFrame], cap: int) -> DataFrame:
 
 def resume_quota(articles: DataFrame, manifest: DataFrame, targets: DataFrame) -> DataFrame:
     """Articles from the saved position on, whole, while the images before them are below the type's target."""
-    rest = articles.join(F.broadcast(manifest), "type", "left").where(F.col("pos") >= F.coalesce("next_index", F.lit(0)))
-    counted = with_group_carry(rest, "type", [F.col("pos")], F.col("images"), "before").join(F.broadcast(targets), "type")
+    rest = articles.join(manifest, "type", "left").where(F.col("pos") >= F.coalesce("next_index", F.lit(0)))
+    counted = with_group_carry(rest, "type", [F.col("pos")], F.col("images"), "before").join(targets, "type")
     return counted.where(F.coalesce("have", F.lit(0)) + F.col("before") < F.col("target")).select("type", "pos", "article_id", "images", "before")
 
 
@@ -81,6 +96,13 @@ def type_totals(rows: DataFrame, kind: str) -> DataFrame:
     return rows.rollup(F.col(kind).alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def update_manifest(old: DataFrame, progress: DataFrame) -> DataFrame:
+    """``type, next_index`` after a run: a type's new index where it has one, else the one it had."""
+    new = progress.select("type", F.col("next_index").alias("now"))
+    both = old.join(new, "type", "full_outer")
+    return both.select("type", F.coalesce("now", "next_index", F.lit(0)).alias("next_index"))
+
+
 def manifest(counts: DataFrame, types: list[str]) -> DataFrame:
     """``type, next_index`` for every type; types without rows start at 0."""
     names = counts.sparkSession.createDataFrame([(t,) for t in types], "type string")

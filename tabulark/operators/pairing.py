@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.ordinal import with_next_valid
 
 # The names one chart kind has in documents, folders and harvests.
-NAMES = (("kaplan_meier", "km", "km"), ("forest_plot", "forest", "forest"), ("waterfall_plot", "waterfall", "wf"))
 
 
 def pair_prefer(labels: DataFrame, first: DataFrame, second: DataFrame, keys: list[str], image: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import u
 
+# The library's own default prompts; ``route`` takes others.
 EXTRACT = "Extract all data from this chart as JSON."
 CLASSIFY = "Classify this chart."
 END = "</s>"
@@ -26,15 +27,18 @@ def sample_text(prompt: Column, target: Column) -> Column:
     return F.concat(prompt, F.lit("\n"), target, F.lit(END))
 
 
-def route(key: Column, body: Column, label: Column, share: float = 0.05, seed: str = "route") -> tuple[Column, Column]:
+def route(key: Column, body: Column, label: Column, share: float = 0.05, seed: str = "route", prompts: tuple[str, str] = (EXTRACT, CLASSIFY)) -> tuple[Column, Column]:
     """Prompt and target: a share of rows is asked for the class, the others for everything."""
     classify = u(seed, key) < share
-    return F.when(classify, CLASSIFY).otherwise(EXTRACT), F.when(classify, label).otherwise(body)
+    extract, ask = prompts
+    return F.when(classify, ask).otherwise(extract), F.when(classify, label).otherwise(body)
 
 
-def word_ids(text: Column, vocabulary: int = 32000) -> Column:
-    """The default tokenizer: words hashed to ids from 2 on (0 pads, 1 ends)."""
+def word_ids(text: Column, vocabulary: int = 32000, most: int | None = None) -> Column:
+    """The default tokenizer: words hashed to ids from 2 on (0 pads, 1 ends). With ``most``, only that many words
+    are hashed: what a sample of that length can hold."""
     words = F.regexp_extract_all(text, F.lit(r"(\S+)"), 1)
+    words = words if most is None else F.slice(words, 1, most)
     return F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int") % vocabulary + 2)
 
 

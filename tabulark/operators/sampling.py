@@ -9,6 +9,9 @@ from ..functions.draws import h
 from ..functions.ordinal import with_global_ordinal
 
 
+SLICES = 32
+
+
 def census(rows: DataFrame, category: str, cap: int, known: list[str] | None = None) -> DataFrame:
     """``category, n, quota, short``: known categories without rows count in the divisor; none at all is an error."""
     counts = rows.groupBy(F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("n"))
@@ -22,12 +25,18 @@ def census(rows: DataFrame, category: str, cap: int, known: list[str] | None = N
 
 
 def balanced(rows: DataFrame, category: str, key: str, cap: int, seed: str, known: list[str] | None = None) -> DataFrame:
-    """At most cap // categories rows of each, by hash; what a short category lacks is not redistributed."""
+    """At most cap // categories rows of each, by hash; what a short category lacks is not redistributed.
+
+    Rows are first cut to the quota in ``SLICES`` slices of each category, so that a category with a large part
+    of all rows is many tasks, and the last cut sees at most SLICES quotas of it."""
     k = len(known) if known else rows.select(category).distinct().count()
     if not k:
         raise ValueError("no categories")
-    w = Window.partitionBy(category).orderBy(h(seed, F.col(key)), key)
-    return rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap // k)
+    order = (h(seed, F.col(key)), F.col(key))
+    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(SLICES)))
+    for by in ([category, "_slice"], [category]):
+        sliced = sliced.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= cap // k)
+    return sliced.drop("_slice")
 
 
 def exact_fraction(rows: DataFrame, key: str, ratio: float, seed: str) -> DataFrame:

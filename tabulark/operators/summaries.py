@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordinal import with_group_carry
+
 
 def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
@@ -66,7 +68,8 @@ def percent_changes(orders: DataFrame, customer: DataFrame) -> DataFrame:
 def waterfall(values: DataFrame) -> DataFrame:
     """``chart, id, rank, label, value, colour``: clipped to +-100, descending, over 20 red, under -30 green."""
     cut = values.withColumn("value", clip(F.col("value"), -100.0, 100.0))
-    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("chart").orderBy(F.desc("value"), "id")).cast("bigint"))
+    numbered = with_group_carry(cut, "chart", [F.desc("value"), F.col("id")], F.lit(1), "before")
+    ranked = numbered.withColumn("rank", F.col("before") + 1)
     colour = F.when(F.col("value") > 20, "red").when(F.col("value") < -30, "green").otherwise("blue")
     return ranked.select("chart", "id", "rank", F.format_string("Patient %d", "rank").alias("label"), "value", colour.alias("colour"))
 

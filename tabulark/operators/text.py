@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import h, u
 
 MEDICAL, ENGLISH = (5, 12), (3, 12)
 # The words used where no vocabulary can be read.
-DEFAULT_WORDS = ("Control", "Treatment", "Survival", "Placebo", "Response")
+DEFAULT_WORDS = ("Control", "Treatment", "Survival", "Response", "Progression")
+DEFAULT_ENGLISH = ("apple", "dog", "house", "car", "banana")
 
 
 def words_of(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -45,11 +46,45 @@ def typo_noise(text: Column, key: Column, share: float = 0.3) -> Column:
     return F.when(u("typo", key) <= share, dropped).otherwise(text)
 
 
+# What goes before and after a metric.
+LABEL_PREFIXES = ("Estimated", "Adjusted", "Mean", "Median", "Baseline", "Post", "Aggregate", "Overall", "Comparative")
+LABEL_UNITS = ("(%)", "(Months)", "(Days)", "(Years)", "(mg/mL)", "(ng/dL)", "Index", "Ratio", "Score", "/ week")
+
+# The library's own smaller lists, for ``compose_label``.
 PREFIXES = ("Overall", "Median", "Relative", "Adjusted")
 METRICS = ("Survival", "Response", "Hazard", "Progression")
 UNITS = ("(%)", "(months)", "(days)", "(ratio)")
 
 
+def numbered_words(words: DataFrame, source: str, most: int, seed: str = "42") -> DataFrame:
+    """``source, pos, word``: a seeded sample of at most ``most`` words, capitalised and numbered from 0."""
+    w = Window.orderBy(h(seed, F.col("word")), "word")
+    sample = seeded_sample(words, most, seed).withColumn("pos", F.row_number().over(w).cast("bigint") - 1)
+    return sample.select(F.lit(source).alias("source"), "pos", F.initcap("word").alias("word"))
+
+
+def chart_labels(rows: DataFrame, key: str, words: DataFrame, prefixes: tuple[str, ...], units: tuple[str, ...], anarchy: float = 0.2) -> DataFrame:
+    """``key, label``: with a chance of ``anarchy`` one to three words of the source "english"; else a word of the source
+    "medical" alone, with a prefix or a unit at even odds, or with both. Then typographic noise.
+
+    ``words`` comes from ``numbered_words``. A label's words are rows that meet the vocabulary in a join."""
+    k = F.col(key)
+    fixed = lambda seed, of: F.element_at(F.array(*[F.lit(w) for w in of]), (F.floor(u(seed, k) * len(of)) + 1).cast("int"))
+    part = lambda place, source, at, text: F.struct(F.lit(place).alias("place"), F.lit(source).alias("source"), at.alias("at"), text.alias("text"))
+    none, nothing = F.lit(None).cast("double"), F.lit(None).cast("string")
+    free = F.transform(F.sequence(F.lit(1), (F.floor(u("words", k) * 3) + 1).cast("int")), lambda i: part(0, "english", u("free", k, i), nothing).withField("place", i))
+    metric, prefix, unit = part(2, "medical", u("metric", k), nothing), part(1, "", none, fixed("prefix", prefixes)), part(3, "", none, fixed("unit", units))
+    shape = F.floor(u("shape", k) * 3)
+    two = F.when(u("two", k) < 0.5, F.array(prefix, metric)).otherwise(F.array(metric, unit))
+    clinical = F.when(shape == 0, F.array(metric)).when(shape == 1, two).otherwise(F.array(prefix, metric, unit))
+    parts = rows.select(key, F.inline(F.when(u("anarchy", k) < anarchy, free).otherwise(clinical)))
+    sizes = words.groupBy("source").agg(F.count(F.lit(1)).alias("size"))
+    placed = parts.join(sizes, "source", "left").withColumn("pos", F.floor(F.col("at") * F.col("size")))
+    found = placed.join(words, ["source", "pos"], "left").select(key, "place", F.coalesce("text", "word").alias("word"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ")
+    return found.groupBy(key).agg(joined.alias("plain")).select(key, typo_noise(F.col("plain"), F.col(key)).alias("label"))
+
+
 def compose_label(key: Column) -> Column:
     """Metric; prefix and metric or metric and unit at even odds; or all three."""
     word = lambda seed, words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.floor(u(seed, key) * len(words)) + 1).cast("int"))

@@ -250,7 +250,7 @@ _LENGTH = 768
 
 def _shaped(t: Tables) -> DataFrame:
     ids, mask, labels, n = samples.shaped(samples.word_ids(F.lit(samples.EXTRACT)), F.col("ids"), _LENGTH)
-    tokens = t.documents.select("doc_id", samples.word_ids(F.coalesce("text", F.lit(""))).alias("ids"))
+    tokens = t.documents.select("doc_id", samples.word_ids(F.coalesce("text", F.lit("")), most=_LENGTH).alias("ids"))
     return tokens.select("doc_id", ids.alias("input_ids"), mask.alias("attention_mask"), labels.alias("labels"), n.cast("bigint").alias("n"))
 
 
@@ -312,6 +312,33 @@ def compose_labels(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", text.compose_label(F.col("c_custkey")).alias("label"))
 
 
+def _sql_noise(source: str) -> str:
+    """The SQL of text.typo_noise over rows ``k, x``; DuckDB has one capital sharp s, Spark two letters."""
+    return f"""WITH a0 AS ({source}), a AS (SELECT k, x, floor({sql_u("kind", "k")} * 4) AS kind, floor({sql_u("case", "k")} * 3) AS style FROM a0),
+b AS (SELECT *, CASE WHEN kind NOT IN (0, 3) THEN x WHEN style = 0 THEN upper(replace(x, 'ß', 'SS')) WHEN style = 1 THEN lower(x) ELSE array_to_string(list_transform(range(1, length(x) + 1),
+  lambda i: CASE WHEN {sql_u("mix", "k", "i - 1")} < 0.5 THEN upper(replace(x[i], 'ß', 'SS')) ELSE lower(x[i]) END), '') END AS cased FROM a),
+c AS (SELECT *, CASE WHEN kind IN (1, 3) THEN {_WIDE} ELSE cased END AS y FROM b),
+d AS (SELECT *, CAST(floor({sql_u("drop", "k")} * (length(y) - 2)) + 1 AS INTEGER) AS cut FROM c)
+SELECT k AS c_custkey, CASE WHEN {sql_u("typo", "k")} > 0.3 THEN x WHEN kind IN (2, 3) AND length(y) > 4 THEN substr(y, 1, cut) || substr(y, cut + 2) ELSE y END AS label FROM d"""
+
+
+_ENGLISH_WORDS = _VOCABULARY.replace("BETWEEN 5 AND 12", "BETWEEN 3 AND 12")
+_NUMBERED = lambda sql: f"SELECT CASE word[1] WHEN 'ß' THEN 'Ss' ELSE upper(word[1]) END || lower(word[2:]) AS word, row_number() OVER (ORDER BY {sql_h('42', 'word')}, word) - 1 AS pos FROM (SELECT word FROM ({sql}) ORDER BY {sql_h('42', 'word')}, word LIMIT 2000)"
+_SQL_FIXED = lambda seed, words: f"[{', '.join(repr(w) for w in words)}][CAST(floor({sql_u(seed, 'k')} * {len(words)}) + 1 AS INTEGER)]"
+
+
+@query(_sql_noise(f"""WITH medical AS ({_NUMBERED(_VOCABULARY)}), english AS ({_NUMBERED(_ENGLISH_WORDS)}), keys AS (SELECT c_custkey AS k FROM customer),
+free AS (SELECT k, i, floor({sql_u("free", "k", "i")} * (SELECT count(*) FROM english)) AS pos FROM (SELECT k, unnest(range(1, CAST(floor({sql_u("words", "k")} * 3) AS INTEGER) + 2)) AS i FROM keys WHERE {sql_u("anarchy", "k")} < 0.2)),
+clinical AS (SELECT k, floor({sql_u("metric", "k")} * (SELECT count(*) FROM medical)) AS pos, floor({sql_u("shape", "k")} * 3) AS s, {sql_u("two", "k")} AS two, {_SQL_FIXED("prefix", text.LABEL_PREFIXES)} AS p, {_SQL_FIXED("unit", text.LABEL_UNITS)} AS q
+  FROM keys WHERE NOT {sql_u("anarchy", "k")} < 0.2)
+SELECT k, string_agg(word, ' ' ORDER BY i) AS x FROM free JOIN english USING (pos) GROUP BY k
+UNION ALL SELECT k, CASE WHEN s = 0 THEN word WHEN s = 1 THEN CASE WHEN two < 0.5 THEN p || ' ' || word ELSE word || ' ' || q END ELSE p || ' ' || word || ' ' || q END AS x FROM clinical JOIN medical USING (pos)"""))
+def chart_labels(t: Tables) -> DataFrame:
+    medical = text.numbered_words(text.vocabulary(t.documents), "medical", 2000)
+    english = text.numbered_words(text.vocabulary(t.documents, text.ENGLISH), "english", 2000)
+    return text.chart_labels(t.customer.select("c_custkey"), "c_custkey", medical.unionByName(english), text.LABEL_PREFIXES, text.LABEL_UNITS)
+
+
 # Harvest.
 @query("""WITH q AS (SELECT CAST(doc_id % 2 AS INTEGER) AS query, doc_id AS pos, source AS article_id FROM documents),
 c AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY query ORDER BY pos) <= 1000)
@@ -367,20 +394,56 @@ def type_totals(t: Tables) -> DataFrame:
 
 
 # Documents.
+def _small_bars(t: Tables) -> DataFrame:
+    """Bars of charts of 256 consecutive customers of a segment: a document is one row, and must not grow."""
+    changes = summaries.percent_changes(t.orders, t.customer)
+    chart = F.concat_ws("-", "chart", F.floor(F.col("id") / 256).cast("string"))
+    return summaries.waterfall(changes.withColumn("chart", chart))
+
+
 def _chart_documents(t: Tables) -> DataFrame:
     spells = _spells(t)
-    return documents.waterfall_documents(_bars(t)).unionByName(documents.km_documents(survival.curve(spells), survival.censor_ticks(spells)))
+    by_month = t.orders.groupBy(F.col("o_orderpriority").alias("chart"), F.col("o_orderstatus").alias("series"), _month().alias("label")).agg(F.count(F.lit(1)).alias("value"))
+    made = documents.waterfall_documents(_small_bars(t)).unionByName(documents.km_documents(survival.curve(spells), survival.censor_ticks(spells)))
+    return made.unionByName(documents.forest_documents(summaries.forest_rows(_studies(t)))).unionByName(documents.series_documents(by_month))
 
 
-@query(None)
-def chart_documents(t: Tables) -> DataFrame:
-    return _chart_documents(t)
+_SMALL_BARS = _BARS.replace("c_mktsegment AS chart", "c_mktsegment || '-' || o_custkey // 256 AS chart")
 
 
-@query("SELECT c_mktsegment AS chart, true AS valid, count(*) AS n FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1 AND arg_min(o_totalprice, (o_orderdate, o_orderkey)) > 0) JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+@query(f"""SELECT chart, 'waterfall_plot' AS category, 'Change from baseline (%)' AS axis, count(*) AS parts, count(*) AS numbers FROM ({_SMALL_BARS}) GROUP BY chart
+UNION ALL SELECT CAST(chart AS VARCHAR), 'forest_plot', 'Hazard Ratio (95% CI)', count(*), 3 * (count(*) + 1) FROM ({_STUDIES}) GROUP BY chart
+UNION ALL SELECT o_orderpriority, 'multi_line', 'Month', count(DISTINCT o_orderstatus), count(*) FROM (SELECT DISTINCT o_orderpriority, o_orderstatus, {_MONTH} FROM orders) GROUP BY 1
+UNION ALL SELECT 'km', 'kaplan_meier', 'Days', (SELECT count(DISTINCT arm) FROM ({_EVENTS})), (SELECT 2 * (count(*) + (SELECT count(*) FROM (SELECT arm FROM ({_EVENTS}) GROUP BY arm HAVING min(t) > 0))) FROM ({_EVENTS}))""")
+def chart_documents(t: Tables) -> DataFrame:
+    """What a reader of the documents finds in them: parts (bars, studies, series, arms) and the numbers in these."""
+    every, found = _chart_documents(t), None
+    zero = F.lit(0).cast("bigint")
+    total = lambda items, size: F.aggregate(items, zero, lambda a, x: a + size(x))
+    doc = F.col("doc")
+    reads = {
+        "waterfall_plot": (doc["axes"]["y"]["label"], doc["bars"], F.size(doc["bars"].getField("value")).cast("bigint")),
+        "forest_plot": (doc["axes"]["x"]["label"], doc["studies"], (F.size(doc["studies"]).cast("bigint") + 1) * 3),
+        "multi_line": (doc["axes"]["x"]["label"], doc["series"], total(doc["series"], lambda s: F.size(s["data"]))),
+        "kaplan_meier": (doc["axes"]["x"]["label"], doc["arms"], total(doc["arms"], lambda a: F.size(F.flatten(a["coordinates"])))),
+    }
+    for kind, (axis, parts, numbers) in reads.items():
+        read = documents.validate(every.where(F.col("category") == kind), kind).where("valid")
+        one = read.select("chart", "category", axis.alias("axis"), F.size(parts).cast("bigint").alias("parts"), numbers.alias("numbers"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query(f"""SELECT chart, bool_and(id % 997 <> 5) AND min(id) % 5 <> 0 AS valid, CASE WHEN min(id) % 5 = 1 THEN NULL ELSE count(*) END AS n FROM ({_SMALL_BARS}) GROUP BY chart HAVING min(id) % 5 <> 1
+UNION ALL SELECT chart, false, NULL FROM ({_SMALL_BARS}) GROUP BY chart HAVING min(id) % 5 = 1""")
 def label_validate(t: Tables) -> DataFrame:
-    made = documents.waterfall_documents(_bars(t))
-    return documents.validate(made, "waterfall_plot").select("chart", "valid", F.size("doc.bars").cast("bigint").alias("n"))
+    """Documents some of which lack a bar's value, their axes, or their end."""
+    bars = _small_bars(t)
+    made = documents.waterfall_documents(bars.withColumn("value", F.when(F.col("id") % 997 != 5, F.col("value"))))
+    first = bars.groupBy("chart").agg((F.min("id") % 5).alias("kind"))
+    body = F.when(F.col("kind") == 0, F.replace("body", F.lit('"axes"'), F.lit('"axis"'))).when(F.col("kind") == 1, F.expr("substr(body, 1, length(body) - 1)")).otherwise(F.col("body"))
+    read = documents.validate(made.join(first, "chart").withColumn("body", body), "waterfall_plot")
+    return read.select("chart", "valid", F.when(F.col("doc._corrupt").isNull(), F.size("doc.bars").cast("bigint")).alias("n"))
 
 
 # Plans and generated tables; a customer's key seeds a chart.

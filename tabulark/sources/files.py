@@ -47,6 +47,25 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''")
 
 
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """``pos, id``: the lines of an id list in their order, blanks around them cut; repeats and empty lines stay.
+
+    A list is one file, read whole by one task; position is what a run resumes from."""
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r?\n$", "").alias("value")).where("value <> ''")
+    return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "id")).select("pos", F.trim("id").alias("id"))
+
+
+def append_ids(ids: DataFrame, path: str, run_id: str) -> None:
+    """Appends ``ids`` under their run; a run that is written again replaces itself, so that a retry adds nothing."""
+    ids.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
+
+
+def write_vocabulary(words: DataFrame, path: str) -> None:
+    """A JSON array of the words in ``pos`` order, as ``read_vocabulary`` reads it; a bounded sample, so one row."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"])
+    words.agg(F.to_json(ordered).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def read_vocabulary(spark: SparkSession, path: str, default: DataFrame) -> DataFrame:
     """``pos, word`` from a JSON array of strings; the default where there is none."""
     try:

@@ -112,8 +112,8 @@ def test_documents_round_trip_and_validation(spark):
     bars = spark.createDataFrame([(1, 1, 0.5, "Patient 1")], "chart int, rank long, value double, label string")
     made = documents.waterfall_documents(bars)
     assert json.loads(made.first().body)["bars"] == [{"label": "Patient 1", "value": 0.5}]
-    bad = spark.createDataFrame([("{}",), ("nope",), ('{"chart_type":"waterfall_plot","bars":"x"}',), ('{"chart_type":"waterfall_plot","bars":[]}',)], "body string")
-    assert [r.valid for r in documents.validate(bad, "waterfall_plot").collect()] == [False, False, False, True]
+    bad = spark.createDataFrame([("{}",), ("nope",), ('{"chart_type":"waterfall_plot","bars":"x"}',), ('{"chart_type":"waterfall_plot","bars":[]}',), ('{"chart_type":"waterfall_plot","axes":{},"bars":[]}',)], "body string")
+    assert [r.valid for r in documents.validate(bad, "waterfall_plot").collect()] == [False, False, False, False, True]
 
 
 def test_file_tree(spark, tmp_path):
@@ -161,3 +161,69 @@ def test_one_type_is_numbered_by_several_tasks(spark):
     own = [r for r in made if r.type == "km"]
     assert len(made) == 401 and all(r.new_name == r.name for r in own)
     assert len({r.task for r in own}) > 1
+
+
+def test_documents_of_every_kind_are_valid(spark):
+    forest = spark.createDataFrame([(1, 0, "Overall", 1.0, 0.5, 1.5), (1, 2, "a", 1.1, 0.6, 1.6), (1, 1, "b", 0.9, 0.4, 1.4)], "chart int, position bigint, study_label string, ratio_value double, ci_lower double, ci_upper double")
+    made = documents.validate(documents.forest_documents(forest), "forest_plot").first()
+    assert made.valid and [x.study_label for x in made.doc.studies] == ["a", "b"] and made.doc.overall_effect.study_label == "Overall" and made.doc.axes["x"].label == "Hazard Ratio (95% CI)"
+    rows = spark.createDataFrame([("c", "s", "2", 2.0), ("c", "s", "1", 1.0), ("c", "r", "1", 3.0)], "chart string, series string, label string, value double")
+    made = documents.validate(documents.series_documents(rows), "multi_line").first()
+    assert made.valid and [(x.series_name, [(p.x, p.y) for p in x.data]) for x in made.doc.series] == [("r", [("1", 3.0)]), ("s", [("1", 1.0), ("2", 2.0)])]
+    both = spark.createDataFrame([([1.5, 2.5, 3.5], [1, 2])], "x array<double>, y array<int>").select(documents.points(F.col("x"), F.col("y")).alias("p")).first().p
+    assert [(p.x, p.y) for p in both] == [("1.5", 1.0), ("2.5", 2.0)]
+
+
+@pytest.mark.parametrize(
+    ("kind", "body", "valid"),
+    [
+        ("waterfall_plot", '{"chart_type":"waterfall_plot","axes":{"y":{"label":"v"}},"bars":[{"label":"a","value":1}]}', True),
+        ("waterfall_plot", '{"chart_type":"waterfall_plot","bars":[{"label":"a","value":1}]}', False),
+        ("waterfall_plot", '{"chart_type":"waterfall_plot","axes":{},"bars":[{"label":"a"}]}', False),
+        ("forest_plot", '{"chart_type":"forest_plot","axes":{},"studies":[],"overall_effect":{"study_label":"o","ratio_value":1,"ci_lower":0.5}}', False),
+        ("forest_plot", '{"chart_type":"forest_plot","axes":{},"studies":[],"overall_effect":{"study_label":"o","ratio_value":1,"ci_lower":0.5,"ci_upper":2}}', True),
+        ("kaplan_meier", '{"chart_type":"kaplan_meier","axes":{"x":{"label":"t","max_value":9},"y":{"label":"s"}},"arms":[]}', False),
+        ("kaplan_meier", '{"chart_type":"kaplan_meier","axes":{"x":{"label":"t","max_value":9},"y":{"label":"s","max_value":1}},"arms":[{"treatment_label":"a","coordinates":[[0,1],[1]],"censoring_ticks":[]}]}', False),
+        ("kaplan_meier", '{"chart_type":"kaplan_meier","axes":{"x":{"label":"t","max_value":9},"y":{"label":"s","max_value":1}},"arms":[{"treatment_label":"a","coordinates":[[0,1],[1,0.5]],"censoring_ticks":[]}]}', True),
+        ("scatter", '{"chart_type":"scatter","axes":{},"series":[{"series_name":"s","series_type":"scatter","data":[{"x":"1"}]}]}', False),
+        ("scatter", '{"chart_type":"simple_bar","axes":{},"series":[]}', False),
+        ("scatter", "no json", False),
+    ],
+)
+def test_nested_fields_are_required(spark, kind, body, valid):
+    assert documents.validate(spark.createDataFrame([(body,)], "body string"), kind).first().valid is valid
+
+
+def test_label_sink(spark, tmp_path):
+    rows = spark.createDataFrame([("c", 1, "a", 2.0)], "chart string, rank bigint, label string, value double")
+    documents.write_documents(documents.waterfall_documents(rows), f"file://{tmp_path}/out")
+    back = spark.read.json(f"file://{tmp_path}/out").first()
+    assert back.category == "waterfall_plot" and json.loads(back.body)["bars"] == [{"label": "a", "value": 2.0}]
+
+
+def test_images_of_pages(spark):
+    html = '<figure><img src="a.png" data-src="/lazy.png"><IMG class="x" src=\'b.jpg\'><img data-src="" src="c.png"><img src="logo.png"><img alt="none"></figure>'
+    pages = spark.createDataFrame([(1, "https://h.org/d/p", html), (2, "https://h.org/", None)], "page_id bigint, url string, html string")
+    assert [(r.pos, r.url) for r in harvest.image_links(pages).orderBy("pos").collect()] == [(0, "https://h.org/lazy.png"), (1, "https://h.org/d/b.jpg"), (2, "https://h.org/d/c.png")]
+    responses = spark.createDataFrame([(1, "image/png"), (2, "text/html"), (3, None), (4, "image/jpeg; q=1")], "id int, content_type string")
+    assert [r.id for r in harvest.image_responses(responses).orderBy("id").collect()] == [1, 4]
+
+
+def test_id_and_word_files(spark, tmp_path):
+    (tmp_path / "ids.txt").write_text("PMC2\nPMC1 \n\nPMC2\n")
+    read = files.read_ids(spark, f"file://{tmp_path}/ids.txt")
+    assert [tuple(r) for r in read.orderBy("pos").collect()] == [(0, "PMC2"), (1, "PMC1"), (2, ""), (3, "PMC2")]
+    for run in ("r1", "r2", "r2"):
+        files.append_ids(read, f"file://{tmp_path}/appended", run)
+    assert sorted((r.run_id, r["count"]) for r in spark.read.parquet(f"file://{tmp_path}/appended").groupBy("run_id").count().collect()) == [("r1", 4), ("r2", 4)]
+    words = spark.createDataFrame([(1, "b"), (0, "a \"q\"")], "pos int, word string")
+    files.write_vocabulary(words, f"file://{tmp_path}/words")
+    assert [tuple(r) for r in files.read_vocabulary(spark, f"file://{tmp_path}/words", words.limit(0)).orderBy("pos").collect()] == [(0, 'a "q"'), (1, "b")]
+    (tmp_path / "list.txt").write_text(" one \n\ntwo\n")
+    assert sorted(r.word for r in files.read_words(spark, f"file://{tmp_path}/list.txt").collect()) == ["one", "two"]
+
+
+def test_manifest_update(spark):
+    old = harvest.manifest(spark.createDataFrame([("km", 5)], "type string, next_index int"), ["km", "wf"])
+    new = harvest.update_manifest(old, spark.createDataFrame([("wf", 3), ("forest", 1)], "type string, next_index int"))
+    assert sorted(tuple(r) for r in new.collect()) == [("forest", 1), ("km", 5), ("wf", 3)]
