@@ -4,7 +4,7 @@ Four predictions share the code space of the next id: the id that followed the l
 the two ids that followed the last one most lately (order 1), and adaptive counts of single ids (order 0, which
 covers every id). The weights of the first three adapt to how often ids predicted with that confidence came true;
 order 0 has the rest. Its counts start from a rank prior, as vocabularies number frequent ids first, and take in
-the block's ids so far whenever these have grown fourfold. A range coder codes each id by its interval. Every
+the block's ids so far whenever these have doubled. A range coder codes each id by its interval. Every
 block starts from a reset model and carries a CRC-32 of its header and ids, so any block can be read, and
 checked, alone.
 
@@ -33,8 +33,8 @@ _TOTAL = 1 << _TOTAL_BITS
 # Order 0 keeps a sixteenth at least, so that an id with one of its 2**_BITS0 parts has an interval.
 _CHOSEN = _TOTAL - (_TOTAL >> 4)
 _BITS0, _INVERSE_BITS = 22, 14
-_GROWTH, _FIRST_COUNT, _COUNT_WEIGHT = 4, 256, 512
-_ORDER1, _ORDER2 = 2048, 4096
+_GROWTH, _FIRST_COUNT, _COUNT_WEIGHT = 2, 256, 512
+_ORDER1, _ORDER2 = 2048, 8192
 # A slot is an id and, in three bits, the confidence in it: 0 to 3, or that there is none.
 _CONFIDENT, _NOTHING = 3, 4
 _EMPTY = 1 << 26 | _NOTHING
