@@ -4,17 +4,19 @@ Built-in column expressions only. Rows that are close in all dimensions are clos
 shard covers a small box of each dimension, and a filter on several of them skips most shards.
 
 Defined results: null dimensions count as 0; rows equal in all ordering columns may change places;
-an empty table gives an empty table. Names beginning with ``_h_`` are used inside.
+an empty table gives an empty table; where an input column is called ``curve``, ``shard`` or ``slot`` it stays,
+and the new one gets underscores appended.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, parts
+from ..functions.ordinal import with_global_ordinal
+from .scratch import fresh
 
 
 def quantised_log(size: Column, bits: int) -> Column:
@@ -80,32 +82,18 @@ def hilbert_index(dimensions: list[Column], bits: int) -> Column:
     return let(let(let(turned, gray), finish), interleave)
 
 
-def ordinal(df: DataFrame, order: list[str], scratch: Scratch) -> tuple[DataFrame, int]:
-    """``df`` with ``_h_rank``, the rows' numbers from 0 in the given order, and their count.
-
-    Two passes: rows go to ranges and are numbered there; the ranges' counts, one row each, say where
-    each range begins. No task sees more than a range, and the order's last columns part equal keys."""
-    n = parts(df.sparkSession)
-    ranged = df.repartitionByRange(n, *order).withColumn("_h_range", F.spark_partition_id())
-    ranged = scratch.write(ranged, "ranged")
-    counts = ranged.groupBy("_h_range").agg(F.count(F.lit(1)).alias("_h_n"))
-    before = F.sum("_h_n").over(Window.orderBy("_h_range").rowsBetween(Window.unboundedPreceding, -1))
-    begins = counts.select(F.col("_h_range"), F.coalesce(before, F.lit(0)).alias("_h_before"))
-    within = F.row_number().over(Window.partitionBy("_h_range").orderBy(*order))
-    ranked = ranged.withColumn("_h_within", within).join(F.broadcast(begins), "_h_range")
-    total = ranged.count()
-    return ranked.withColumn("_h_rank", F.col("_h_before") + F.col("_h_within") - 1).drop("_h_range", "_h_within", "_h_before"), total
-
-
 def shard_by_curve(df: DataFrame, dimensions: dict[str, Column], bits: int, shards: int, ties: list[str]) -> DataFrame:
     """``df`` with ``curve``, ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard).
 
     Shards are runs of the curve whose row counts differ by one at most. ``ties`` are columns that order rows
-    of one curve cell, so that a cell with a third of all rows is cut like any other run."""
-    scratch = Scratch(df.sparkSession, "hilbert")
-    placed = df.withColumn("curve", hilbert_index(list(dimensions.values()), bits))
-    ranked, total = ordinal(placed, ["curve", *ties], scratch)
+    of one curve cell, so that a cell with a third of all rows is cut like any other run. The rows' own columns
+    travel as one struct, so that no name of theirs can clash."""
+    keys = [f"k{i}" for i in range(len(ties))]
+    placed = df.select(F.struct("*").alias("row"), hilbert_index(list(dimensions.values()), bits).alias("curve"), *[F.col(f"`{t}`").alias(k) for t, k in zip(ties, keys, strict=True)])
+    ranked, total = with_global_ordinal(placed, [F.col(c) for c in ("curve", *keys)], "rank")
     # In integers: shard s holds the ranks from ceil(s * total / shards) on.
-    shard = F.expr(f"cast((_h_rank * {shards}) div {max(total, 1)} as int)")
-    first = F.expr(f"(cast(shard as bigint) * {max(total, 1)} + {shards - 1}) div {shards}")
-    return ranked.withColumn("shard", shard).withColumn("slot", F.col("_h_rank") - first).drop("_h_rank")
+    total = max(total, 1)
+    shard = F.expr(f"cast(((rank - 1) * {shards}) div {total} as int)")
+    first = F.expr(f"(cast(shard as bigint) * {total} + {shards - 1}) div {shards}")
+    cut = ranked.withColumn("shard", shard).withColumn("slot", F.col("rank") - 1 - first)
+    return cut.select("row.*", *[F.col(c).alias(fresh(df, c)) for c in ("curve", "shard", "slot")])

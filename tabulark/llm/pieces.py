@@ -8,6 +8,14 @@ character into a marker, the best segmentation of a text is that of its marker-o
 after another; a worker remembers the stretches it has met, within bounds.
 
 Decoding concatenates pieces and bytes, turns markers into spaces, and drops the one put before.
+
+The model's own rules: a user-defined piece competes with a score just below its length times the best score, as in the
+library's unigram mode, whatever score the file gives it; a model that normalises text, takes out white space, or puts no
+marker before a text is refused.
+
+Defined results: a null or empty text has no ids, and no ids decode to an empty text; repeated rows have equal
+ids; a very long text is encoded stretch by stretch; an empty table gives an empty table; the input's columns
+stay, and where one has the output's name, that gets underscores appended. A marker in a text decodes as a space.
 """
 
 from __future__ import annotations
@@ -64,6 +72,15 @@ def read_model(path: str) -> list[tuple[str, float, int]]:
     return [(p[1].decode(), struct.unpack("<f", p[2])[0] if 2 in p else 0.0, p.get(3, NORMAL)) for p in pieces]
 
 
+def check_rules(path: str) -> None:
+    """Raises for a model whose texts are not taken as they are, with one marker put before."""
+    with open(path, "rb") as file:
+        rules = next((dict(_fields(x)) for f, x in _fields(file.read()) if f == 3), {})
+    # The section's fields for a character map, the marker before, dropped white space, markers at all.
+    if rules.get(2) or not rules.get(3, 1) or rules.get(4, 1) or not rules.get(5, 1):
+        raise ValueError("the model normalises its texts")
+
+
 class DoubleArray:
     """A trie over bytes: the child of state s by byte b is t = base[s] + b + 1 if check[t] == s."""
 
@@ -143,7 +160,8 @@ class Unigram:
         if any(MARK in p.lstrip(MARK) for p, _ in whole):
             raise ValueError("a piece runs from another character into a marker")
         self.trie = DoubleArray.build([(p.encode(), i) for p, i in whole])
-        self.scores = [s for _, s, _ in pieces]
+        most = max((s for _, s, kind in pieces if kind == NORMAL), default=0.0)
+        self.scores = [len(p) * most - 0.1 if kind == USER_DEFINED else s for p, s, kind in pieces]
         self.unknown_score = min((s for _, s, kind in pieces if kind == NORMAL), default=0.0) - UNKNOWN_PENALTY
         self.unknown_id = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(pieces) if kind == BYTE}
@@ -226,6 +244,7 @@ class _Shared:
     """A broadcast model and this worker's copy of it, which outlives tasks with its memo."""
 
     def __init__(self, spark: SparkSession, path: str):
+        check_rules(path)
         self.key, self.sent = path, spark.sparkContext.broadcast(Unigram(read_model(path)))
 
     def get(self) -> Unigram:
