@@ -17,22 +17,30 @@ from tabulark.llm.scratch import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
+    """Documents that no rule rejects. A null or empty text has no words and goes; repeated rows are judged each;
+    an empty table stays empty; columns of any name stay."""
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies (five-word shingles, 0.8)."""
+    """The document with the smallest doc_id of each group of near copies (five-word shingles, 0.8).
+
+    Documents without words and those with a null doc_id stay; of rows repeated with one doc_id all stay or all go;
+    other columns are carried, and an empty table stays empty."""
     return neardup.keep_one(docs, width=5, percent=80)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 100 bytes or more that also start earlier."""
+    """Documents without the passages of 100 bytes or more that also start earlier.
+
+    A null text stays null, a text may become empty; a null doc_id is compared with nothing; rows repeated with one
+    doc_id are one document; n_chars follows the text; other columns are carried; an empty table stays empty."""
     return suffixes.without_repeated(docs, width=100)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences of 2048 tokens."""
+    """Pieces of packed sequences of 2048 tokens. A null or empty text is the end id alone; a null doc_id stays null;
+    repeated rows are packed each; other columns are not read; an empty table gives no pieces."""
     pieces = packing.pack(docs, vocabulary("byte_bpe_50k.json"), window=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
