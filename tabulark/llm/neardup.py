@@ -242,10 +242,11 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, text: str
 
     nodes = classes.select("id", "n", F.explode("bands").alias("bucket"))
     hubs = nodes.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.min_by("n", "id").alias("hub_n")).where("hub <> top")
+    hubs = scratch.write(hubs, "hubs")
     alike = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
     starred = nodes.join(hubs, "bucket").where("id <> hub").where(alike)
     pairs = _sketched(starred.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), classes, limit)
-    pairs = scratch.write(pairs, "pairs")
+    pairs = scratch.write(pairs, "pairs", drop=("hubs",))
 
     def sets_of(ids: DataFrame, name: str) -> DataFrame:
         # The ids grow with the texts: a join that is planned to shuffle both from the start, without sorting texts.
@@ -258,9 +259,9 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, text: str
     labels = components(links, scratch, "first")
     labelled = classes.join(labels, "id", "left").select("id", "n", "bands", F.coalesce("component", "id").alias("component"))
     spread = labelled.select("id", "n", "component", F.explode("bands").alias("bucket"))
-    members = scratch.write(_open(spread), "members")
+    members = _open(spread, scratch, "members")
     near = scratch.write(_near(_numbered(members, by_shingles=False), classes, limit, percent), "near")
-    members = scratch.write(_open(members.drop("size").join(near, ["bucket", "id"])), "near-members", drop=("members",))
+    members = _open(members.drop("size").join(near, ["bucket", "id"]), scratch, "near-members", drop=("members",))
     shingles = sets_of(near.select("id"), "across-sets")
     described = classes.select("id", "bands", "sketch").join(shingles, "id")
     across = scratch.write(_across(_numbered(members), described, limit, percent), "across-links", drop=("near", "near-members", "across-sets"))
@@ -276,10 +277,12 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, text: str
     return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _open(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold several components, with the bucket's ``size``."""
+def _open(members: DataFrame, scratch: Scratch, name: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """The members of buckets that hold several components, with the bucket's ``size``, as a written table. The buckets
+    are written first, so that both sides of the join are plain shuffles, which Spark cuts at a hot bucket."""
     of = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
-    return members.join(of.where("low <> high").select("bucket", "size"), "bucket")
+    several = scratch.write(of.where("low <> high").select("bucket", "size"), f"{name}-buckets")
+    return scratch.write(members.join(several, "bucket"), name, drop=(f"{name}-buckets", *drop))
 
 
 def _dealt(placed: DataFrame) -> DataFrame:
