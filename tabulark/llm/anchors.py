@@ -75,12 +75,14 @@ def search(docs: DataFrame, keys_of, gram: int, window: int, across_documents: b
     smaller document has.
 
     Copies leave first, so that a group of them costs a row each from then on. A hash that a third of all
-    rows share is one row a task when it is counted. The hashes that recur are written before the anchors are
-    looked up among them, so that both sides of that join are plain shuffles, which Spark cuts at a hot hash."""
+    rows share is one row a task when it is counted. The hashes that recur, and the texts that several documents
+    have, are written before rows are looked up among them, so that both sides of these joins are plain shuffles,
+    which Spark cuts at a hot key."""
     found = scratch.write(anchors(docs, keys_of, gram, window), "all")
     texts = found.groupBy("t1", "t2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    texts = scratch.write(texts, "texts")
     copies = found.select("doc_id", "t1", "t2", (F.size("a") > 0).alias("whole")).join(texts, ["t1", "t2"]).where(F.col("doc_id") != F.col("first"))
-    copies = scratch.write(copies.select("doc_id", "whole"), "copies")
+    copies = scratch.write(copies.select("doc_id", "whole"), "copies", drop=("texts",))
     found = scratch.write(found.select("doc_id", "a").join(copies, "doc_id", "left_anti"), "anchors", drop=("all",))
     flat = found.select("doc_id", F.inline("a"))
     if across_documents:
