@@ -101,6 +101,15 @@ class Memo:
         return found
 
 
+def keys(words: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first LONGEST_KEY bytes of every part, in two words of 8; ``words`` are padded by two words."""
+    word, shift = at >> 3, ((at & 7) << 3).astype(_U)
+    back, size = _U(63) - shift, np.minimum(sizes, LONGEST_KEY)
+    middle = words[word + 1]
+    low = (words[word] >> shift | (middle << _U(1)) << back) & _LOW_MASK[size]
+    return low, (middle >> shift | (words[word + 2] << _U(1)) << back) & _HIGH_MASK[size]
+
+
 class Table:
     """Ids of parts, found by their bytes (two words of 8, padded with zeros), many parts at a time."""
 
@@ -338,11 +347,7 @@ class Encoder:
         """Where the ids of each part begin in the young table, and how many there are."""
         if self.young.entries > TABLE_SLOTS // 2:
             self.old, self.young = self.young, Table()
-        word, shift = at >> 3, ((at & 7) << 3).astype(_U)
-        back, size = _U(63) - shift, np.minimum(end - at, LONGEST_KEY)
-        middle = words[word + 1]
-        low = (words[word] >> shift | (middle << _U(1)) << back) & _LOW_MASK[size]
-        high = (middle >> shift | (words[word + 2] << _U(1)) << back) & _HIGH_MASK[size]
+        low, high = keys(words, at, end - at)
         keyed = np.ones(len(at), dtype=bool)
         keyed[strings] = False
         entry = self.young.find(low, high)

@@ -386,3 +386,20 @@ def test_clean_long_text_is_kept(spark):
     long = " ".join("the" if i % 10 == 0 else f"w{i}" for i in range(1_000_001))
     docs = spark.createDataFrame([(1, long), (2, "again and again " * 400_000)], "doc_id bigint, text string")
     assert [r.doc_id for r in quality.keep_good(docs).select("doc_id").collect()] == [1]
+
+
+@pytest.mark.parametrize("bytes_", [False, True])
+def test_stretches_side_by_side_and_alone(bytes_, monkeypatch):
+    """Many stretches at once, one long stretch at a time, and a worker's table give the same ids."""
+    table = [("<unk>", 0.0, pieces.UNKNOWN), ("▁", -1.0, 1), ("▁▁", -1.5, 1), ("a", -1.0, 1), ("b", -1.5, 1), ("ab", -2.4, 1), ("é", -3.0, 1), ("▁the", -2.0, 1)]
+    table += [(f"<0x{i:02X}>", 0.0, pieces.BYTE) for i in range(256)] if bytes_ else []
+    draw = random.Random(5)
+    texts = ["", None, " ", "   ", "▁a", "x\0y \0 \0\0", "é" * 700, "日本" * 400 + " the ab", " " * 600]
+    texts += ["".join(draw.choice("ab ▁c\0é日🎉\nthe ") for _ in range(draw.randint(0, 40))) for _ in range(400)]
+    unigram = pieces.Unigram(table)
+    first, again = unigram.encode_all(pa.array(texts)), unigram.encode_all(pa.array(texts))
+    monkeypatch.setattr(pieces, "LONG_STRETCH", 0)
+    alone = pieces.Unigram(table).encode_all(pa.array(texts))
+    assert first == again == alone
+    if bytes_:
+        assert [unigram.decode(x) for x in first] == [(t or "").replace("▁", " ") for t in texts]
