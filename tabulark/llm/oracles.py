@@ -93,10 +93,34 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = response THEN NULL ELSE response END AS refers_to
 FROM w_first"""
 
+def vector_codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Product codes of ``embeddings`` after plain Lloyd rounds over all pairs of parts and entries."""
+    sql = f"""
+WITH v_rows AS (SELECT row_number() OVER () AS row, vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v_parts AS MATERIALIZED (SELECT row, vec_id, label, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM v_rows, range({parts}) r(p)),
+v_book0 AS MATERIALIZED (SELECT p, e, x AS c FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id, x) - 1 AS e FROM v_parts) WHERE e < {entries})"""
+    near = lambda k: f"""
+v_near{k} AS MATERIALIZED (SELECT row, a.p, arg_min(e, (d, e)) AS e, min(d) AS d FROM (
+  SELECT row, a.p, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v_parts a JOIN v_book{k} b ON a.p = b.p) a GROUP BY row, a.p)"""
+    for k in range(rounds):
+        sql += f""",{near(k)},
+v_mean{k} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (
+  SELECT p, e, i, CAST(floor(sum(y)::DECIMAL(38, 0) / count(*)) AS BIGINT) AS m FROM (
+    SELECT n.p, n.e, unnest(x) AS y, unnest(range(len(x))) AS i FROM v_near{k} n JOIN v_parts a ON n.row = a.row AND n.p = a.p) GROUP BY p, e, i) GROUP BY p, e),
+v_book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM v_book{k} b LEFT JOIN v_mean{k} m ON b.p = m.p AND b.e = m.e)"""
+    return f"""{sql},{near(rounds)},
+v_code AS (SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM v_near{rounds} GROUP BY row),
+v_hash AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM v_book{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM v_code JOIN (SELECT DISTINCT row, vec_id, label FROM v_parts) USING (row), v_hash"""
+
+
 ORACLES: dict[str, str] = {
     "op2_near_duplicates": near_duplicates("documents", 4, 80),
     "op4_quality_rules": quality("documents"),
     "op5_phrase_automata": phrase_dedup("documents"),
     "op7_warc": WARC,
     "op10_suffix_dedup": bytes_dedup("documents"),
+    "op13_vector_codes": vector_codes(),
 }
