@@ -93,6 +93,27 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = response THEN NULL ELSE response END AS refers_to
 FROM w_first"""
 
+def collocations(least: int = 10, cover: int = 50, top: int = 2000) -> str:
+    """Collocations of two and three words in ``documents``, from lists of all phrases."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    runs = " || ".join(f"list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))" for k in (1, 2, 3))
+    cut = lambda left, right: f"""SELECT c.*, {1 if left == 'w1' else 2} AS k, x.f AS l, y.f AS r, CAST((1000000 * a::HUGEINT * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM c_cand c JOIN c_f x ON x.lang = c.lang AND x.g = {left} JOIN c_f y ON y.lang = c.lang AND y.g = {right}"""
+    return f"""
+WITH c_piece AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({lower}, '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+c_words AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM c_piece),
+c_grams AS (SELECT lang, unnest({runs}) AS g FROM c_words),
+c_f AS MATERIALIZED (SELECT lang, g, count(*) AS f FROM c_grams GROUP BY ALL),
+c_n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM c_words GROUP BY lang),
+c_cand AS MATERIALIZED (SELECT lang, g, f AS a, len(s) AS d, s[1] AS w1, s[1] || ' ' || s[2] AS w12, array_to_string(s[2:], ' ') AS rest, s[3] AS w3
+  FROM (SELECT *, string_split(g, ' ') AS s FROM c_f WHERE f >= {least}) WHERE len(s) > 1),
+c_cut AS ({cut("w1", "rest")} UNION ALL {cut("w12", "w3")} AND d = 3),
+c_low AS (SELECT * FROM c_cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+c_long AS (SELECT lang, g, max(f) AS f FROM (SELECT lang, w12 AS g, a AS f FROM c_cand WHERE d = 3 UNION ALL SELECT lang, rest, a FROM c_cand WHERE d = 3) GROUP BY lang, g)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
+FROM c_low LEFT JOIN c_long USING (lang, g) JOIN c_n USING (lang) WHERE coalesce(100 * c_long.f, 0) < {cover} * a QUALIFY rank <= {top}"""
+
+
 def vector_codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
     """Product codes of ``embeddings`` after plain Lloyd rounds over all pairs of parts and entries."""
     sql = f"""
@@ -122,5 +143,6 @@ ORACLES: dict[str, str] = {
     "op5_phrase_automata": phrase_dedup("documents"),
     "op7_warc": WARC,
     "op10_suffix_dedup": bytes_dedup("documents"),
+    "op12_collocations": collocations(),
     "op13_vector_codes": vector_codes(),
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, hilbert, idfiles, neardup, packing, phrases, pieces, quality, suffixes, vectorcodes, warc
+from . import collocations, fingerprint, hilbert, idfiles, neardup, packing, phrases, pieces, quality, suffixes, vectorcodes, warc
 from .scratch import Scratch
 
 
@@ -80,6 +80,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"), most_words=3, least=10, cover=50, top=2000)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = vectorcodes.lloyd(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
     return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_hilbert_shards,
         op9_fingerprints,
         op10_suffix_dedup,
+        op12_collocations,
         op13_vector_codes,
     )
 }

@@ -81,9 +81,16 @@ def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, inverse
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and the first word of every text (n + 1 entries)."""
-    solid = ~_SPACE[data]
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return _LOWER[data]
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and the first word of every text (n + 1 entries).
+
+    ``apart`` tells for each byte value whether it lies between words (white space)."""
+    solid = ~apart[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
     inner = offsets[:-1][offsets[:-1] < len(data)]
