@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, fingerprint, hilbert, idfiles, neardup, packing, phrases, pieces, quality, suffixes, vectorcodes, warc
+from . import classifier, collocations, fingerprint, hilbert, idfiles, neardup, packing, phrases, pieces, quality, suffixes, vectorcodes, warc
 from .scratch import Scratch
 
 
@@ -80,6 +80,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = classifier.fit(docs, labels, ~held_out, label="quality")
+    scored = classifier.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_table(spark, sf_dir, "documents"), most_words=3, least=10, cover=50, top=2000)
 
@@ -102,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_hilbert_shards,
         op9_fingerprints,
         op10_suffix_dedup,
+        op11_quality_classifier,
         op12_collocations,
         op13_vector_codes,
     )
