@@ -16,6 +16,7 @@ other columns are not read; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ from .textarrays import lowered, slices, utf8, word_bounds
 
 CHUNK_WORDS = 1 << 20
 MERGE_ARCS = 1 << 20
+SLICES = 32
 
 _END = np.zeros(256, dtype=bool)
 _END[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
@@ -92,10 +94,16 @@ Cuts = dict[str, list[tuple[bytes, bytes]]]
 
 
 def _shards(batches: Iterator[pa.RecordBatch], cuts: Cuts, depth: int) -> Iterator[pa.RecordBatch]:
+    """Packed parts of automata; ``task`` counts the ranges of all languages through, so that tasks get equal shares."""
+    begin, at = {}, 0
+    for lang in sorted(cuts):
+        begin[lang] = at
+        at += len(cuts[lang]) + 1
     for lang, words, ends in _chunks(batches):
         made = CountAutomaton.of_words(words, ends, depth)
         for number, part in made.cut(made.bounds(cuts.get(lang, []))):
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang]), "part": pa.array([number], pa.int32()), "blob": pa.array([part.packed()], pa.binary())})
+            task = (begin.get(lang, zlib.crc32(lang.encode())) + number) & 0x7FFFFFFF
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang]), "part": pa.array([number], pa.int32()), "blob": pa.array([part.packed()], pa.binary()), "task": pa.array([task], pa.int32())})
 
 
 def _united(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -252,8 +260,8 @@ def mine(docs: DataFrame, text: str = "text", lang: str | Column = "lang", most_
     sizes = scratch.write(words.groupBy("lang").agg(F.sum("f").alias("n")), "sizes")
     cuts = prefix_ranges(words, parts(spark))
     kind = "lang string, part int, blob binary"
-    shards = texts.mapInArrow(lambda it: _shards(it, cuts, most_words), kind)
-    dealt = shards.repartition(parts(spark), "lang", "part").sortWithinPartitions("lang", "part")
+    shards = texts.mapInArrow(lambda it: _shards(it, cuts, most_words), f"{kind}, task int")
+    dealt = shards.repartitionById(parts(spark), F.col("task")).drop("task").sortWithinPartitions("lang", "part")
     counts = scratch.write(dealt.mapInArrow(lambda it: _united(it, least), kind), "counts", drop=("words",))
     asked = scratch.write(counts.mapInArrow(lambda it: _asked(it, cuts, least), "lang string, part int, phrase string, asker int, top bigint"), "asked")
     by = lambda df: df.groupBy("lang", "part")
@@ -261,8 +269,10 @@ def mine(docs: DataFrame, text: str = "text", lang: str | Column = "lang", most_
     answers = scratch.write(answers, "answers", drop=("asked",))
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), *((c, pa.int64()) for c in ("a", "l", "r", "score"))])
     scored = by(counts).cogroup(by(answers)).applyInArrow(lambda c, a: _scored(c, a, least, cover, schema), "lang string, phrase string, a bigint, l bigint, r bigint, score bigint")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
+    # First in slices of each language, so that the last ranking sees at most SLICES times ``top`` rows of it.
+    order, first = (F.desc("score"), F.desc("a"), "phrase"), scored.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(SLICES)))
+    for by_columns in (["lang", "slice"], ["lang"]):
+        first = first.withColumn("rank", F.row_number().over(Window.partitionBy(*by_columns).orderBy(*order)).cast("bigint")).where(F.col("rank") <= top)
     return first.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
