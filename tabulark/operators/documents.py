@@ -99,13 +99,23 @@ def km_documents(curve: DataFrame, ticks: DataFrame, chart: str = "km") -> DataF
     return made.select(F.lit(chart).alias("chart"), F.lit("kaplan_meier").alias("category"), F.to_json(body).alias("body"))
 
 
+def _typed(body: Column, kind: str) -> Column:
+    return F.from_json(body, f"{SCHEMAS[kind]}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+
+
+def _valid(doc: Column, kind: str) -> Column:
+    return doc.isNotNull() & doc["_corrupt"].isNull() & (doc["chart_type"] == kind) & _complete(doc, kind)
+
+
+def is_complete(body: Column, kind: str) -> Column:
+    """Whether a JSON text is a complete document of the kind."""
+    return F.element_at(F.transform(F.array(_typed(body, kind)), lambda doc: F.coalesce(_valid(doc, kind), F.lit(False))), 1)
+
+
 def validate(documents: DataFrame, kind: str, body: str = "body") -> DataFrame:
     """``documents`` with ``doc`` (typed), and ``valid``: parses, is of the kind, and has every required field."""
-    typed = F.from_json(F.col(body), f"{SCHEMAS[kind]}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    read = documents.withColumn("doc", typed)
-    doc = F.col("doc")
-    ok = doc.isNotNull() & doc["_corrupt"].isNull() & (doc["chart_type"] == kind) & _complete(doc, kind)
-    return read.withColumn("valid", F.coalesce(ok, F.lit(False)))
+    read = documents.withColumn("doc", _typed(F.col(body), kind))
+    return read.withColumn("valid", F.coalesce(_valid(F.col("doc"), kind), F.lit(False)))
 
 
 def write_documents(documents: DataFrame, path: str) -> None:

@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import markup, urls
 from ..functions.ordinal import with_group_carry
 
+# What the address of an unwanted link or image contains.
 UNWANTED = "logo|icon|google|button"
+# The element, and the classes of elements, whose images are figures.
+FIGURES = ("figure", ("part-figure", "fig"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """``page_id, pos, link, url``: wanted links in page order, relative ones resolved against the page."""
     links = pages.select("page_id", F.col("url").alias("page"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("pos", "link"))
     wanted = links.where((F.col("link") != "") & ~F.lower("link").rlike(UNWANTED))
-    return wanted.select("page_id", F.col("pos").cast("bigint").alias("pos"), "link", resolve(F.col("page"), F.col("link")).alias("url"))
+    return wanted.select("page_id", F.col("pos").cast("bigint").alias("pos"), "link", urls.join(F.col("page"), F.col("link")).alias("url"))
 
 
 def image_links(pages: DataFrame) -> DataFrame:
-    """``page_id, pos, link, url``: the wanted images of each page in order; the lazy address (``data-src``) goes
-    before ``src``, and an empty one counts as none."""
-    tags = pages.select("page_id", F.col("url").alias("page"), F.posexplode(F.regexp_extract_all("html", F.lit(r"(?i)(<img\s[^>]*>)"), 1)).alias("pos", "tag"))
-    of = lambda name: F.nullif(F.regexp_extract("tag", rf"""(?i)\s{name}\s*=\s*["']([^"']*)["']""", 1), F.lit(""))
-    found = tags.withColumn("link", F.coalesce(of("data-src"), of("src")))
-    wanted = found.where(F.col("link").isNotNull() & ~F.lower("link").rlike(UNWANTED))
-    return wanted.select("page_id", F.col("pos").cast("bigint").alias("pos"), "link", resolve(F.col("page"), F.col("link")).alias("url"))
+    """``page_id, pos, link, url``: the wanted images of each page's figures in order; ``pos`` counts all images of the
+    page from 0. The lazy address (``data-src``) goes before ``src``, and an empty one counts as none."""
+    found = markup.inside(markup.tags(F.col("html")), "img", *FIGURES)
+    read = pages.select("page_id", F.col("url").alias("page"), F.inline(found)).withColumn("link", F.coalesce(markup.attribute(F.col("tag"), "data-src"), markup.attribute(F.col("tag"), "src")))
+    wanted = read.where(F.col("link").isNotNull() & ~F.lower("link").rlike(UNWANTED))
+    return wanted.select("page_id", F.col("pos").cast("bigint").alias("pos"), "link", urls.join(F.col("page"), F.col("link")).alias("url"))
 
 
 def image_responses(responses: DataFrame, content_type: str = "content_type") -> DataFrame:
@@ -32,19 +35,6 @@ def image_responses(responses: DataFrame, content_type: str = "content_type") ->
     return responses.where(F.coalesce(F.col(content_type), F.lit("")).contains("image"))
 
 
-def resolve(page: Column, link: Column) -> Column:
-    scheme = F.regexp_extract(page, r"^([a-zA-Z]+):", 1)
-    host = F.regexp_extract(page, r"^([a-zA-Z]+://[^/?#]*)", 1)
-    folder = F.regexp_extract(page, r"^([a-zA-Z]+://[^?#]*/)", 1)
-    rest = F.when(F.length(folder) > F.length(host), folder).otherwise(F.concat(host, F.lit("/")))
-    return (
-        F.when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(host, link))
-        .otherwise(F.concat(rest, link))
-    )
-
-
 def response_ids(bodies: DataFrame, body: str = "body") -> DataFrame:
     """``total, pos, article_id`` from stored XML search responses; no total counts as "0"."""
     total = F.coalesce(F.nullif(F.xpath_string(body, F.lit("/eSearchResult/Count")), F.lit("")), F.lit("0"))
@@ -52,14 +42,16 @@ def response_ids(bodies: DataFrame, body: str = "body") -> DataFrame:
 
 
 def capped_union(queries: list[DataFrame], cap: int) -> DataFrame:
-    """Ids of several queries, each cut to ``cap`` by position, one after another; repeats stay and are counted."""
+    """Ids of several queries, each cut to ``cap`` by position, one after another; repeats stay and are counted.
+
+    Ids are numbered by ranges and carries, so that neither a query's list nor an id found very often is one task."""
     every = None
     for number, q in enumerate(queries):
-        part = q.withColumn("query", F.lit(number))
+        part = q.select("pos", "article_id").withColumn("query", F.lit(number))
         every = part if every is None else every.unionByName(part)
-    first = every.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("pos"))).where(F.col("rank") <= cap)
-    again = Window.partitionBy("article_id").orderBy("query", "pos")
-    return first.withColumn("occurrence", F.row_number().over(again).cast("bigint")).select("query", "pos", "article_id", "occurrence")
+    first = with_group_carry(every, "query", [F.col("pos"), F.col("article_id")], F.lit(1), "rank").where(F.col("rank") < cap)
+    again = with_group_carry(first, "article_id", [F.col("query"), F.col("pos")], F.lit(1), "occurrence")
+    return again.select("query", "pos", "article_id", (F.col("occurrence") + 1).alias("occurrence"))
 
 
 def resume_quota(articles: DataFrame, manifest: DataFrame, targets: DataFrame) -> DataFrame:

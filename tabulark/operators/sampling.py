@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import h
-from ..functions.ordinal import with_global_ordinal
-
-
-SLICES = 32
+from ..functions.ordinal import with_global_ordinal, with_group_carry, written
+from ..functions.permutation import permuted
+from ..functions.selection import smallest
 
 
 def census(rows: DataFrame, category: str, cap: int, known: list[str] | None = None) -> DataFrame:
@@ -25,18 +24,17 @@ def census(rows: DataFrame, category: str, cap: int, known: list[str] | None = N
 
 
 def balanced(rows: DataFrame, category: str, key: str, cap: int, seed: str, known: list[str] | None = None) -> DataFrame:
-    """At most cap // categories rows of each, by hash; what a short category lacks is not redistributed.
+    """At most cap // categories rows of each, by hash, with their place ``rn``; what a short category lacks is not
+    redistributed.
 
-    Rows are first cut to the quota in ``SLICES`` slices of each category, so that a category with a large part
-    of all rows is many tasks, and the last cut sees at most SLICES quotas of it."""
+    The rows are selected by counts of hash bins, and numbered by ranges and carries: a category of any size and a cap
+    of any size are many tasks."""
     k = len(known) if known else rows.select(category).distinct().count()
     if not k:
         raise ValueError("no categories")
-    order = (h(seed, F.col(key)), F.col(key))
-    sliced = rows.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(SLICES)))
-    for by in ([category, "_slice"], [category]):
-        sliced = sliced.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= cap // k)
-    return sliced.drop("_slice")
+    kept = smallest(rows.withColumn("_h", h(seed, F.col(key))), [category], "_h", [key], cap // k)
+    placed = with_group_carry(kept, category, [F.col("_h"), F.col(key)], F.lit(1), "rn")
+    return placed.withColumn("rn", (F.col("rn") + 1).cast("int")).drop("_h")
 
 
 def exact_fraction(rows: DataFrame, key: str, ratio: float, seed: str) -> DataFrame:
@@ -46,14 +44,24 @@ def exact_fraction(rows: DataFrame, key: str, ratio: float, seed: str) -> DataFr
 
 
 def shuffle_cap(rows: DataFrame, key: str, most: int, seed: str) -> DataFrame:
-    """The first ``most`` rows of a global shuffle, with their ordinal. Only they are numbered."""
-    first = rows.withColumn("_h", h(seed, F.col(key))).orderBy("_h", key).limit(most)
-    return first.withColumn("ordinal", F.row_number().over(Window.orderBy("_h", key)).cast("bigint")).drop("_h")
+    """The first ``most`` rows of a global shuffle, with their ordinal. Only they are moved and numbered."""
+    kept = smallest(rows.withColumn("_h", h(seed, F.col(key))), [], "_h", [key], most)
+    return with_global_ordinal(kept, [F.col("_h"), F.col(key)], "ordinal")[0].drop("_h")
 
 
 def first_n(pairs: DataFrame, most: int) -> DataFrame:
-    """The first pairs by category and name; an early category may take them all."""
-    return pairs.orderBy("category", "base_name").limit(most)
+    """The first pairs by category and name; an early category may take them all.
+
+    Categories are counted; those that fit are taken whole, and only the one that the cut falls into is ordered,
+    by ranges. Its share is exact; pairs equal in both columns may take each other's place."""
+    sizes = written(pairs.groupBy("category").agg(F.count(F.lit(1)).alias("_n")))
+    # One row a category, in the order of a sort: nulls first.
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("category").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sizes.withColumn("_before", before).where(F.col("_before") < most).withColumnRenamed("category", "_category")
+    near = pairs.join(placed, F.col("category").eqNullSafe(F.col("_category")))
+    whole = near.where(F.col("_before") + F.col("_n") <= most)
+    cut, _ = with_global_ordinal(near.where(F.col("_before") + F.col("_n") > most), [F.col("category"), F.col("base_name")], "_rank")
+    return whole.unionByName(cut.where(F.col("_rank") <= F.lit(most) - F.col("_before")).drop("_rank")).select(*pairs.columns)
 
 
 def batches(rows: DataFrame, key: str, size: int, accumulate: int, seed: str) -> DataFrame:
@@ -61,3 +69,15 @@ def batches(rows: DataFrame, key: str, size: int, accumulate: int, seed: str) ->
     numbered, total = with_global_ordinal(rows.withColumn("_h", h(seed, F.col(key))), [F.col("_h"), F.col(key)])
     batch = F.floor((F.col("rn") - 1) / size)
     return numbered.withColumn("batch", batch).where(F.col("batch") < total // size).withColumn("step", F.floor(F.col("batch") / accumulate)).drop("_h")
+
+
+def epochs(rows: DataFrame, key: str, count: int, size: int, accumulate: int, seed: str) -> DataFrame:
+    """``epoch, place, batch, step`` of each row in each of ``count`` epochs; a last partial batch is dropped.
+
+    Rows are numbered once. An epoch's place is a keyed permutation of that number, so that further epochs, or one
+    row's place in any of them, cost arithmetic and no sort."""
+    numbered, total = with_global_ordinal(rows, [F.col(key)], "_ordinal")
+    each = numbered.select("*", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("epoch")) if count > 0 else numbered.withColumn("epoch", F.lit(0)).limit(0)
+    placed = each.withColumn("place", permuted(F.col("_ordinal") - 1, total, seed, F.col("epoch")))
+    batch = F.floor(F.col("place") / size)
+    return placed.withColumn("batch", batch).where(F.col("batch") < total // size).withColumn("step", F.floor(F.col("batch") / accumulate)).drop("_ordinal")

@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .functions import urls
 from .functions.draws import sql_between, sql_h, sql_normal, sql_pick, sql_u
 from .operators import documents, harvest, pairing, samples, sampling, summaries, survival, text
 from .plans import augment, generate
+from .registry import ORACLES, QUERIES, Tables, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-class Tables:
-    """The tables of one folder, as attributes."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None) -> Callable:
-    def register(f: Callable[[Tables], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -348,12 +327,12 @@ def search_ids(t: Tables) -> DataFrame:
     return harvest.capped_union([every.where("pos % 2 = 0"), every.where("pos % 2 = 1")], 1000)
 
 
-@query(r"""WITH l AS (SELECT page_id, url AS page, unnest(list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x, i: {'p': i, 'l': x})) AS s FROM pages),
-m AS (SELECT page_id, page, CAST(s.p - 1 AS BIGINT) AS pos, s.l AS link FROM l WHERE s.l <> '' AND NOT regexp_matches(lower(s.l), 'logo|icon|google|button'))
-SELECT page_id, pos, link, CASE WHEN regexp_matches(link, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN link WHEN link LIKE '//%' THEN regexp_extract(page, '^([a-zA-Z]+):', 1) || ':' || link
-  WHEN link LIKE '/%' THEN regexp_extract(page, '^([a-zA-Z]+://[^/?#]*)', 1) || link
-  ELSE (CASE WHEN length(regexp_extract(page, '^([a-zA-Z]+://[^?#]*/)', 1)) > length(regexp_extract(page, '^([a-zA-Z]+://[^/?#]*)', 1)) THEN regexp_extract(page, '^([a-zA-Z]+://[^?#]*/)', 1)
-    ELSE regexp_extract(page, '^([a-zA-Z]+://[^/?#]*)', 1) || '/' END) || link END AS url FROM m""")
+_HREFS = r"""SELECT page_id, page, CAST(s.p - 1 AS BIGINT) AS pos, s.l AS link FROM (
+  SELECT page_id, url AS page, unnest(list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda x, i: {'p': i, 'l': x})) AS s FROM pages)
+  WHERE s.l <> '' AND NOT regexp_matches(lower(s.l), 'logo|icon|google|button')"""
+
+
+@query(urls.sql_join(_HREFS, "page_id, pos, link"))
 def page_links(t: Tables) -> DataFrame:
     return harvest.page_links(t.pages)
 
@@ -500,3 +479,4 @@ def gen_series(t: Tables) -> DataFrame:
     return generate.series_rows(t.customer.select("c_custkey"), "c_custkey")
 
 
+from . import intake_queries  # noqa: E402, F401  registers its queries here

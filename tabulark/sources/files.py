@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PNG, JPG = "89504E470D0A1A0A", "FFD8FF"
+from ..functions import integrity
+from ..functions.ordinal import written
 
 
 def base_name(path: Column) -> Column:
@@ -32,15 +33,20 @@ def read_images(spark: SparkSession, folder: str, pattern: str = "*.{png,jpg}")
 
 
 def is_image(content: Column) -> Column:
-    """A PNG or JPEG signature, and for PNG a header chunk with a size."""
-    start = F.hex(F.substring(content, 1, 8))
-    width = F.conv(F.hex(F.substring(content, 17, 4)), 16, 10).cast("bigint")
-    png = (start == PNG) & (F.hex(F.substring(content, 13, 4)) == "49484452") & (width > 0)
-    return F.coalesce(png | start.startswith(JPG), F.lit(False))
+    """A whole PNG or JPEG file."""
+    return integrity.damage(content).isNull()
 
 
 def quarantined(images: DataFrame) -> DataFrame:
-    return images.where(~is_image(F.col("content"))).select("image_path", "length", F.lit("unreadable").alias("reason"))
+    """``image_path, length, reason`` of files that are no whole image."""
+    reason = integrity.damage(F.col("content"))
+    return images.select("image_path", "length", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def decodable(spark: SparkSession, folder: str) -> DataFrame:
+    """``image_path, width, height`` of files that Spark's image source decodes, as a second opinion."""
+    read = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(folder)
+    return read.select(F.col("image.origin").alias("image_path"), "image.width", "image.height")
 
 
 def read_words(spark: SparkSession, path: str) -> DataFrame:
@@ -50,9 +56,17 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """``pos, id``: the lines of an id list in their order, blanks around them cut; repeats and empty lines stay.
 
-    A list is one file, read whole by one task; position is what a run resumes from."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r?\n$", "").alias("value")).where("value <> ''")
-    return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("pos", "id")).select("pos", F.trim("id").alias("id"))
+    A list is a file, or a folder of files in the order of their names. Each split of a file is a task: lines are
+    numbered within their split, and splits pass on how many lines they have, so that position, which a run resumes
+    from, does not depend on where a file was cut."""
+    file, begin = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    # Within a task the numbers go up with the lines; the table is written so that every pass sees the same ones.
+    lines = written(spark.read.text(path).select(file.alias("_file"), begin.alias("_begin"), F.monotonically_increasing_id().alias("_line"), F.trim("value").alias("id")))
+    splits = written(lines.groupBy("_file", "_begin").agg(F.min("_line").alias("_first"), F.count(F.lit(1)).alias("_n")))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_begin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row a split, some 128 MB of lines each.
+    placed = splits.withColumn("_before", before).drop("_n")
+    return lines.join(placed, ["_file", "_begin"]).select((F.col("_before") + F.col("_line") - F.col("_first")).alias("pos"), "id")
 
 
 def append_ids(ids: DataFrame, path: str, run_id: str) -> None:
