@@ -7,11 +7,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_claimed: ContextVar[list[str] | None] = ContextVar("claimed", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,10 +32,34 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
+def claim(path: str) -> str:
+    """``path``, which goes when the ``owned_tables`` around the call end."""
+    held = _claimed.get()
+    if held is not None:
+        held.append(path)
+    return path
+
+
+@contextmanager
+def owned_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that jobs write to the shared folder inside are removed at the end, whether it ends well or not.
+
+    Results are lazy and read these tables: write them, or use them up, inside."""
+    paths: list[str] = []
+    token = _claimed.set(paths)
+    try:
+        yield
+    finally:
+        _claimed.reset(token)
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/ordinal-{uuid.uuid4().hex}"
+    path = claim(f"{shared_folder(spark)}/ordinal-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import integrity, urls
 from .functions.draws import sql_h
-from .functions.ordinal import shared_folder
+from .functions.ordinal import claim, shared_folder
 from .functions.permutation import sql_permuted
 from .operators import harvest, runs, sampling
 from .registry import Tables, query
@@ -112,7 +112,7 @@ SELECT type, next_index, CAST(saved AS BIGINT) AS saved, CAST((SELECT sum(saved)
   CAST((SELECT sum(images) FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) r WHERE r.type IS NOT DISTINCT FROM k2.type) AS BIGINT) AS images, CAST((SELECT max(first_number) FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) r WHERE r.type IS NOT DISTINCT FROM k2.type) AS BIGINT) AS last_number FROM k2""")
 def manifest_runs(t: Tables) -> DataFrame:
     """The manifest after two runs, the first of which is asked for twice, beside what their images say."""
-    folder = f"{shared_folder(t.spark)}/manifest-{uuid.uuid4().hex}"
+    folder = claim(f"{shared_folder(t.spark)}/manifest-{uuid.uuid4().hex}")
     articles = t.documents.select(F.col("source").alias("type"), F.col("doc_id").alias("pos"), F.concat(F.lit("PMC"), "doc_id").alias("article_id"), (F.col("n_chars") % 5 + 1).alias("images"))
     manifest, types = runs.Manifest(t.spark, f"{folder}/manifest"), articles.select("type").distinct()
     for run_id, aim in (("first", 60), ("first", 60), ("second", 125)):
@@ -128,7 +128,7 @@ _KINDS = ["good", "unreadable", "unknown kind", "incomplete", "incomplete"]
   (SELECT count(*) FROM documents) AS observed, (SELECT count(*) FROM documents WHERE doc_id % 5 <> 0) AS observed_bad FROM documents""")
 def label_ingest(t: Tables) -> DataFrame:
     """Labels made of documents, put through the stream: whole ones, cut ones, unknown kinds, missing nested fields."""
-    folder = f"{shared_folder(t.spark)}/ingest-{uuid.uuid4().hex}"
+    folder = claim(f"{shared_folder(t.spark)}/ingest-{uuid.uuid4().hex}")
     bar = F.struct(F.col("source").alias("label"), F.col("n_chars").cast("double").alias("value"))
     axes = F.struct(F.struct(F.lit("v").alias("label")).alias("y")).alias("axes")
     whole = lambda kind, one: F.to_json(F.struct(F.lit(kind).alias("chart_type"), axes, F.array(one).alias("bars")))
@@ -147,7 +147,7 @@ def label_ingest(t: Tables) -> DataFrame:
 @query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, 'PMC' || doc_id AS id FROM documents")
 def ordered_ids(t: Tables) -> DataFrame:
     """An id list written in order and read again with its positions."""
-    path = f"{shared_folder(t.spark)}/ids-{uuid.uuid4().hex}"
+    path = claim(f"{shared_folder(t.spark)}/ids-{uuid.uuid4().hex}")
     t.documents.select("doc_id").orderBy("doc_id").select(F.concat(F.lit("PMC"), F.col("doc_id").cast("string")).alias("value")).write.text(path)
     return files.read_ids(t.spark, path)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _STUDY = "struct<study_label:string,ratio_value:double,ci_lower:double,ci_upper:double>"
@@ -121,3 +121,8 @@ def validate(documents: DataFrame, kind: str, body: str = "body") -> DataFrame:
 def write_documents(documents: DataFrame, path: str) -> None:
     """Label sink: JSON lines by category, no file per chart."""
     documents.write.mode("overwrite").partitionBy("category").json(path)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``chart, body, category`` of what ``write_documents`` wrote; a line that is no JSON object gives nulls."""
+    return spark.read.schema("chart string, body string, category string").json(path)

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.ordinal import with_next_valid
 
-# The names one chart kind has in documents, folders and harvests.
-
 
 def pair_prefer(labels: DataFrame, first: DataFrame, second: DataFrame, keys: list[str], image: str) -> DataFrame:
     """Labels with the first image source's match, else the second's; without either they are dropped."""

@@ -50,10 +50,24 @@ def typo_noise(text: Column, key: Column, share: float = 0.3) -> Column:
 LABEL_PREFIXES = ("Estimated", "Adjusted", "Mean", "Median", "Baseline", "Post", "Aggregate", "Overall", "Comparative")
 LABEL_UNITS = ("(%)", "(Months)", "(Days)", "(Years)", "(mg/mL)", "(ng/dL)", "Index", "Ratio", "Score", "/ week")
 
-# The library's own smaller lists, for ``compose_label``.
-PREFIXES = ("Overall", "Median", "Relative", "Adjusted")
-METRICS = ("Survival", "Response", "Hazard", "Progression")
-UNITS = ("(%)", "(months)", "(days)", "(ratio)")
+# What the arms of a chart are called, by style: a name before a letter or number, or four names.
+ARM_STYLES = ("Treatment", "Drug", "Cohort", "Group", "Dose")
+ARM_LETTERS = {"Treatment": "A", "Drug": "X"}
+ARM_DOSES = ("Placebo", "Low Dose", "Medium Dose", "High Dose")
+
+
+def arm_label(style: Column, index: Column) -> Column:
+    """The name of the arm ``index`` (from 0) in a style; null for an unknown style, and for a fifth dose."""
+    made = F.when(style == "Dose", F.get(F.array(*[F.lit(d) for d in ARM_DOSES]), index.cast("int")))
+    for name in ARM_STYLES[:-1]:
+        sign = F.char(F.lit(ord(ARM_LETTERS[name])) + index) if name in ARM_LETTERS else (index + 1).cast("string")
+        made = made.when(style == name, F.concat(F.lit(f"{name} "), sign))
+    return made
+
+
+def arm_style(key: Column) -> Column:
+    """The style of a chart's arms, by its key."""
+    return F.element_at(F.array(*[F.lit(s) for s in ARM_STYLES]), (F.floor(u("style", key) * len(ARM_STYLES)) + 1).cast("int"))
 
 
 def numbered_words(words: DataFrame, source: str, most: int, seed: str = "42") -> DataFrame:
@@ -85,10 +99,10 @@ def chart_labels(rows: DataFrame, key: str, words: DataFrame, prefixes: tuple[st
     return found.groupBy(key).agg(joined.alias("plain")).select(key, typo_noise(F.col("plain"), F.col(key)).alias("label"))
 
 
-def compose_label(key: Column) -> Column:
+def compose_label(key: Column, prefixes: tuple[str, ...], metrics: tuple[str, ...], units: tuple[str, ...]) -> Column:
     """Metric; prefix and metric or metric and unit at even odds; or all three."""
     word = lambda seed, words: F.element_at(F.array(*[F.lit(w) for w in words]), (F.floor(u(seed, key) * len(words)) + 1).cast("int"))
-    metric, prefix, unit = word("metric", METRICS), word("prefix", PREFIXES), word("unit", UNITS)
+    metric, prefix, unit = word("metric", metrics), word("prefix", prefixes), word("unit", units)
     shape = F.floor(u("shape", key) * 3)
     two = F.when(u("two", key) < 0.5, F.concat_ws(" ", prefix, metric)).otherwise(F.concat_ws(" ", metric, unit))
     return F.when(shape == 0, metric).when(shape == 1, two).otherwise(F.concat_ws(" ", prefix, metric, unit))

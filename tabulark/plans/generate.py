@@ -9,7 +9,6 @@ from ..functions.draws import between, normal, pick, u
 
 # Shares of chart kinds.
 MIX = (("kaplan_meier", 0.50), ("forest_plot", 0.10), ("waterfall_plot", 0.10), ("simple_bar", 0.06), ("stacked_bar", 0.06), ("multi_line", 0.06), ("dual_axis_combo", 0.075), ("scatter", 0.045))
-ARM_LETTERS = "ABCD"
 
 
 def kind_of(key: Column) -> Column:
@@ -36,10 +35,6 @@ def survival_rows(charts: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "arm", "subject", F.least(event, censor).alias("t"), (event <= censor).cast("int").alias("e"))
 
 
-def arm_label(arm: Column) -> Column:
-    return F.concat(F.lit("Drug "), F.substring(F.lit(ARM_LETTERS), arm, F.lit(1)))
-
-
 def study_rows(charts: DataFrame, key: str) -> DataFrame:
     k = F.col(key)
     rows = charts.select(key, _numbers(pick("studies", 3, 10, k), "study"))

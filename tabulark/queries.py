@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import urls
 from .functions.draws import sql_between, sql_h, sql_normal, sql_pick, sql_u
+from .functions.ordinal import claim, shared_folder
 from .operators import documents, harvest, pairing, samples, sampling, summaries, survival, text
 from .plans import augment, generate
 from .registry import ORACLES, QUERIES, Tables, query
@@ -143,8 +146,6 @@ def stacked_bottoms(t: Tables) -> DataFrame:
 @query(f"""SELECT o_orderpriority AS chart, row_number() OVER (PARTITION BY o_orderpriority ORDER BY m) AS position, m AS label, bar, round(line, 2) AS line
 FROM (SELECT o_orderpriority, {_MONTH} AS m, count(*) AS bar, avg(o_totalprice) AS line FROM orders GROUP BY 1, 2)""")
 def dual_axis(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
     by = t.orders.groupBy(F.col("o_orderpriority").alias("chart"), _month().alias("label")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 2).alias("p"))
     placed = by.withColumn("position", F.row_number().over(Window.partitionBy("chart").orderBy("label")).cast("bigint"))
     return summaries.dual_axis(placed.withColumn("value", F.col("n")), placed.withColumn("value", F.col("p")))
@@ -254,6 +255,17 @@ def sft_prefix(t: Tables) -> DataFrame:
     return samples.with_prefix(_shaped(t)).select("doc_id", "n", "prefix_len", "total_len")
 
 
+@query(f"""{_TOKENS} SELECT doc_id, CAST({samples.VISUAL_PREFIX + _LENGTH} AS BIGINT) AS total_len, CAST({samples.VISUAL_PREFIX} + n AS BIGINT) AS mask_sum,
+  CAST({samples.VISUAL_PREFIX + _LENGTH} - greatest(0, n - k) AS BIGINT) AS ignored, CASE WHEN n > k THEN CAST({samples.VISUAL_PREFIX + 1} + k AS BIGINT) ELSE 0 END AS first_scored FROM fl""")
+def sft_expanded(t: Tables) -> DataFrame:
+    """What the written-out visual prefix makes of mask and labels."""
+    mask, labels = samples.expanded_prefix(F.col("attention_mask"), F.col("labels"))
+    made = _shaped(t).select("doc_id", mask.alias("mask"), labels.alias("own"))
+    scored = F.array_position(F.transform("own", lambda x: x != samples.IGNORED), True)
+    total = F.aggregate("mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return made.select("doc_id", F.size("own").cast("bigint").alias("total_len"), total.alias("mask_sum"), F.size(F.filter("own", lambda x: x == samples.IGNORED)).cast("bigint").alias("ignored"), scored.alias("first_scored"))
+
+
 # Text.
 _VOCABULARY = r"SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) AS w FROM documents) WHERE regexp_full_match(w, '\p{L}+') AND length(w) BETWEEN 5 AND 12 GROUP BY 1"
 
@@ -286,9 +298,25 @@ def _sql_word(seed: str, words: tuple[str, ...]) -> str:
 
 
 @query(f"""SELECT c_custkey, CASE WHEN s = 0 THEN m WHEN s = 1 THEN CASE WHEN two < 0.5 THEN p || ' ' || m ELSE m || ' ' || q END ELSE p || ' ' || m || ' ' || q END AS label FROM (
-  SELECT c_custkey, floor({sql_u("shape", "c_custkey")} * 3) AS s, {sql_u("two", "c_custkey")} AS two, {_sql_word("metric", text.METRICS)} AS m, {_sql_word("prefix", text.PREFIXES)} AS p, {_sql_word("unit", text.UNITS)} AS q FROM customer)""")
+  SELECT c_custkey, floor({sql_u("shape", "c_custkey")} * 3) AS s, {sql_u("two", "c_custkey")} AS two, {_sql_word("metric", text.DEFAULT_WORDS)} AS m, {_sql_word("prefix", text.LABEL_PREFIXES)} AS p, {_sql_word("unit", text.LABEL_UNITS)} AS q FROM customer)""")
 def compose_labels(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", text.compose_label(F.col("c_custkey")).alias("label"))
+    return t.customer.select("c_custkey", text.compose_label(F.col("c_custkey"), text.LABEL_PREFIXES, text.DEFAULT_WORDS, text.LABEL_UNITS).alias("label"))
+
+
+def _sql_arm(key: str, index: str) -> str:
+    doses = ", ".join(repr(d) for d in text.ARM_DOSES)
+    styles = [f"'{s} ' || " + (f"chr(CAST({ord(text.ARM_LETTERS[s])} + {index} AS INTEGER))" if s in text.ARM_LETTERS else f"({index} + 1)") for s in text.ARM_STYLES[:-1]]
+    cases = " ".join(f"WHEN {i} THEN {made}" for i, made in enumerate(styles))
+    return f"CASE CAST(floor({sql_u('style', key)} * {len(text.ARM_STYLES)}) AS INTEGER) {cases} ELSE [{doses}][CAST({index} AS INTEGER) + 1] END"
+
+
+@query(f"""SELECT chart, arm, n, {_sql_arm("chart", "i")} AS label FROM (
+  SELECT c_nationkey AS chart, c_mktsegment AS arm, count(*) AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) - 1 AS i FROM customer GROUP BY 1, 2)""")
+def arm_labels(t: Tables) -> DataFrame:
+    """The arms of a chart for each nation, named in the chart's style."""
+    arms = t.customer.groupBy(F.col("c_nationkey").alias("chart"), F.col("c_mktsegment").alias("arm")).agg(F.count(F.lit(1)).alias("n"))
+    placed = arms.withColumn("i", F.row_number().over(Window.partitionBy("chart").orderBy("arm")) - 1)
+    return placed.select("chart", "arm", "n", text.arm_label(text.arm_style(F.col("chart")), F.col("i")).alias("label"))
 
 
 def _sql_noise(source: str) -> str:
@@ -413,6 +441,52 @@ def chart_documents(t: Tables) -> DataFrame:
     return found
 
 
+_FOUR = lambda x: f"CAST(round(round({x}, 4) * 10000) AS BIGINT)"
+
+
+@query(f"""SELECT chart, 'waterfall_plot' AS category, md5(string_agg('Patient ' || rank || '=' || {_FOUR("value")}, ',' ORDER BY rank)) AS digest FROM ({_SMALL_BARS}) GROUP BY chart
+UNION ALL SELECT CAST(s.chart AS VARCHAR), 'forest_plot', md5(string_agg(study_label || '=' || {_FOUR("s.ratio_value")} || ':' || {_FOUR("s.ci_lower")} || ':' || {_FOUR("s.ci_upper")}, ',' ORDER BY study)
+  || ';Overall=' || any_value({_FOUR("p.ratio_value")}) || ':' || any_value({_FOUR("p.ci_lower")}) || ':' || any_value({_FOUR("p.ci_upper")})) FROM ({_STUDIES}) s JOIN ({_POOLED}) p ON s.chart = p.chart GROUP BY s.chart
+UNION ALL SELECT chart, 'multi_line', md5(string_agg(series || '[' || points || ']', ',' ORDER BY series)) FROM (SELECT chart, series, string_agg(label || '=' || 10000 * n, ',' ORDER BY label) AS points
+  FROM (SELECT o_orderpriority AS chart, o_orderstatus AS series, {_MONTH} AS label, count(*) AS n FROM orders GROUP BY ALL) GROUP BY chart, series) GROUP BY chart
+UNION ALL SELECT 'km', 'kaplan_meier', md5(string_agg(arm || '[' || points || '|' || coalesce(ticks, '') || ']', ',' ORDER BY arm)) FROM (
+  SELECT arm, string_agg(CAST(t AS BIGINT) || '=' || {_FOUR("s")}, ',' ORDER BY t, s) AS points FROM (
+    WITH ev AS ({_EVENTS}) SELECT arm, t, product(1 - d / n) OVER (PARTITION BY arm ORDER BY t) AS s FROM ev UNION ALL SELECT arm, 0.0, 1.0 FROM ev GROUP BY arm HAVING min(t) > 0) GROUP BY arm)
+  LEFT JOIN (SELECT arm, string_agg(CAST(t AS BIGINT), ',' ORDER BY t) AS ticks FROM ({_EVENTS}) WHERE c > 0 GROUP BY arm) USING (arm)""")
+def chart_digests(t: Tables) -> DataFrame:
+    """A digest of every value that a reader finds in a document, in the document's order."""
+    every, found, doc = _chart_documents(t), None, F.col("doc")
+    four = lambda x: F.round(x * 10000).cast("bigint").cast("string")
+    listed = lambda items, one: F.array_join(F.transform(items, one), ",")
+    study = lambda s: F.concat(s["study_label"], F.lit("="), F.concat_ws(":", *[four(s[c]) for c in ("ratio_value", "ci_lower", "ci_upper")]))
+    pair = lambda p: F.concat(p[0].cast("bigint").cast("string"), F.lit("="), four(p[1]))
+    reads = {
+        "waterfall_plot": listed(doc["bars"], lambda b: F.concat(b["label"], F.lit("="), four(b["value"]))),
+        "forest_plot": F.concat(listed(doc["studies"], study), F.lit(";"), study(doc["overall_effect"])),
+        "multi_line": listed(doc["series"], lambda s: F.concat(s["series_name"], F.lit("["), listed(s["data"], lambda p: F.concat(p["x"], F.lit("="), four(p["y"]))), F.lit("]"))),
+        "kaplan_meier": listed(doc["arms"], lambda a: F.concat(a["treatment_label"], F.lit("["), listed(a["coordinates"], pair), F.lit("|"), listed(a["censoring_ticks"], lambda x: x.cast("bigint").cast("string")), F.lit("]"))),
+    }
+    for kind, text_ in reads.items():
+        one = documents.validate(every.where(F.col("category") == kind), kind).where("valid").select("chart", "category", F.md5(text_).alias("digest"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query(f"""SELECT chart AS base_name, 'waterfall_plot' AS category, chart || CASE WHEN k = 0 THEN '.png' ELSE '.jpg' END AS image_path, true AS valid, n AS bars
+FROM (SELECT chart, min(id) % 3 AS k, count(*) AS n FROM ({_SMALL_BARS}) GROUP BY chart) WHERE k < 2""")
+def label_files(t: Tables) -> DataFrame:
+    """Documents written by category, read again, paired with images (.png before .jpg) and validated."""
+    path = claim(f"{shared_folder(t.spark)}/labels-{uuid.uuid4().hex}")
+    bars = _small_bars(t)
+    documents.write_documents(documents.waterfall_documents(bars), path)
+    labels = documents.read_documents(t.spark, path).withColumnRenamed("chart", "base_name")
+    kinds = bars.groupBy(F.col("chart").alias("base_name")).agg((F.min("id") % 3).alias("k")).withColumn("category", F.lit("waterfall_plot"))
+    image = lambda which, ending: kinds.where(which).select("category", "base_name", F.concat("base_name", F.lit(ending)).alias("image_path"))
+    paired = pairing.pair_prefer(labels, image("k = 0", ".png"), image("k < 2", ".jpg"), ["category", "base_name"], "image_path")
+    read = documents.validate(paired, "waterfall_plot")
+    return read.select("base_name", "category", "image_path", "valid", F.size("doc.bars").cast("bigint").alias("bars"))
+
+
 @query(f"""SELECT chart, bool_and(id % 997 <> 5) AND min(id) % 5 <> 0 AS valid, CASE WHEN min(id) % 5 = 1 THEN NULL ELSE count(*) END AS n FROM ({_SMALL_BARS}) GROUP BY chart HAVING min(id) % 5 <> 1
 UNION ALL SELECT chart, false, NULL FROM ({_SMALL_BARS}) GROUP BY chart HAVING min(id) % 5 = 1""")
 def label_validate(t: Tables) -> DataFrame:
@@ -453,11 +527,11 @@ def gen_mix(t: Tables) -> DataFrame:
 b AS (SELECT *, {sql_between("shape", 0.8, 1.5, "c_custkey", "arm")} AS shape, {sql_between("scale", 20, 100, "c_custkey", "arm")} AS scale, {sql_between("rate", 0.1, 0.5, "c_custkey", "arm")} AS rate,
   unnest(range(1, {sql_pick("subjects", 50, 200, "c_custkey", "arm")} + 1)) AS subject FROM a),
 c AS (SELECT *, scale * pow(-ln(1.0::DOUBLE - {sql_u("event", "c_custkey", "arm", "subject")}), 1.0 / shape) AS ev, {sql_u("censor", "c_custkey", "arm", "subject")} * scale * (1 + 2 * rate) AS ce FROM b)
-SELECT c_custkey, arm, count(*) AS n, CAST(sum(CASE WHEN ev <= ce THEN 1 ELSE 0 END) AS BIGINT) AS events, round(sum(least(ev, ce)), 3) AS total, 'Drug ' || substr('ABCD', CAST(arm AS INTEGER), 1) AS label FROM c GROUP BY c_custkey, arm""")
+SELECT c_custkey, arm, count(*) AS n, CAST(sum(CASE WHEN ev <= ce THEN 1 ELSE 0 END) AS BIGINT) AS events, round(sum(least(ev, ce)), 3) AS total, {_sql_arm("c_custkey", "arm - 1")} AS label FROM c GROUP BY c_custkey, arm""")
 def gen_survival(t: Tables) -> DataFrame:
     rows = generate.survival_rows(t.customer.select("c_custkey"), "c_custkey")
     by = rows.groupBy("c_custkey", F.col("arm").cast("bigint").alias("arm")).agg(F.count(F.lit(1)).alias("n"), F.sum("e").cast("bigint").alias("events"), F.round(F.sum("t"), 3).alias("total"))
-    return by.withColumn("label", generate.arm_label(F.col("arm").cast("int")))
+    return by.withColumn("label", text.arm_label(text.arm_style(F.col("c_custkey")), F.col("arm") - 1))
 
 
 @query(f"""WITH a AS (SELECT c_custkey, unnest(range(1, {sql_pick("studies", 3, 10, "c_custkey")} + 1)) AS study FROM customer),

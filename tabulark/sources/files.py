@@ -43,6 +43,11 @@ def quarantined(images: DataFrame) -> DataFrame:
     return images.select("image_path", "length", reason.alias("reason")).where("reason IS NOT NULL")
 
 
+def write_quarantine(images: DataFrame, path: str, run_id: str) -> None:
+    """Appends the images that are not whole under their run; a run that is written again replaces itself."""
+    append_ids(quarantined(images), path, run_id)
+
+
 def decodable(spark: SparkSession, folder: str) -> DataFrame:
     """``image_path, width, height`` of files that Spark's image source decodes, as a second opinion."""
     read = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(folder)
@@ -69,9 +74,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return lines.join(placed, ["_file", "_begin"]).select((F.col("_before") + F.col("_line") - F.col("_first")).alias("pos"), "id")
 
 
-def append_ids(ids: DataFrame, path: str, run_id: str) -> None:
-    """Appends ``ids`` under their run; a run that is written again replaces itself, so that a retry adds nothing."""
-    ids.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
+def append_ids(ids: DataFrame, path: str, run_id: str, mode: str = "overwrite") -> None:
+    """Appends ``ids`` to the runs before, under their own run. A run that is written again replaces itself, so that a
+    retry adds nothing; with ``mode="append"`` it adds to itself, as lines added to a file do."""
+    ids.write.mode(mode).parquet(f"{path}/run_id={run_id}")
 
 
 def write_vocabulary(words: DataFrame, path: str) -> None:

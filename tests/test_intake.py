@@ -6,15 +6,17 @@ import re
 import struct
 import zlib
 from hashlib import md5
+from pathlib import Path
 from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabulark.functions import integrity, urls
+from tabulark.functions.ordinal import owned_tables, shared_folder, with_global_ordinal
 from tabulark.functions.permutation import permuted
 from tabulark.functions.selection import smallest
-from tabulark.operators import harvest, runs, sampling
+from tabulark.operators import harvest, runs, samples, sampling, text
 from tabulark.sources import files
 from tabulark.streaming import ingest
 
@@ -100,7 +102,10 @@ def test_image_source_agrees(spark, tmp_path):
     (tmp_path / "whole.png").write_bytes(png(5, 4))
     (tmp_path / "cut.png").write_bytes(png(5, 4)[:40])
     assert [(r.image_path.rsplit("/", 1)[1], r.width, r.height) for r in files.decodable(spark, str(tmp_path)).collect()] == [("whole.png", 5, 4)]
-    assert [(r.image_path.rsplit("/", 1)[1], r.reason) for r in files.quarantined(files.read_images(spark, str(tmp_path))).collect()] == [("cut.png", "truncated")]
+    images = files.read_images(spark, str(tmp_path))
+    for _ in range(2):
+        files.write_quarantine(images, f"file://{tmp_path}/aside", "r1")
+    assert [(r.image_path.rsplit("/", 1)[1], r.reason) for r in spark.read.parquet(f"file://{tmp_path}/aside").collect()] == [("cut.png", "truncated")]
 
 
 @pytest.fixture
@@ -243,3 +248,34 @@ def test_capped_union_counts_repeats(spark):
     got = harvest.capped_union([one, one.where("pos < 3")], 10).collect()
     assert sorted((r.query, r.pos) for r in got) == [(0, i) for i in range(10)] + [(1, i) for i in range(3)]
     assert sorted(r.occurrence for r in got if r.article_id == "hot") == [1, 2, 3, 4, 5, 6]
+
+
+def test_owned_tables_go(spark):
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = {p.name for p in folder.iterdir()}
+    with pytest.raises(RuntimeError, match="lost"), owned_tables(spark):
+        with_global_ordinal(spark.range(10), [F.col("id")])
+        assert {p.name for p in folder.iterdir()} != before
+        raise RuntimeError("lost")
+    assert {p.name for p in folder.iterdir()} == before
+
+
+def test_appended_runs(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "pos int, id string")
+    for mode in ("append", "append", "overwrite", "append"):
+        files.append_ids(rows, f"file://{tmp_path}/x", "r", mode)
+    assert spark.read.parquet(f"file://{tmp_path}/x").count() == 2
+
+
+def test_arm_labels(spark):
+    rows = spark.createDataFrame([(s, i) for s in (*text.ARM_STYLES, "none") for i in range(4)], "s string, i int")
+    got = rows.select("s", text.arm_label(F.col("s"), F.col("i")).alias("x")).collect()
+    assert [r.x for r in got if r.s == "Treatment"] == [f"Treatment {c}" for c in "ABCD"]
+    assert [r.x for r in got if r.s == "Drug"] == [f"Drug {chr(88 + i)}" for i in range(4)]
+    assert [r.x for r in got if r.s == "Cohort"] == [f"Cohort {i}" for i in range(1, 5)]
+    assert [r.x for r in got if r.s in ("Dose", "none")] == [*text.ARM_DOSES, None, None, None, None]
+
+
+def test_written_out_prefix(spark):
+    mask, labels = samples.expanded_prefix(F.array(F.lit(1), F.lit(0)), F.array(F.lit(7), F.lit(-100)), 3)
+    assert tuple(spark.range(1).select(mask, labels).first()) == ([1, 1, 1, 1, 0], [-100, -100, -100, 7, -100])
