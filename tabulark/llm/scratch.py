@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.ordinal import shared_folder
+from ..functions.ordinal import claim, shared_folder
 
 #: Spark's setting to remove a query's shuffle files as soon as the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -20,12 +20,13 @@ class Scratch:
 
     A lost executor costs at most the tasks of the running phase: finished phases are files. Tables
     that a later phase no longer reads are dropped as soon as their successor is written, and Spark
-    removes the shuffle files of a phase when its write has ended.
+    removes the shuffle files of a phase when its write has ended. What the result still reads goes with the
+    ``owned_tables`` around the job.
     """
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex}"
+        self.root = claim(f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex}")
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
