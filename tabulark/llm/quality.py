@@ -5,7 +5,7 @@ whole text, every rule compares two counts in integers, and all of it is evaluat
 reads the rows: no shuffle, no Python.
 
 Defined results: a null or empty text (or one of white space only) has every count 0 and fails
-``words_min``; nulls in other columns, repeated rows and ties pass through row by row; an empty table
+``words_min``; a very long text is judged whole, with some 30 bytes a word in memory; nulls in other columns, repeated rows and ties pass through row by row; an empty table
 gives an empty table; columns of the input keep their place, and a metric whose name the input
 already uses is returned under that name with underscores appended.
 """
@@ -58,10 +58,10 @@ class Rule:
 
 
 #: The base rules and the verdict's own. The stop-word rule forgives two missing words, so that short texts pass.
+#: No text is too long: the ratio rules judge long texts as they do others.
 RULES = (
     Rule("words_min", "n_words", "<", 10, base=True),
     Rule("repeated_grams", "n_repeat_words", ">", 20, "n_words", 100, base=True),
-    Rule("words_max", "n_words", ">", 1_000_000),
     Rule("word_length_min", "word_chars", "<", 3, "n_words"),
     Rule("word_length_max", "word_chars", ">", 10, "n_words"),
     Rule("symbols", "n_symbols", ">", 10, "n_words", 100),
@@ -69,8 +69,6 @@ RULES = (
     Rule("repeated_lines", "n_dup_lines", ">", 30, "n_lines", 100),
     Rule("capitals", "n_capitals", ">", 30, "word_chars", 100),
 )
-#: What a corpus is filtered by: no clean text is too long, the ratio rules judge long texts as they do others.
-CORPUS_RULES = tuple(r for r in RULES if r.name != "words_max")
 
 
 def _without(text: Column, chars: str) -> Column:
@@ -152,7 +150,7 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") ->
     ), at
 
 
-def keep_good(df: DataFrame, rules: tuple[Rule, ...] = CORPUS_RULES, text: str = "text") -> DataFrame:
+def keep_good(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows that no rule rejects, with the columns of ``df``."""
     judged, at = judge(df, rules, text)
     # The optimizer does not move a filter below a row number. Moved below the metrics it would hold each of
