@@ -27,6 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 ARCHIVE_BYTES = 8 << 20
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4096
@@ -130,7 +132,10 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, segment
     read = read.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     ids = read.where(F.octet_length("html") >= least_bytes).select("page_id", "sha1")
     firsts = ids.groupBy("sha1").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("pages")).where("pages > 1")
-    again = ids.join(firsts, "sha1").where(~F.col("page_id").eqNullSafe(F.col("response"))).select(F.col("page_id").alias("again"), F.col("sha1").alias("again_sha1"), "response").distinct()
+    # Written first, and the revisits too, so that both sides of their join are plain shuffles, which Spark cuts at a hot digest.
+    scratch = Scratch(pages.sparkSession, "payloads")
+    met = ids.join(scratch.write(firsts, "firsts"), "sha1").where(~F.col("page_id").eqNullSafe(F.col("response")))
+    again = scratch.write(met.select(F.col("page_id").alias("again"), F.col("sha1").alias("again_sha1"), "response"), "again", drop=("firsts",)).distinct()
     same = F.col("page_id").eqNullSafe(F.col("again")) & (F.col("sha1") == F.col("again_sha1"))
     placed = read.join(again, same, "left").select("page_id", "url", "html", F.col("response").alias("refers_to"))
 
