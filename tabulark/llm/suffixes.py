@@ -3,19 +3,22 @@
 1. Every ``width``-byte string has an anchor (:mod:`anchors`); strings whose anchor occurs once are unique.
    An anchor's context is the stretch of bytes that holds all the strings it anchors there. Whole copies of
    a smaller document are found by their texts' hashes and set aside.
-2. Equal contexts collapse: in all but the first every string recurs, and only the first goes on.
-3. Contexts are sharded by anchor. In a shard the suffixes are put in buckets by q-gram, and buckets that
-   hold several are refined by sorting on the bucket identifiers of later offsets: 2q bytes from the buckets
-   q further on, 4q from those of 2q, and at last ``width`` from two overlapping buckets. Each step reuses the
-   identifiers of the one before; a suffix alone in its bucket keeps its own. Suffixes in one bucket then
-   agree in ``width`` bytes; all but the earliest are repeats.
+2. Contexts are sharded by anchor. The bytes of equal contexts are held once, with the places that have them.
+   In a shard the suffixes are put in buckets by q-gram, and buckets that hold several are refined by sorting on
+   the bucket identifiers of later offsets: 2q bytes from the buckets q further on, 4q from those of 2q, and at
+   last ``width`` from two overlapping buckets. Each step reuses the identifiers of the one before; a suffix alone
+   in its bucket keeps its own. Suffixes in one bucket then agree in ``width`` bytes; every place of a bucket but
+   its earliest is a repeat.
+3. Where an anchor's places are more than a shard may hold, equal contexts' places are dealt in slices, each with
+   the bytes and the earliest place, and refined there.
 4. An anchor with more different contexts than a shard may hold gets several shards: its strings are parted by
    where in them the anchor lies, and each part goes on, from step 2, by the bytes around the anchor that all
    its strings hold. At every turn the parts halve, so that an anchor is at last known by whole strings.
 
 Defined results: a null or empty text has no bytes and loses none; a null doc_id is compared with
 nothing and keeps its bytes; rows that share a doc_id are one document for the search, with the
-smallest of their texts, and those with another text keep theirs; an empty table gives an empty table.
+smallest of their texts, and those with another text keep theirs; a very long text is hashed whole, at some 40
+bytes a byte, and refined by its contexts; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import by_document, byte_keys, keyed_documents, merged, numbers, search, whole_spans, with_spans
+from .countautomata import runs
 from .scratch import Scratch, fresh
 from .textarrays import mix, prefix_hash
 
@@ -37,6 +41,8 @@ GRAM = 32
 SHARD_CONTEXTS = 8_000
 # So many shards to that number of contexts: most hold an eighth of it, one with a frequent anchor little over it.
 SHARDS_PER_BOUND = 8
+#: Places beside the first that equal contexts of one anchor may have within its shard; also a slice's size.
+SHARD_PLACES = 8_192
 
 _CONTEXT = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("p", pa.int32()), ("context", pa.binary())])
 
@@ -108,20 +114,31 @@ def refined_buckets(data: np.ndarray, offsets: np.ndarray, width: int, gram: int
 
 
 def _refine(width: int):
+    """Spans of repeats among contexts: rows with bytes, and places (no bytes) of the context with the same keys."""
+
     def refine(table: pa.Table) -> pa.Table:
-        contexts = table.column("context").to_pylist()
+        texts, keys = table.column("context"), [table.column(k).to_numpy() for k in ("h", "k1", "k2")]
+        doc_id, lo = table.column("doc_id").to_numpy(), table.column("lo").to_numpy().astype(np.int64)
+        held = np.flatnonzero(texts.is_valid().to_numpy())
+        contexts = texts.take(pa.array(held)).to_pylist()
         data = np.frombuffer(b"".join(contexts), dtype=np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
         at, bucket = refined_buckets(data, offsets, width)
-        of = np.searchsorted(offsets, at, side="right") - 1
-        doc = table.column("doc_id").to_numpy()[of]
-        start = table.column("lo").to_numpy()[of] + (at - offsets[of])
+        # Every place of a context has its suffixes, in the buckets of its bytes.
+        _, group = np.unique(np.stack(keys, axis=1), axis=0, return_inverse=True)
+        own = np.empty(int(group.max()) + 1, dtype=np.int64)
+        own[group[held]] = np.arange(len(held))
+        first, last = np.searchsorted(at, offsets[:-1]), np.searchsorted(at, offsets[1:])
+        of = own[group]
+        size = last[of] - first[of]
+        suffix = runs(first[of], size)
+        doc, start = np.repeat(doc_id, size), np.repeat(lo - offsets[of], size) + at[suffix]
+        bucket = bucket[suffix]
         order = np.lexsort((start, doc, bucket))
-        later = np.concatenate([[False], bucket[order][1:] == bucket[order][:-1]]) if len(order) else np.zeros(0, dtype=bool)
-        again = order[later]
+        again = order[1:][bucket[order][1:] == bucket[order][:-1]]
         again = again[np.lexsort((start[again], doc[again]))]
         doc, start = doc[again], start[again]
-        opens = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]) if len(doc) else np.zeros(0, dtype=bool)
+        opens = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)]) if len(doc) else np.zeros(0, dtype=bool)
         closes = np.concatenate([opens[1:], [True]]) if len(doc) else opens
         return pa.table({"doc_id": pa.array(doc[opens], pa.int64()), "a": pa.array(start[opens].astype(np.int32)), "b": pa.array((start[closes] + width).astype(np.int32))})
 
@@ -151,14 +168,14 @@ def _parted(contexts: DataFrame, width: int, turn: int) -> DataFrame:
     return rows.select(F.xxhash64("h", F.lit(turn), "part", "core").alias("h"), "doc_id", "lo", "p", "context")
 
 
-def repeated_spans(df: DataFrame, width: int = 100, text: str = "text", doc_id: str = "doc_id", shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
+def repeated_spans(df: DataFrame, width: int = 100, text: str = "text", doc_id: str = "doc_id", shard_contexts: int = SHARD_CONTEXTS, shard_places: int = SHARD_PLACES) -> DataFrame:
     """``doc_id, spans, t``: the byte intervals ``[a, b)`` covered by strings that also start earlier; see
     ``keyed_documents`` for ``t``."""
     scratch = Scratch(df.sparkSession, "suffixes")
     docs, shared = keyed_documents(df, text, doc_id)
     hits, copied = search(docs, byte_keys, GRAM, width, False, scratch)
     keys = [F.xxhash64("context").alias("k1"), F.xxhash64(F.lit(1), "context").alias("k2")]
-    place, size = F.struct("doc_id", "lo", "p"), F.octet_length("context")
+    place = F.struct("doc_id", "lo", "p")
     spans, turn, used = whole_spans(copied), 0, ["hits"]
     contexts = _contexts(docs, hits, width)
     while True:
@@ -166,17 +183,31 @@ def repeated_spans(df: DataFrame, width: int = 100, text: str = "text", doc_id:
         contexts = scratch.write(contexts.select("h", "doc_id", "lo", "p", "context", *keys), name, drop=tuple(used) if not turn else ())
         firsts = contexts.groupBy("h", "k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.min_by("context", place).alias("context"))
         firsts = scratch.write(firsts, f"firsts-{turn}")
-        copies = contexts.join(firsts.where("n > 1").select("h", "k1", "k2", "first"), ["h", "k1", "k2"]).where(place != F.col("first"))
-        copies = scratch.write(copies.select("doc_id", F.col("lo").alias("a"), (F.col("lo") + size).alias("b")), f"copied-{turn}", drop=(name,))
-
-        several = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
-        left = firsts.join(several, "h").select("h", "first.doc_id", "first.lo", "first.p", "context", "different")
-        left = scratch.write(left, f"left-{turn}", drop=(f"firsts-{turn}",))
-        cold, hot = left.where(F.col("different") <= shard_contexts), left.where(F.col("different") > shard_contexts)
-        shards = max(1, math.ceil(SHARDS_PER_BOUND * left.count() / shard_contexts))
-        refined = cold.select("doc_id", "lo", "context", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(_refine(width), "doc_id bigint, a int, b int")
-        spans = spans.unionByName(copies).unionByName(refined)
-        used = [*used, f"copied-{turn}", f"left-{turn}"]
+        several = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("different"), F.sum("n").alias("places")).where("places > 1")
+        several = scratch.write(several, f"several-{turn}")
+        left = firsts.join(several, "h").select("h", "k1", "k2", "first", "n", "context", "different", "places")
+        left = scratch.write(left, f"left-{turn}", drop=(f"firsts-{turn}", f"several-{turn}"))
+        # The other places of equal contexts, without bytes.
+        met = contexts.join(left.where("n > 1").select("h", "k1", "k2", "first", "n", "different", "places"), ["h", "k1", "k2"]).where(place != F.col("first"))
+        others = scratch.write(met.select("h", "k1", "k2", "doc_id", "lo", "n", "different", "places"), f"others-{turn}", drop=(name,))
+
+        narrow, near = F.col("different") <= shard_contexts, F.col("places") - F.col("different") <= shard_places
+        shards = max(1, math.ceil(SHARDS_PER_BOUND * left.count() / shard_contexts), math.ceil(SHARDS_PER_BOUND * others.count() / shard_places))
+        shard, whole = F.pmod(F.xxhash64("h"), F.lit(shards)).cast("bigint"), F.lit(0)
+        held = left.select("h", "k1", "k2", F.col("first.doc_id").alias("doc_id"), F.col("first.lo").alias("lo"), "context", "n", "different", "places")
+        # Slices of the places that an anchor's shard cannot hold: each gets the bytes and the first place.
+        slices = F.floor(F.col("n") / shard_places).cast("int")
+        far = ~(narrow & near)
+        apart, none = F.xxhash64("h", "k1", "k2"), F.lit(None).cast("binary")
+        fields = ("h", "k1", "k2", "doc_id", "lo")
+        rows = held.where(narrow & (near | (F.col("different") > 1))).select(shard.alias("shard"), F.lit(-1).alias("slice"), *fields, "context")
+        rows = rows.unionByName(others.where(narrow & near).select(shard.alias("shard"), F.lit(-1).alias("slice"), *fields, none.alias("context")))
+        rows = rows.unionByName(held.where(far & (F.col("n") > 1)).select(apart.alias("shard"), F.explode(F.sequence(whole, slices)).alias("slice"), *fields, "context"))
+        rows = rows.unionByName(others.where(far).select(apart.alias("shard"), F.pmod(F.xxhash64("doc_id", "lo"), slices + 1).cast("int").alias("slice"), *fields, none.alias("context")))
+        refined = rows.groupBy("shard", "slice").applyInArrow(_refine(width), "doc_id bigint, a int, b int")
+        spans = spans.unionByName(refined)
+        used = [*used, f"others-{turn}", f"left-{turn}"]
+        hot = left.where(~narrow).select("h", "first.doc_id", "first.lo", "first.p", "context")
         if hot.isEmpty():
             break
         turn += 1

@@ -214,14 +214,23 @@ def brute_bytes(texts, width=100):
     return out
 
 
-@pytest.mark.parametrize("shard_contexts", [8000, 1])
-def test_suffixes_brute_force(spark, odd, shard_contexts, monkeypatch):
+@pytest.mark.parametrize(("shard_contexts", "shard_places"), [(8000, 8192), (1, 1), (8000, 2)])
+def test_suffixes_brute_force(spark, odd, shard_contexts, shard_places, monkeypatch):
     docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
-    monkeypatch.setattr(suffixes.repeated_spans, "__defaults__", (100, "text", "doc_id", shard_contexts))
+    monkeypatch.setattr(suffixes.repeated_spans, "__defaults__", (100, "text", "doc_id", shard_contexts, shard_places))
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffixes.remove_repeated(docs).collect()}
     assert got == brute_bytes({r.doc_id: r.text or "" for r in docs.collect()})
 
 
+def test_refinement_finds_the_places_of_equal_contexts():
+    body, other = bytes(range(32, 152)), bytes(range(40, 160))
+    rows = [(7, 1, 1, 3, 10, body), (7, 1, 1, 5, 0, None), (7, 1, 1, 5, 400, None), (7, 2, 2, 4, 50, other), (9, 3, 3, 1, 0, b"z" * 131)]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)]
+    found = suffixes._refine(100)(pa.table(columns, names=["h", "k1", "k2", "doc_id", "lo", "context"])).to_pylist()
+    # The other context shares 112 bytes with the first; the last one repeats within itself.
+    assert sorted((r["doc_id"], r["a"], r["b"]) for r in found) == [(1, 1, 131), (4, 50, 162), (5, 0, 120), (5, 400, 520)]
+
+
 def test_suffixes_odd_rows(spark, odd, empty):
     cut = suffixes.without_repeated(odd, n_chars="n")
     assert cut.columns == odd.columns and cut.count() == odd.count()
