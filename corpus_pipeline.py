@@ -1,7 +1,8 @@
 """Corpus preparation in four stages: quality rules, near-duplicate removal, substring deduplication, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns of
-``documents``. ``run`` writes every stage's result to the shared folder and reads it back for the next.
+``documents``. ``run`` writes every stage's result to the shared folder and reads it back for the next; only the last
+one's stays.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulark.functions.ordinal import owned_tables
 from tabulark.llm import neardup, packing, quality, suffixes
 from tabulark.llm.queries import vocabulary
 from tabulark.llm.scratch import Scratch
@@ -57,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    docs, scratch, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline"), ()
     for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        # A stage's own tables go when it is written, its input when the next stage's is.
+        with owned_tables(spark):
+            docs = scratch.write(stage(spark, docs, sf_dir), name, drop=before)
+        before = (name,)
     return docs
