@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import idcoder
 from .scratch import parts
-from .tokenize import encoder
+from .tokenize import on_workers
 
 FRAME_IDS = 1 << 16
 FRAMES_AT_ONCE = idcoder.LANES * idcoder.BLOCK_IDS
@@ -41,10 +41,13 @@ def _coded(frames: list[tuple], largest: int) -> pa.RecordBatch:
 
 
 def encode_frames(df: DataFrame, vocabulary: str, end_id: int, largest: int = 65535, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The frames of all rows, in ascending ``doc_id`` (null first, equal ids by text)."""
+    """The frames of all rows, in ascending ``doc_id`` (null first, equal ids by a hash of their text and then by it).
+
+    The hash parts rows that share an id, or have none, among files like any others."""
+    encoder = on_workers(df.sparkSession, vocabulary)
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(), np.array([end_id], dtype="<u4").tobytes()
         file, frame, start = TaskContext.get().partitionId(), 0, 0
         ready: list[tuple] = []
         docs: list[tuple] = []
@@ -71,7 +74,8 @@ def encode_frames(df: DataFrame, vocabulary: str, end_id: int, largest: int = 65
             yield _coded(ready, largest)
 
     read = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    ordered = read.repartitionByRange(parts(df.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    place = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered = read.repartitionByRange(parts(df.sparkSession), *place).sortWithinPartitions(*place, "text")
     return ordered.mapInArrow(tasks, FRAME)
 
 
@@ -132,7 +136,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """One row per document: ``doc_id, start`` (ids of all documents before it), ``n_tokens, ids``.
 
     Defined results: a null or empty text is a document of the end id alone; null doc_ids come first
-    and stay null; equal doc_ids are ordered by text; an empty table gives no rows; other columns
+    and stay null; equal doc_ids are ordered by a hash of their text; an empty table gives no rows; other columns
     are not written. A file or frame that is missing raises."""
     frames = spark.read.schema(FRAME).parquet(path)
     written = spark.read.schema("file int, frames bigint, ids bigint").parquet(f"{path}/_files")

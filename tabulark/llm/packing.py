@@ -3,13 +3,14 @@
 Every task packs the documents that it reads, in the order it reads them, with no shuffle. A level
 array counts the open windows of each fill level; a document goes to the level at which the sum of
 the squared counts of partially filled windows rises least (a new window is level 0; ties take the
-fullest). A document longer than a window first fills whole windows of its own. A task packs in sessions
-of ``SESSION_IDS`` ids, which bounds its memory at every size; when a session ends, the windows still open
-are topped up from the emptiest ones by cutting pieces, so that one window a task is left with padding.
+fullest). A document longer than a window first fills whole windows of its own. At the end of a task, and
+where more than ``MOST_OPEN`` windows are open, which bounds its memory, the open windows are topped up from the
+emptiest ones by cutting pieces, so that one window a task is left with padding.
 
 How many windows are still open depends on the lengths, hardly on the number of documents: of the windows
-that hold more than one piece, placement closes most in a session of some thousand documents (``closed_by``
-counts them), and few in one of some hundred. Small partitions are therefore read together (``LEAST_BYTES``).
+that hold more than one piece, placement closes most in a task of some thousand documents (``closed_by``
+counts them), and few in one of some hundred. Small partitions are therefore read together (``LEAST_BYTES``, by
+the planner's estimate of what is read).
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokenize import encoder
+from .tokenize import on_workers
 
-SESSION_IDS = 1 << 24
-LEAST_BYTES = 16 << 20
+MOST_OPEN = 1 << 14
+LEAST_BYTES = 4 << 20
 ROWS_OUT = 2048
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
@@ -35,11 +36,11 @@ _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_
 class SumOfSquares:
     """The open windows of one task. A piece is (doc_id, start, doc_tokens, ids as bytes)."""
 
-    def __init__(self, window: int, first_sequence: int = 0, session: int = SESSION_IDS):
-        self.window, self.sequence, self.session = window, first_sequence, session
+    def __init__(self, window: int, first_sequence: int = 0, most_open: int = MOST_OPEN):
+        self.window, self.sequence, self.most_open = window, first_sequence, most_open
         self.counts = np.zeros(window + 1, dtype=np.int64)
         self.levels: list[list[list]] = [[] for _ in range(window)]
-        self.seen = 0
+        self.open = 0
         self.closed: list[list] = []
         self.closed_by = {"whole": 0, "placed": 0, "topped": 0}
 
@@ -49,10 +50,8 @@ class SumOfSquares:
             self._close([(doc_id, at, total, ids[4 * at : 4 * (at + self.window)])], "whole")
         if whole < total:
             self._place((doc_id, whole, total, ids[4 * whole :]), total - whole)
-        self.seen += total
-        if self.seen >= self.session:
+        if self.open > self.most_open:
             self.top_up()
-            self.seen = 0
 
     def _close(self, window: list, how: str) -> None:
         self.closed.append(window)
@@ -77,8 +76,10 @@ class SumOfSquares:
             self.counts[level] -= 1
         else:
             window = []
+            self.open += 1
         window.append(piece)
         if level + size == self.window:
+            self.open -= 1
             self._close(window, "placed")
             return
         self.levels[level + size].append(window)
@@ -89,6 +90,7 @@ class SumOfSquares:
         still = [(level, w) for level in range(self.window - 1, 0, -1) for w in self.levels[level]]
         self.levels = [[] for _ in range(self.window)]
         self.counts[:] = 0
+        self.open = 0
         low, high = 0, len(still) - 1
         while low < high:
             level, window = still[low]
@@ -117,6 +119,7 @@ class SumOfSquares:
             else:
                 self.levels[level].append(window)
                 self.counts[level] += 1
+                self.open = 1
 
     def rows(self) -> Iterator[tuple]:
         for window in self.closed:
@@ -138,7 +141,7 @@ def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, te
     """
 
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder(), np.array([end_id], dtype="<u4").tobytes()
         context = TaskContext.get()
         packer = SumOfSquares(window, (context.partitionId() if context else 0) << 40)
 
@@ -155,5 +158,8 @@ def pack(df: DataFrame, vocabulary: str, window: int = 2048, end_id: int = 1, te
         yield from ready(1)
 
     read = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    size = read.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    return read.coalesce(1 + size // LEAST_BYTES).mapInArrow(tasks, SCHEMA)
+    # An estimate from the files' sizes, without reading them; where there is none, partitions stay as they are.
+    size = int(str(read._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    encoder = on_workers(df.sparkSession, vocabulary)
+    together = read.coalesce(1 + size // LEAST_BYTES) if size // LEAST_BYTES < 1 << 30 else read
+    return together.mapInArrow(tasks, SCHEMA)

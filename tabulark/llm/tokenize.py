@@ -14,13 +14,18 @@ holds their content: the text is cut at them first, as the library does, and eac
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import SparkSession
 
 from .textarrays import mix
 
@@ -164,14 +169,15 @@ class Table:
 class Encoder:
     """Texts to little-endian unsigned 32-bit ids, as bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, content: bytes | None = None):
+        """The vocabulary is the file at ``path``, or ``content`` where its bytes are at hand."""
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        content = Path(path).read_bytes() if content is None else content
+        self.tokenizer = Tokenizer.from_buffer(content)
         self.model = self.tokenizer.model
-        with open(path, encoding="utf-8") as file:
-            whole = json.load(file)
+        whole = json.loads(content)
         says, added = whole["pre_tokenizer"], whole["added_tokens"]
         self.added = {t["content"]: _packed([t["id"]]) for t in added}
         # The longest of those that begin at one place comes first, as in the library.
@@ -376,8 +382,16 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This worker's encoder for a vocabulary file; workers outlive tasks, and so do the memos."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def _on_worker(name: str, path: str, sent: Broadcast) -> Encoder:
+    if name not in _encoders:
+        _encoders[name] = Encoder(path, sent.value)
+    return _encoders[name]
+
+
+def on_workers(spark: SparkSession, path: str) -> Callable[[], Encoder]:
+    """What a task calls for its worker's encoder; workers outlive tasks, and so do the memos.
+
+    The driver reads the vocabulary file, some megabytes that do not grow with the data, and sends its bytes: workers
+    need no file of that name."""
+    content = Path(path).read_bytes()
+    return partial(_on_worker, hashlib.sha256(content).hexdigest(), path, spark.sparkContext.broadcast(content))

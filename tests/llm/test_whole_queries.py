@@ -59,10 +59,10 @@ def test_placement_closes_most_windows():
     by = packer.closed_by
     assert by["placed"] > 3 * by["topped"]
     assert sum(len(i) // 4 for w in packer.closed for _, _, _, i in w) == sizes.sum() and len(packer.closed) == -(-sizes.sum() // 2048)
-    short = packing.SumOfSquares(2048, session=10_000)
+    short = packing.SumOfSquares(2048, most_open=20)
     for d, n in enumerate(sizes[:500].tolist()):
         short.add(d, bytes(4 * n))
-    assert sum(len(w) for w in short.levels) < 60
+        assert sum(len(w) for w in short.levels) == short.open <= 20
     short.top_up(last=True)
     assert len(short.closed) == -(-sizes[:500].sum() // 2048)
 
