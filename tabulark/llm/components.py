@@ -1,4 +1,7 @@
-"""Connected components of a link table, by joins."""
+"""Connected components of a link table, by joins.
+
+Defined results: a link with a null end, or of an id with itself, links nothing; links may repeat and run in either
+direction; an empty table gives an empty table; other columns are not read."""
 
 from __future__ import annotations
 

@@ -3,7 +3,8 @@
 Built-in column expressions only. Rows that are close in all dimensions are close on the curve, so a
 shard covers a small box of each dimension, and a filter on several of them skips most shards.
 
-Defined results: null dimensions count as 0; rows equal in all ordering columns may change places;
+Defined results: null dimensions count as 0; within a cell null ordering columns (a null doc_id) sort first; rows equal
+in all ordering columns may change places; a very long text is only measured;
 an empty table gives an empty table; where an input column is called ``curve``, ``shard`` or ``slot`` it stays,
 and the new one gets underscores appended.
 """

@@ -136,8 +136,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """One row per document: ``doc_id, start`` (ids of all documents before it), ``n_tokens, ids``.
 
     Defined results: a null or empty text is a document of the end id alone; null doc_ids come first
-    and stay null; equal doc_ids are ordered by a hash of their text; an empty table gives no rows; other columns
-    are not written. A file or frame that is missing raises."""
+    and stay null; equal doc_ids are ordered by a hash of their text; a very long text is one document of one
+    frame, whose ids are held whole; an empty table gives no rows; other columns are not written. A file or frame that is missing raises."""
     frames = spark.read.schema(FRAME).parquet(path)
     written = spark.read.schema("file int, frames bigint, ids bigint").parquet(f"{path}/_files")
     before = F.coalesce(F.sum("w.ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -16,7 +16,8 @@ joins, never its pairs.
 
 Defined results: a text without words, or a null one, has an empty set and links with nothing; a null
 doc_id links with nothing, gets a null component and is kept; rows repeated with one doc_id are one
-document if their sets are equal, and otherwise share a component through their id; an empty table
+document if their sets are equal, and otherwise share a component through their id; a very long text is hashed whole,
+at some 60 bytes a byte, and is a block of its own where sets are compared; an empty table
 gives an empty table; other columns are not read by ``near_duplicates`` and are carried by ``keep_one``.
 """
 

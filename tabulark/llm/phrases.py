@@ -12,8 +12,9 @@
 
 Defined results: a null or empty text has no words and loses none; a null doc_id is compared with
 nothing and keeps its words; rows that share a doc_id are one document for the search, with the
-smallest of their texts, and those with another text keep theirs; an empty table gives an empty table;
-other columns are not read.
+smallest of their texts, and those with another text keep theirs; a very long text is hashed whole, at some 40 bytes
+a byte, and scanned in stretches of at most ``STRETCH_WINDOWS`` windows; an empty table gives an empty table; other
+columns are not read.
 """
 
 from __future__ import annotations

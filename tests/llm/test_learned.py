@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tabulark.llm import classifier, collocations, vectorcodes
+from tabulark.llm import classifier, collocations, fingerprint, hilbert, vectorcodes
 from tabulark.llm.countautomata import CountAutomaton
 from tabulark.llm.queries import QUERIES
 
@@ -260,3 +260,40 @@ def test_classifier_on_odd_inputs(spark):
     none = classifier.fit(docs, labels, F.lit(False))
     assert {r.score for r in classifier.score(docs, none).collect()} == {0.5}
     assert classifier.score(docs.where("false"), model).count() == 0
+
+
+def test_fingerprints_against_plain_densification():
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    for bins, size in ((16, 1), (16, 9), (64, 40), (64, 2000)):
+        shingles = sorted(random.Random(size).randrange(1 << 64) for _ in range(size))
+        filled = {}
+        for x in shingles:
+            place = (x >> 40) % bins
+            filled[place] = min(filled.get(place, mask), mixed(x))
+        expected = []
+        for at in range(bins):
+            source, k = at, 0
+            while source not in filled:
+                # A hash of the bin and the attempt, until it names a bin that was filled.
+                k += 1
+                source = mixed(mixed(at + (k << 32))) % bins
+            expected.append(filled[source])
+        assert fingerprint.signature(np.array(shingles, dtype=np.uint64), bins).tolist() == expected
+        digits = "".join(f"{x & 15:x}" for x in expected)
+        assert fingerprint.pack(fingerprint.signature(np.array(shingles, dtype=np.uint64), bins)) == digits
+
+
+def test_hilbert_curve_of_five_bits_is_a_walk(spark):
+    cells = spark.range(1 << 15).select(*[F.shiftright("id", 5 * i).bitwiseAND(31).alias(c) for i, c in enumerate("xyz")])
+    found = sorted(cells.select("x", "y", "z", hilbert.hilbert_index([F.col(c) for c in "xyz"], 5).alias("at")).collect(), key=lambda r: r.at)
+    assert [r.at for r in found] == list(range(1 << 15))
+    steps = np.abs(np.diff(np.array([[r.x, r.y, r.z] for r in found]), axis=0)).sum(1)
+    assert (steps == 1).all()
