@@ -12,7 +12,9 @@ the others are confirmed on their full sets, and components are formed. Buckets
 several components are compared in blocks with numpy, across components only, twice: first by sketch
 alone, which leaves the members that have a near sketch in another component, and then those members by
 their full sets. A block returns each of its members once, or at most one link per two components that it
-joins, never its pairs.
+joins, never its pairs. Blocks against blocks grow with the square of a bucket: one of more than ``WIDE`` members is
+parted first by the shingles that its members hold, the rarest of each, so many that two sets at the threshold
+must share one of them. What is dealt then grows with the members.
 
 Defined results: a text without words, or a null one, has an empty set and links with nothing; a null
 doc_id links with nothing, gets a null component and is kept; rows repeated with one doc_id are one
@@ -39,6 +41,8 @@ SKETCH_BITS, SKETCH_SAMPLES = 2048, 512
 # A block has at most so many members, and, where sets are compared, at most so many shingles besides its last
 # member's: a task holds two blocks, at some 90 bytes a shingle.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+#: Where a bucket has more members, each costs fewer rows by its rarest shingles than by blocks.
+WIDE = 64 * BLOCK
 
 _SET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 _rng = np.random.default_rng(20100617)
@@ -172,6 +176,7 @@ def _near(placed: DataFrame, classes: DataFrame, limit: int, percent: int) -> Da
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         bucket, x, y = (k.as_py() for k in key)
+        band = table.column("band")[0].as_py()
         ids, root, block, sizes = (table.column(c).to_numpy() for c in ("id", "component", "block", "n"))
         sketches, bands = _sketches(table), np.array(table.column("bands").to_pylist(), dtype=np.int64)
         near = np.zeros(len(ids), dtype=bool)
@@ -180,7 +185,7 @@ def _near(placed: DataFrame, classes: DataFrame, limit: int, percent: int) -> Da
             other = right if x != y else right[ids[right] > ids[i]]
             other = _within(sizes, i, other[root[other] != root[i]], percent)
             other = other[np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1) <= limit]
-            other = _first_shared(bands, i, other, bucket)
+            other = _first_shared(bands, i, other, band)
             near[other] = True
             near[i] |= len(other) > 0
         return pa.table({"bucket": pa.array(np.full(int(near.sum()), bucket, dtype=np.int64)), "id": pa.array(ids[near])})
@@ -196,8 +201,9 @@ def _across(placed: DataFrame, described: DataFrame, limit: int, percent: int) -
     dealt = _dealt(placed).join(described, "id")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        bucket, x, y = (k.as_py() for k in key)
+        _, x, y = (k.as_py() for k in key)
         table = table.combine_chunks()
+        band = table.column("band")[0].as_py()
         ids, root, block = (table.column(c).to_numpy().copy() for c in ("id", "component", "block"))
         sketches, bands = _sketches(table), np.array(table.column("bands").to_pylist(), dtype=np.int64)
         lists = table.column("shingles").combine_chunks()
@@ -212,7 +218,7 @@ def _across(placed: DataFrame, described: DataFrame, limit: int, percent: int) -
             other = right if x != y else right[ids[right] > ids[i]]
             other = _within(sizes, i, other[root[other] != root[i]], percent)
             other = other[np.bitwise_count(sketches[other] ^ sketches[i]).sum(axis=1) <= limit]
-            other = _first_shared(bands, i, other, bucket)
+            other = _first_shared(bands, i, other, band)
             if not len(other):
                 continue
             own_part = member[begins[i] : begins[i + 1]]
@@ -260,7 +266,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, text: str
     labels = components(links, scratch, "first")
     labelled = classes.join(labels, "id", "left").select("id", "n", "bands", F.coalesce("component", "id").alias("component"))
     spread = labelled.select("id", "n", "component", F.explode("bands").alias("bucket"))
-    members = _open(spread, scratch, "members")
+    members = _parted(_open(spread, scratch, "members"), sets_of, scratch, percent)
     near = scratch.write(_near(_numbered(members, by_shingles=False), classes, limit, percent), "near")
     members = _open(members.drop("size").join(near, ["bucket", "id"]), scratch, "near-members", drop=("members",))
     shingles = sets_of(near.select("id"), "across-sets")
@@ -286,11 +292,33 @@ def _open(members: DataFrame, scratch: Scratch, name: str, drop: tuple[str, ...]
     return scratch.write(members.join(several, "bucket"), name, drop=(f"{name}-buckets", *drop))
 
 
+def _parted(members: DataFrame, sets_of, scratch: Scratch, percent: int, wide: int = WIDE) -> DataFrame:  # noqa: ANN001
+    """Members with ``band``, their bucket, and where that has more than ``wide`` members, with a ``bucket`` (and its
+    ``size``) for each of the rarest shingles of theirs that members of other components hold too.
+
+    Of n shingles, in an order that all sets share, the first n - ceil(n * percent / 100) + 1 are enough: sets that reach
+    the threshold have one of them in common."""
+    large = members.where(F.col("size") > wide)
+    same = members.withColumn("band", F.col("bucket"))
+    if large.isEmpty():
+        return same
+    rows = sets_of(large.select("id"), "wide-sets").select("id", F.explode("shingles").alias("shingle"))
+    # Written first, so that a shingle that very many sets have is a plain shuffle's hot key, which Spark cuts.
+    counts = scratch.write(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")), "wide-counts")
+    order = F.array_sort(F.collect_list(F.struct("f", "shingle")))
+    n = F.size("o")
+    first = F.slice("o", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
+    rarest = rows.join(counts, "shingle").groupBy("id").agg(order.alias("o")).select("id", F.explode(first["shingle"]).alias("shingle"))
+    rarest = scratch.write(rarest, "wide-rarest", drop=("wide-sets", "wide-counts"))
+    parted = large.drop("size").join(rarest, "id").select(F.xxhash64("bucket", "shingle").alias("bucket"), F.col("bucket").alias("band"), "id", "component", "n")
+    return same.where(F.col("size") <= wide).unionByName(_open(scratch.write(parted, "wide-parted", drop=("wide-rarest",)), scratch, "wide-members", drop=("wide-parted",)))
+
+
 def _dealt(placed: DataFrame) -> DataFrame:
     """Every member once for each pair ``x, y`` of blocks of its bucket of which ``block`` (its own) is one."""
     own, last = (F.floor(F.col(c) / BLOCK_SHINGLES) for c in ("place", "last"))
     meets = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y")))
-    return placed.select("bucket", "id", "component", "n", own.alias("block"), F.inline(meets))
+    return placed.select("bucket", "band", "id", "component", "n", own.alias("block"), F.inline(meets))
 
 
 def _numbered(members: DataFrame, by_shingles: bool = True) -> DataFrame:

@@ -14,9 +14,10 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tabulark.llm import classifier, collocations, fingerprint, hilbert, vectorcodes
+from tabulark.llm import classifier, collocations, fingerprint, hilbert, neardup, vectorcodes
 from tabulark.llm.countautomata import CountAutomaton
 from tabulark.llm.queries import QUERIES
+from tabulark.llm.scratch import Scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -297,3 +298,43 @@ def test_hilbert_curve_of_five_bits_is_a_walk(spark):
     assert [r.at for r in found] == list(range(1 << 15))
     steps = np.abs(np.diff(np.array([[r.x, r.y, r.z] for r in found]), axis=0)).sum(1)
     assert (steps == 1).all()
+
+
+def test_a_wide_bucket_is_dealt_in_proportion_to_its_members(spark):
+    """Unlike members that share 30 of 50 shingles, and two that share 47."""
+    own = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.col("id") * 100 + 1000 + i)
+    shared = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: i.cast("bigint"))
+    near = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.when(i < 3, F.col("id") * 100 + 1000 + i).otherwise(F.lit(1000) + i))
+    dealt = []
+    for many in (5_000, 20_000):
+        members = spark.range(many).select(F.lit(7).cast("bigint").alias("bucket"), "id", F.col("id").alias("component"), F.lit(50).cast("bigint").alias("n"), F.lit(many).cast("bigint").alias("size"))
+        sets = spark.range(many).select("id", F.concat(shared, F.when(F.col("id") == many - 1, near).otherwise(own)).alias("shingles"))
+        scratch = Scratch(spark, "wide")
+        made = neardup._parted(members, lambda ids, name, sets=sets, scratch=scratch: scratch.write(sets.join(ids.distinct(), "id"), name), scratch, 80, wide=100)
+        assert {r.band for r in made.select("band").distinct().collect()} == {7}
+        assert {r.id for r in made.select("id").distinct().collect()} == {0, many - 1}
+        dealt.append(neardup._dealt(neardup._numbered(made)).count())
+    # Blocks would deal each of 20000 members to 10 pairs of blocks; here only the two that can be alike are left.
+    assert dealt[0] == dealt[1] <= 2 * 11
+
+
+def test_wide_buckets_lose_no_link(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(80), rng.choice([1, 2, 5, 9])):
+            words[at] = f"x{rng.randrange(6)}-{at}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    sets = {i: {tuple(w[k : k + 4]) for k in range(77)} for i, w in ((i, t.split(" ")) for i, t in rows)}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    monkeypatch.setattr(neardup._parted, "__defaults__", (1,))
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=4, percent=80)
+    assert {r.doc_id: r.component_id for r in found.collect()} == root and 1 < len(set(root.values())) < 60
