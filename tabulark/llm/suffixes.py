@@ -117,6 +117,8 @@ def _refine(width: int):
     """Spans of repeats among contexts: rows with bytes, and places (no bytes) of the context with the same keys."""
 
     def refine(table: pa.Table) -> pa.Table:
+        # In the order of their places: a document's contexts hold different strings, so their suffixes are in order too.
+        table = table.sort_by([("doc_id", "ascending"), ("lo", "ascending")])
         texts, keys = table.column("context"), [table.column(k).to_numpy() for k in ("h", "k1", "k2")]
         doc_id, lo = table.column("doc_id").to_numpy(), table.column("lo").to_numpy().astype(np.int64)
         held = np.flatnonzero(texts.is_valid().to_numpy())
@@ -132,13 +134,15 @@ def _refine(width: int):
         of = own[group]
         size = last[of] - first[of]
         suffix = runs(first[of], size)
-        doc, start = np.repeat(doc_id, size), np.repeat(lo - offsets[of], size) + at[suffix]
         bucket = bucket[suffix]
-        order = np.lexsort((start, doc, bucket))
-        again = order[1:][bucket[order][1:] == bucket[order][:-1]]
-        again = again[np.lexsort((start[again], doc[again]))]
-        doc, start = doc[again], start[again]
-        opens = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)]) if len(doc) else np.zeros(0, dtype=bool)
+        # All but the earliest suffix of a bucket repeat; of several assignments to one entry the last stays.
+        places = np.arange(len(bucket))
+        earliest = np.empty(int(bucket.max(initial=-1)) + 1, dtype=np.int64)
+        earliest[bucket[::-1]] = places[::-1]
+        again = np.flatnonzero(earliest[bucket] != places)
+        row = np.repeat(np.arange(len(size)), size)[again]
+        doc, start = doc_id[row], (lo - offsets[of])[row] + at[suffix[again]]
+        opens = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]) if len(doc) else np.zeros(0, dtype=bool)
         closes = np.concatenate([opens[1:], [True]]) if len(doc) else opens
         return pa.table({"doc_id": pa.array(doc[opens], pa.int64()), "a": pa.array(start[opens].astype(np.int32)), "b": pa.array((start[closes] + width).astype(np.int32))})
 
