@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import integrity, urls
-from .functions.draws import sql_h
+from .functions.draws import h, sql_h
 from .functions.ordinal import claim, shared_folder
 from .functions.permutation import sql_permuted
-from .operators import harvest, runs, sampling
+from .operators import harvest, runs, samples, sampling, text
 from .registry import Tables, query
 from .sources import files
 from .streaming import ingest
@@ -181,3 +181,82 @@ p AS (SELECT doc_id, n, CAST(e AS INTEGER) AS epoch, {sql_permuted("o", "n", "ep
 SELECT doc_id, epoch, place, place // 32 AS batch, place // 32 // 8 AS step FROM p WHERE place // 32 < n // 32""")
 def epoch_orders(t: Tables) -> DataFrame:
     return sampling.epochs(t.documents.select("doc_id"), "doc_id", 3, 32, 8, "epoch")
+
+
+# Files and lists that Spark writes of the tables and reads again.
+@query("""SELECT 'nation-' || s_nationkey AS category, s_suppkey, s_nationkey % 2 = 0 AS named, md5(s_name) AS name_md5 FROM supplier""")
+def label_scan(t: Tables) -> DataFrame:
+    """One file a label in its category's folder, and others in the root, which is skipped."""
+    path = claim(f"{shared_folder(t.spark)}/scan-{uuid.uuid4().hex}")
+    label = t.supplier.select("s_suppkey", "s_name", F.when(F.col("s_nationkey") % 2 == 0, F.lit("waterfall_plot")).alias("chart_type"), F.concat(F.lit("nation-"), "s_nationkey").alias("category"))
+    label.write.option("maxRecordsPerFile", 1).partitionBy("category").json(path)
+    label.drop("category").write.mode("append").option("maxRecordsPerFile", 50).json(path)
+    found = files.read_labels(t.spark, path, skip_root=True)
+    kind = samples.class_field(F.col("body"))
+    own = F.from_json("body", "s_suppkey bigint, s_name string")
+    return found.select(F.regexp_replace("category", "^category=", "").alias("category"), own["s_suppkey"].alias("s_suppkey"), (kind == "waterfall_plot").alias("named"), F.md5(own["s_name"]).alias("name_md5"))
+
+
+_WORDS_OF = r"SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) AS w FROM documents) WHERE regexp_full_match(w, '\p{L}+') AND length(w) BETWEEN 5 AND 12"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY {sql_h('42', 'word')}, word) - 1 AS pos, word FROM (SELECT word FROM ({_WORDS_OF}) ORDER BY {sql_h('42', 'word')}, word LIMIT 2000)")
+def vocabulary_file(t: Tables) -> DataFrame:
+    """The sampled vocabulary written as one JSON array and read again, with a default that is not needed."""
+    path = claim(f"{shared_folder(t.spark)}/vocabulary-{uuid.uuid4().hex}")
+    sample = text.seeded_sample(text.vocabulary(t.documents))
+    placed = sample.withColumn("pos", F.row_number().over(Window.orderBy(h("42", F.col("word")), "word")) - 1)
+    files.write_vocabulary(placed.select("pos", "word"), path)
+    default = t.spark.createDataFrame([(i, w) for i, w in enumerate(text.DEFAULT_WORDS)], "pos int, word string")
+    return files.read_vocabulary(t.spark, path, default).select(F.col("pos").cast("bigint").alias("pos"), "word")
+
+
+@query(f"{_WORDS_OF} UNION ALL SELECT DISTINCT 'x' || source FROM documents")
+def word_list(t: Tables) -> DataFrame:
+    """A word list with blank lines and blanks around its words, read as words."""
+    path = claim(f"{shared_folder(t.spark)}/words-{uuid.uuid4().hex}")
+    padded = text.vocabulary(t.documents).select(F.concat(F.lit("  "), "word", F.lit(" ")).alias("value"))
+    blank = t.documents.select("source").distinct().select(F.explode(F.array(F.lit(""), F.lit("   "), F.concat(F.lit("x"), "source"))).alias("value"))
+    padded.unionByName(blank).write.text(path)
+    return files.read_words(t.spark, path)
+
+
+@query("""WITH q AS (SELECT doc_id // 100 AS query, doc_id, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY doc_id // 100) AS n FROM documents)
+SELECT query, CASE WHEN query % 3 = 2 THEN '0' ELSE CAST(n AS VARCHAR) END AS total, CAST(pos AS INTEGER) AS pos, 'PMC' || doc_id AS article_id FROM q""")
+def search_responses(t: Tables) -> DataFrame:
+    """Ids out of stored search responses of up to 100 ids, some of which give no total."""
+    rows = t.documents.groupBy(F.expr("doc_id div 100").alias("query")).agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    listed = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<Id>"), i.cast("string"), F.lit("</Id>"))), "")
+    count = F.when(F.col("query") % 3 == 2, F.lit("")).otherwise(F.concat(F.lit("<Count>"), F.size("ids").cast("string"), F.lit("</Count>")))
+    body = F.concat(F.lit("<eSearchResult>"), count, F.lit("<IdList>"), listed, F.lit("</IdList></eSearchResult>"))
+    return harvest.response_ids(rows.select("query", body.alias("body")), keep=["query"])
+
+
+_TYPES = [*[f"text/{x}" for x in ("html", "plain")], "image/png", "image/jpeg; q=1", "application/octet-stream"]
+
+
+@query(f"SELECT page_id, [{', '.join(repr(x) for x in _TYPES)}][page_id % 6 + 1] AS content_type FROM pages WHERE page_id % 6 IN (2, 3)")
+def image_responses(t: Tables) -> DataFrame:
+    """Responses that say they are images; every sixth says nothing."""
+    said = F.get(F.array(*[F.lit(x) for x in _TYPES]), (F.col("page_id") % 6).cast("int"))
+    return harvest.image_responses(t.pages.select("page_id", said.alias("content_type")))
+
+
+_KINDS_OF = ["src0", "src1", "src2", "src19", "none"]
+
+
+@query(f"SELECT k AS type, (SELECT count(*) FROM documents WHERE source = k) AS n, coalesce((SELECT max(doc_id) + 1 FROM documents WHERE source = k), 0) AS next_index FROM (SELECT unnest([{', '.join(repr(k) for k in _KINDS_OF)}]) AS k)")
+def type_inventory(t: Tables) -> DataFrame:
+    """Files and next index of each named type, 0 for one without rows."""
+    counts = files.inventory(t.documents.select(F.col("source").alias("category")), _KINDS_OF)
+    after = t.documents.groupBy(F.col("source").alias("type")).agg((F.max("doc_id") + 1).alias("next_index"))
+    return counts.join(harvest.manifest(after, _KINDS_OF), "type")
+
+
+@query("SELECT 'run' || p_partkey % 3 AS run_id, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS keys FROM part GROUP BY 1")
+def appended_runs(t: Tables) -> DataFrame:
+    """Id lists appended in three runs, each of them written twice."""
+    path = claim(f"{shared_folder(t.spark)}/runs-{uuid.uuid4().hex}")
+    for run in (0, 1, 1, 2, 0, 2):
+        files.append_ids(t.part.where(F.col("p_partkey") % 3 == run).select("p_partkey"), path, f"run{run}")
+    return t.spark.read.parquet(path).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("keys"))

@@ -35,10 +35,12 @@ def image_responses(responses: DataFrame, content_type: str = "content_type") ->
     return responses.where(F.coalesce(F.col(content_type), F.lit("")).contains("image"))
 
 
-def response_ids(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """``total, pos, article_id`` from stored XML search responses; no total counts as "0"."""
+def response_ids(bodies: DataFrame, body: str = "body", keep: list[str] | None = None) -> DataFrame:
+    """``total, pos, article_id`` from stored XML search responses, with the columns ``keep``; no total counts as "0"."""
+    names = keep or []
     total = F.coalesce(F.nullif(F.xpath_string(body, F.lit("/eSearchResult/Count")), F.lit("")), F.lit("0"))
-    return bodies.select(total.alias("total"), F.posexplode(F.xpath(body, F.lit("//Id/text()"))).alias("pos", "id")).select("total", "pos", F.concat(F.lit("PMC"), "id").alias("article_id"))
+    found = bodies.select(*names, total.alias("total"), F.posexplode(F.xpath(body, F.lit("//Id/text()"))).alias("pos", "id"))
+    return found.select(*names, "total", "pos", F.concat(F.lit("PMC"), "id").alias("article_id"))
 
 
 def capped_union(queries: list[DataFrame], cap: int) -> DataFrame:
