@@ -26,6 +26,8 @@ from .textarrays import mix, shingle_sets
 BINS = 512
 BITS = 4
 WIDTH = 5
+#: An id that more rows have may be several ranges, at most SLICES.
+HOT_ROWS, SLICES = 1 << 14, 1 << 10
 
 _ATTEMPTS: dict[int, list[np.ndarray]] = {}
 
@@ -87,30 +89,47 @@ def add_fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint"
     return df.withColumn(fresh(df, name), made(F.col(f"`{text}`")))
 
 
-def in_order(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt to ranges of ``key``, each range sorted downwards and followed by a copy of the row
-    that comes next (the first row of the next lower range; at the end the very first), marked in ``_next``.
+def in_order(df: DataFrame, key: str, text: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows dealt to ranges of ``key``, downwards, each followed by a copy of the row that comes next (the first row of the
+    next lower range; at the end the very first), marked in ``_next``. Rows of one key are ordered by ``_place``.
 
-    The ranges' bounds and first keys are a few numbers per range; rows move once. A range is one key at
-    least, so a range grows only with the rows that share a key."""
+    The ranges' bounds and first keys are a few numbers per range; rows move once. A range is one key at least; a key,
+    or none, that more than ``hot_rows`` rows and a fourth of a range's share have is several ranges, by a hash of the
+    text, which is these rows' ``_place`` (0 for others)."""
     from pyspark.ml.feature import Bucketizer
 
     spark, n = df.sparkSession, parts(df.sparkSession)
-    bounds = sorted(set(df.where(F.col(key).isNotNull()).approxQuantile(key, [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    least = max(hot_rows, total // (4 * n))
+    hot = {r[key]: r["n"] for r in counts.where(F.col("n") > least).collect()}  # at most 4 n keys
+    bounds = set(df.where(F.col(key).isNotNull()).approxQuantile(key, [i / n for i in range(1, n)], 0.2 / n)) if n > 1 else set()
+    bounds |= {float(b) for k in hot if k is not None for b in (k, k + 1)}
     if bounds:
         keyed = df.withColumn("_key", F.col(key).cast("double"))
-        found = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="_key", outputCol="_range", handleInvalid="keep").transform(keyed)
+        found = Bucketizer(splits=[float("-inf"), *sorted(bounds), float("inf")], inputCol="_key", outputCol="_range", handleInvalid="keep").transform(keyed)
         ranged = found.withColumn("_range", F.when(F.col(key).isNull(), -1).otherwise(F.col("_range").cast("int"))).drop("_key")
     else:
         ranged = df.withColumn("_range", F.when(F.col(key).isNull(), -1).otherwise(0))
-    firsts = {r["_range"]: r["first"] for r in ranged.groupBy("_range").agg(F.max(key).alias("first")).collect()}
+    ranged = ranged.withColumn("_place", F.lit(0).cast("bigint"))
+    first = F.struct(F.col(key).alias("first"), (-F.col("_place")).alias("place"))
+    if hot:
+        # A hot key is alone in its range; from there on it is one range a slice, the smallest hashes in the first.
+        ranges = F.lit(None).cast("int")
+        for k, many in hot.items():
+            ranges = F.when(F.col(key).isNull() if k is None else F.col(key) == k, F.lit(min(SLICES, 1 + many // least))).otherwise(ranges)
+        place = F.shiftright(F.xxhash64(text), 1)  # its negative is a number too
+        named = ranged.withColumn("_slices", ranges).withColumn("_place", F.when(F.col("_slices").isNotNull(), place).otherwise(F.col("_place")))
+        slice_ = F.floor((F.col("_place") / float(1 << 63) + 0.5) * F.col("_slices"))
+        ranged = named.withColumn("_range", F.expr(f"_range * {SLICES}") + F.coalesce(F.lit(SLICES - 1) - F.least(slice_, F.lit(SLICES - 1)), F.lit(0)).cast("int")).drop("_slices")
+    firsts = {r["_range"]: r["first"] for r in ranged.groupBy("_range").agg(F.max(first).alias("first")).collect()}
     order = sorted(firsts, reverse=True)
-    copies = [(after, firsts[after], r) for r, after in zip(order, order[1:] + order[:1], strict=True)]
-    copies = F.broadcast(spark.createDataFrame(copies, "at int, first bigint, to int"))  # a row per range
-    both = ranged.join(copies, (F.col("_range") == F.col("at")) & F.col(key).eqNullSafe(F.col("first")), "left")
-    place = lambda r, is_next: F.struct(r.cast("int").alias("_range"), F.lit(is_next).alias("_next"))
-    own = F.array(place(F.col("_range"), False))
-    dealt = both.select(*df.columns, F.inline(F.when(F.col("to").isNull(), own).otherwise(F.concat(own, F.array(place(F.col("to"), True))))))
+    copies = [(after, firsts[after].first, -firsts[after].place, r) for r, after in zip(order, order[1:] + order[:1], strict=True)]
+    copies = F.broadcast(spark.createDataFrame(copies, "at int, first bigint, place bigint, to int"))  # a row per range
+    both = ranged.join(copies, (F.col("_range") == F.col("at")) & F.col(key).eqNullSafe(F.col("first")) & (F.col("_place") == F.col("place")), "left")
+    placed = lambda r, is_next: F.struct(r.cast("int").alias("_range"), F.lit(is_next).alias("_next"))
+    own = F.array(placed(F.col("_range"), False))
+    dealt = both.select(*df.columns, "_place", F.inline(F.when(F.col("to").isNull(), own).otherwise(F.concat(own, F.array(placed(F.col("to"), True))))))
     # Ranges are dealt in order, not by their hash, which would put several into one task.
     return dealt.repartitionByRange(n, "_range")
 
@@ -120,9 +139,9 @@ _PAIRS = pa.schema(
 )
 
 
-def edited_pairs(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, bins: int = BINS, bits: int = BITS) -> DataFrame:
+def edited_pairs(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, bins: int = BINS, bits: int = BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each document against an edit of itself and against the next document (descending ``doc_id``; null
-    last; equal ids by text; after the last the first).
+    last; equal ids by text, those that very many rows have by a hash of it first; after the last the first).
 
     The edited text has its last third of code points replaced by the first as many (or all) of the next
     document. Returns ``doc_id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next``.
@@ -162,5 +181,5 @@ def edited_pairs(df: DataFrame, text: str = "text", doc_id: str = "doc_id", widt
             yield rows(pairs)
 
     read = df.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    ordered = in_order(read, "doc_id").sortWithinPartitions("_range", F.col("_next").asc(), F.col("doc_id").desc_nulls_last(), "text")
+    ordered = in_order(read, "doc_id", "text", hot_rows).sortWithinPartitions("_range", F.col("_next").asc(), F.col("doc_id").desc_nulls_last(), "_place", "text")
     return ordered.select("_range", "_next", "doc_id", "text").mapInArrow(tasks, "doc_id bigint, n_chars bigint, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -338,3 +338,22 @@ def test_wide_buckets_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(neardup._parted, "__defaults__", (1,))
     found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=4, percent=80)
     assert {r.doc_id: r.component_id for r in found.collect()} == root and 1 < len(set(root.values())) < 60
+
+
+@pytest.mark.parametrize("hot_rows", [1, 1 << 14])
+def test_hot_ids_are_several_ranges(spark, hot_rows):
+    rng = random.Random(3)
+    rows = [(d, " ".join(rng.choice("abcdefg") * 3 for _ in range(rng.randint(1, 30)))) for d in [None] * 40 + [7] * 50 + [8] * 3 + list(range(20))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    place = {r.text: r.h for r in df.select("text", F.shiftright(F.xxhash64("text"), 1).alias("h")).collect()}
+    counts = collections.Counter(d for d, _ in rows)
+    hot = {d for d in counts if counts[d] > max(hot_rows, len(rows) // 16)} if hot_rows == 1 else set()
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), place[r[1]] if r[0] in hot else 0, r[1]))
+    expected = collections.Counter()
+    for (d, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        expected[d, text[: len(text) - len(text) // 3] + after[: len(text) // 3]] += 1
+    made = fingerprint.edited_pairs(df, hot_rows=hot_rows)
+    assert collections.Counter((r.doc_id, r.edited_text) for r in made.collect()) == expected
+    if hot:
+        dealt = fingerprint.in_order(df, "doc_id", "text", hot_rows).where("not _next").groupBy("doc_id").agg(F.count_distinct("_range").alias("n")).collect()
+        assert {r.doc_id for r in dealt if r.n > 1} == {None, 7}
