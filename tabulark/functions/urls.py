@@ -44,36 +44,43 @@ def parts(reference: Column) -> Column:
 
 def without_dots(segments: Column) -> Column:
     """The path of segments after ``.`` and ``..`` are taken out: a fold whose state is a stack of segments."""
-    nothing = F.array().cast("array<string>")
     step = lambda kept, s: F.when(s == ".", kept).when(s == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(s)))
-    last = F.element_at(segments, -1)
-    kept = F.aggregate(segments, nothing, step)
-    ended = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    path = F.array_join(ended, "/")
-    return F.when(path == "", F.lit("/")).otherwise(path)
+
+    def folded(every: Column) -> Column:
+        # A path that ends in a dot segment names a folder.
+        open_ = F.when(F.element_at(every, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        path = F.aggregate(every, F.array().cast("array<string>"), step, lambda kept: F.array_join(F.concat(kept, open_), "/"))
+        return F.coalesce(F.nullif(path, F.lit("")), F.lit("/"))
+
+    return _let(segments, folded)
 
 
 def merged(base_path: Column, path: Column) -> Column:
     """Segments of a path laid on the folder of another; an absolute one stays alone."""
-    own = F.split(path, "/")
-    # Between the first and the last segment, empty ones go.
-    base = F.split(base_path, "/")
-    folder = F.when(F.element_at(base, -1) != "", F.slice(base, 1, F.size(base) - 1)).otherwise(base)
-    every = F.concat(folder, own)
-    inner = F.filter(F.slice(every, 2, F.greatest(F.size(every) - 2, F.lit(0))), lambda s: s != "")
-    joined = F.concat(F.slice(every, 1, 1), inner, F.slice(every, -1, 1))
-    return F.when(path.startswith("/"), own).otherwise(F.when(F.size(every) > 1, joined).otherwise(every))
+    # The folder is the base without its last segment, where that names something.
+    folder = F.split(F.regexp_replace(base_path, "/[^/]+$|^[^/]+$", ""), "/")
+    whole = F.when(base_path.rlike("^[^/]+$"), F.array().cast("array<string>")).otherwise(folder)
+
+    def joined(every: Column) -> Column:
+        # Between the first and the last segment, empty ones go.
+        inner = F.filter(F.slice(every, 2, F.greatest(F.size(every) - 2, F.lit(0))), lambda s: s != "")
+        return F.when(F.size(every) > 1, F.concat(F.slice(every, 1, 1), inner, F.slice(every, -1, 1))).otherwise(every)
+
+    return F.when(path.startswith("/"), F.split(path, "/")).otherwise(_let(F.concat(whole, F.split(path, "/")), joined))
 
 
 def unsplit(scheme: Column, host: Column, path: Column, parameters: Column, query: Column, fragment: Column) -> Column:
     """A reference from its parts."""
     led = lambda sign, part: F.when(part != "", F.concat(F.lit(sign), part)).otherwise(F.lit(""))
-    full = F.concat(path, led(";", parameters))
-    rooted = F.when((full != "") & ~full.startswith("/"), F.concat(F.lit("/"), full)).otherwise(full)
-    bare = (scheme != "") & ((full == "") | full.startswith("/"))
-    placed = F.when(host != "", F.concat(F.lit("//"), host, rooted)).when(full.startswith("//") | bare, F.concat(F.lit("//"), full)).otherwise(full)
     named = F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit(""))
-    return F.concat(named, placed, led("?", query), led("#", fragment))
+
+    def placed(full: Column) -> Column:
+        rooted = F.when((full != "") & ~full.startswith("/"), F.lit("/")).otherwise(F.lit(""))
+        bare = (scheme != "") & ((full == "") | full.startswith("/"))
+        lead = F.when(host != "", F.concat(F.lit("//"), host, rooted)).when(full.startswith("//") | bare, F.lit("//")).otherwise(F.lit(""))
+        return F.concat(named, lead, full, led("?", query), led("#", fragment))
+
+    return _let(F.concat(path, led(";", parameters)), placed)
 
 
 def join(page: Column, reference: Column) -> Column:
@@ -85,10 +92,14 @@ def join(page: Column, reference: Column) -> Column:
         same = (r["path"] == "") & (r["parameters"] == "")
         query = F.when(same & (r["query"] == ""), b["query"]).otherwise(r["query"])
         path = F.when(same, b["path"]).otherwise(without_dots(merged(b["path"], r["path"])))
-        below = unsplit(scheme, b["host"], path, F.when(same, b["parameters"]).otherwise(r["parameters"]), query, r["fragment"])
-        beside = unsplit(scheme, r["host"], r["path"], r["parameters"], r["query"], r["fragment"])
+        beside = r["host"] != ""
+        # With a host of its own a reference keeps all its parts.
+        parameters = F.when(same, b["parameters"]).otherwise(r["parameters"])
+        pick = lambda own, other: F.when(beside, own).otherwise(other)
+        chosen = F.struct(scheme.alias("s"), pick(r["host"], b["host"]).alias("h"), pick(r["path"], path).alias("p"), pick(r["parameters"], parameters).alias("m"), pick(r["query"], query).alias("q"), r["fragment"].alias("f"))
         foreign = (scheme != b["scheme"]) | ~scheme.isin(*HIERARCHICAL)
-        return F.when(x["page"] == "", x["own"]).when(x["own"] == "", x["page"]).when(foreign, x["own"]).when(r["host"] != "", beside).otherwise(below)
+        made = _let(chosen, lambda c: unsplit(c["s"], c["h"], c["p"], c["m"], c["q"], c["f"]))
+        return F.when(x["page"] == "", x["own"]).when(x["own"] == "", x["page"]).when(foreign, x["own"]).otherwise(made)
 
     both = F.struct(page.alias("page"), reference.alias("own"), parts(cleaned(page)).alias("b"), parts(cleaned(reference)).alias("r"))
     return F.when(page.isNotNull() & reference.isNotNull(), _let(both, resolved))
