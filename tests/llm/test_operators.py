@@ -276,6 +276,38 @@ def test_coder_rejects_damage():
         idcoder.decode([coded[0][:-4]])
 
 
+def test_coder_takes_few_steps(monkeypatch):
+    """Blocks are coded in stretches side by side: what is not vectorised is done once a step, not once an id."""
+    rng, calls = np.random.default_rng(5), []
+    narrow = idcoder._narrow
+    monkeypatch.setattr(idcoder, "_narrow", lambda *a: calls.append(0) or narrow(*a))
+    ids = [np.minimum(rng.zipf(1.3, n) - 1, 65535) for n in (idcoder.BLOCK_IDS, idcoder.BLOCK_IDS, 9001)]
+    assert all((a == b).all() for a, b in zip(ids, idcoder.decode(idcoder.encode(ids)), strict=True))
+    assert len(calls) <= 2 * idcoder.BLOCK_IDS // 8
+
+
+@pytest.mark.parametrize("largest", [1, 300, 49999, (1 << 21) - 1])
+def test_coder_on_odd_blocks(largest):
+    rng = np.random.default_rng(largest)
+    sizes = [0, 1, 7, 8, 9, 127, 128, 129, 1025, 9999, idcoder.BLOCK_IDS - 1, idcoder.BLOCK_IDS]
+    even = [rng.integers(0, largest + 1, n) for n in sizes]
+    alike = [np.full(n, largest) for n in sizes]
+    cycles = [np.resize(rng.integers(0, largest + 1, 50), n) for n in sizes]
+    stirred = [np.where(rng.random(len(c)) < 0.1, e, c) for c, e in zip(cycles, even, strict=True)]
+    blocks = even + alike + cycles + stirred
+    coded = idcoder.encode(blocks, largest)
+    assert all(a.tolist() == b.tolist() for a, b in zip(blocks, idcoder.decode(coded, largest), strict=True))
+    assert idcoder.encode(blocks[-1:], largest) == coded[-1:]
+    assert all(idcoder.decode([x], largest)[0].tolist() == b.tolist() for x, b in zip(coded, blocks, strict=True))
+    with pytest.raises(ValueError):
+        idcoder.encode([np.array([largest + 1])], largest)
+    for at in range(16, len(coded[-1]), 997):
+        damaged = bytearray(coded[-1])
+        damaged[at] ^= 0x20
+        with pytest.raises(idcoder.CorruptBlock):
+            idcoder.decode([bytes(damaged)], largest)
+
+
 def test_warc(spark):
     rows = [(1, "http://a/", "x" * 50000), (2, "http://b/", "x" * 50000), (3, None, None), (4, "u", ""), (5, "u", "é" * 9000), (None, "u", "alone"), (6, "u", "once"), (6, "u", "once")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("content", F.lit("clash"))
