@@ -315,10 +315,12 @@ def _parted(members: DataFrame, sets_of, scratch: Scratch, percent: int, wide: i
 
 
 def _dealt(placed: DataFrame) -> DataFrame:
-    """Every member once for each pair ``x, y`` of blocks of its bucket of which ``block`` (its own) is one."""
+    """Every member once for each pair ``x, y`` of blocks of its bucket of which ``block`` (its own) is one. Members
+    without a ``band`` are in the bucket's own."""
+    band = F.col("band" if "band" in placed.columns else "bucket").alias("band")
     own, last = (F.floor(F.col(c) / BLOCK_SHINGLES) for c in ("place", "last"))
     meets = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y")))
-    return placed.select("bucket", "band", "id", "component", "n", own.alias("block"), F.inline(meets))
+    return placed.select("bucket", band, "id", "component", "n", own.alias("block"), F.inline(meets))
 
 
 def _numbered(members: DataFrame, by_shingles: bool = True) -> DataFrame:
