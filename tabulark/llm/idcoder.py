@@ -43,7 +43,7 @@ _CONFIDENT = 3
 # No context has this check.
 _EMPTY = 127 << 2
 # Steps at which ids are counted anew, and at which the classes' shares are.
-_COUNTED = (16, 32, 64, 128, 256, 512, 1024, 1536)
+_COUNTED = (16, 48, 128, 384, 1024)
 _SHARED = 128
 # Combinations of confidences (order 2: 5, order 1: 6, its second: 3), each with five classes: a hit of order 2, of the first
 # and second of order 1, an id that is counted, one that is not.
@@ -97,37 +97,41 @@ _FIRST_SHARES = _first_shares()
 
 
 class _Shares:
-    """The classes' ends of every block and combination."""
+    """The classes' ends of every block and combination. A place is class * width + block * _STATES + combination."""
 
     def __init__(self, blocks: int, bits: int):
         self.least = max(64, 1 << bits - _SCALE)
         self.escape = max(512, 2 * self.least)
-        self.seen = np.zeros((blocks, _STATES, _CLASSES), dtype=np.int64)
-        self.lately = np.zeros((blocks, 2), dtype=np.int64)
-
-    def learn(self, blocks: int, places: np.ndarray) -> None:
-        """``places`` are ``(block * _STATES + combination) * _CLASSES + class`` of the first blocks' new ids."""
-        size = blocks * _STATES * _CLASSES
-        new = np.bincount(places, minlength=size)[:size].reshape(blocks, _STATES, _CLASSES)
-        self.seen[:blocks] += new
-        self.lately[:blocks] = (self.lately[:blocks] >> 1) + new[:, :, 3:].sum(axis=1)
-
-    def ends(self, blocks: int, counted: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Where the first four classes end, 16 bits each, of 65536; and every class's start and size, 32 bits each, of the whole."""
-        seen = self.seen[:blocks]
-        total = seen.sum(axis=2, keepdims=True) + _STRENGTH
-        share = ((seen[:, :, :3] << 16) + _FIRST_SHARES * _STRENGTH) // total
-        share = (1 + (share * (65536 - 4 - self.escape) >> 16)) * (_FIRST_SHARES > 0)
-        ends = np.full((blocks, _STATES, _CLASSES + 1), 1 << _CLASS_BITS)
-        ends[:, :, 0] = 0
-        ends[:, :, 1:4] = np.cumsum(share, axis=2)
-        escape = (1 << _CLASS_BITS) - ends[:, :, 3]
-        counts, others = self.lately[:blocks, :1], self.lately[:blocks, 1:]
-        rest = np.clip(escape * (((others << 16) + 65536) // (counts + others + 2)) >> 16, self.least, escape - _LEAST_COUNTED) if counted else escape
-        ends[:, :, 4] -= rest
-        packed = ends[:, :, 1] | ends[:, :, 2] << 16 | ends[:, :, 3] << 32
-        parts = ends[:, :, :-1] << 32 + _SCALE | np.diff(ends, axis=2) << _SCALE
-        return (packed.astype(_U) | ends[:, :, 4].astype(_U) << _U(48)).ravel(), parts.ravel()
+        self.width = blocks * _STATES
+        self.seen = np.zeros((_CLASSES, self.width), dtype=np.int64)
+        self.lately = np.zeros((2, blocks), dtype=np.int64)
+        self.first = np.tile(_FIRST_SHARES.T, (1, blocks))
+
+    def learn(self, places: np.ndarray) -> None:
+        """Takes in the places of new ids."""
+        new = np.bincount(places, minlength=self.seen.size).reshape(self.seen.shape)
+        self.seen += new
+        self.lately >>= 1
+        self.lately += new[3:].reshape(2, -1, _STATES).sum(axis=2)
+
+    def ends(self, counted: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Where the first four classes end, 16 bits each, of 65536; and start and size, 32 bits each, of every place."""
+        seen = self.seen
+        total = seen[0] + seen[1] + seen[2] + seen[3] + seen[4] + _STRENGTH
+        ends = np.zeros((_CLASSES + 1, self.width), dtype=np.int64)
+        for k in range(3):
+            share = ((seen[k] << 16) + self.first[k] * _STRENGTH) // total
+            ends[k + 1] = ends[k] + (1 + (share * (65536 - 4 - self.escape) >> 16)) * (self.first[k] > 0)
+        ends[5] = 1 << _CLASS_BITS
+        rest = escape = ends[5] - ends[3]
+        if counted:
+            counts, others = self.lately
+            new = np.repeat(((others << 16) + 65536) // (counts + others + 2), _STATES)
+            rest = np.minimum(np.maximum(escape * new >> 16, self.least), escape - _LEAST_COUNTED)
+        ends[4] = ends[5] - rest
+        packed = ends[1] | ends[2] << 16 | ends[3] << 32
+        parts = ends[:-1] << 32 + _SCALE | (ends[1:] - ends[:-1]) << _SCALE
+        return packed.astype(_U) | ends[4].astype(_U) << _U(48), parts.ravel()
 
 
 def _renewals(step: int) -> tuple[bool, bool]:
@@ -246,6 +250,7 @@ class _Lanes:
     """What an encoder knows beforehand of every step (row) and stretch of blocks: combination and class, and the part."""
 
     def __init__(self, steps: int, lanes: int):
+        self.width = lanes // STREAMS * _STATES
         self.place = np.zeros((steps, lanes), dtype=np.int32)
         self.low, self.high = np.zeros((steps, lanes), dtype=np.uint32), np.zeros((steps, lanes), dtype=np.uint32)
 
@@ -270,7 +275,7 @@ class _Lanes:
         low[new], high[new] = cum[ids], cum[ids + 1]
         low[hit], high[hit] = 0, 1 << bits
         columns = slice(block * STREAMS, (block + 1) * STREAMS)
-        self.place[:steps, columns] = ((state + block * _STATES) * _CLASSES + kind).reshape(steps, STREAMS)
+        self.place[:steps, columns] = (state + block * _STATES + kind * self.width).reshape(steps, STREAMS)
         self.low[:steps, columns], self.high[:steps, columns] = low.reshape(steps, STREAMS), high.reshape(steps, STREAMS)
 
 
@@ -287,7 +292,7 @@ def encode(blocks: list[np.ndarray], largest: int = 65535) -> list[bytes]:
     bits, cum, _ = _prior(largest)
     made: list[bytes] = []
     for from_, to in _groups(len(blocks)):
-        group = [np.asarray(b).astype(np.int32) for b in blocks[from_:to]]
+        group = [np.asarray(b) for b in blocks[from_:to]]
         if any(len(b) and (int(b.min()) < 0 or int(b.max()) > largest) for b in group):
             raise ValueError("an id is too large")
         made += _encode(group, bits, cum)
@@ -307,7 +312,7 @@ def _encode(group: list[np.ndarray], bits: int, cum: np.ndarray) -> list[bytes]:
     begin, count = 0, 0
     renewed = [t for t in range(1, steps) if any(_renewals(t))]
     for end in [*renewed, steps] if steps else []:
-        _, parts = shares.ends(int(active[begin]), count > 0)
+        _, parts = shares.ends(count > 0)
         for t in range(begin, end):
             k = int(active[t]) * STREAMS
             start, size = _within(parts.take(known.place[t, :k].astype(np.intp)), known.low[t, :k].astype(np.int64), known.high[t, :k].astype(np.int64), bits)
@@ -317,7 +322,7 @@ def _encode(group: list[np.ndarray], bits: int, cum: np.ndarray) -> list[bytes]:
             low[out] <<= _SHIFT
         if end < steps:
             m = int(active[end])
-            shares.learn(m, known.place[begin:end, : m * STREAMS].ravel())
+            shares.learn(known.place[begin:end, : m * STREAMS].ravel())
             count = end * STREAMS if _renewals(end)[1] else count
         begin = end
     # One word more names a number inside the range; what follows it reads as zeros.
@@ -406,7 +411,7 @@ def _decode(group: list[bytes], largest: int) -> list[np.ndarray]:
     slots2 = np.full(n << _SLOTS2_BITS, _EMPTY, dtype=np.int32)
     slots1 = np.full(n << _SLOTS1_BITS, _EMPTY << 32 | _EMPTY, dtype=np.int64)
     ids, seen = np.zeros((steps + 2, len(lanes)), dtype=np.int32), np.zeros((_SHARED, len(lanes)), dtype=np.int32)
-    (ends, parts), count, begin = shares.ends(n, False), 0, 0
+    (ends, parts), count, begin = shares.ends(False), 0, 0
     table, whole = np.zeros(0, dtype=np.int64), 1 << bits
     for t in range(steps):
         k = int(active[t]) * STREAMS
@@ -416,8 +421,8 @@ def _decode(group: list[bytes], largest: int) -> list[np.ndarray]:
             table = _tables(ids[2 : t + 2, :k], k // STREAMS).ravel()
             rows = block[:k] * count
         if share or counted:
-            shares.learn(k // STREAMS, seen[: t - begin, :k].ravel())
-            (ends, parts), begin = shares.ends(k // STREAMS, count > 0), t
+            shares.learn(seen[: t - begin, :k].ravel())
+            (ends, parts), begin = shares.ends(count > 0), t
         slot2, check2, slot1, check1 = _contexts(ids[t + 1, :k], ids[t, :k])
         at2, at1 = row2[:k] + slot2, row1[:k] + slot1
         two, both = slots2.take(at2), slots1.take(at1).view(np.int32)
@@ -429,8 +434,8 @@ def _decode(group: list[bytes], largest: int) -> list[np.ndarray]:
         part = (value >> _SCALE).astype(np.uint16)
         past = [part >= end[c::4] for c in range(4)]
         kind = past[0].view(np.uint8) + past[1].view(np.uint8) + past[2].view(np.uint8) + past[3].view(np.uint8)
-        place = state * _CLASSES
-        place += kind
+        place = kind * np.int64(shares.width)
+        place += state
         seen[t - begin, :k] = place
         own = parts.take(place)
         now = id2 + (id1 - id2 & _mask(past[0])) + (idother - id1 & _mask(past[1]))
