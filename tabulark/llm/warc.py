@@ -32,6 +32,10 @@ from .scratch import Scratch
 ARCHIVE_BYTES = 8 << 20
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4096
+#: Options to write archives as Parquet. Else the writer looks at sizes every 100 rows only, holds as many archives in one
+#: page, and whoever reads the file gets them at once; and it holds a least and a greatest archive until the file is closed.
+PARQUET = {"parquet.block.row.count.limit": "1", "parquet.column.statistics.enabled": "false", "parquet.enable.dictionary": "false"}
+BATCH_BYTES = 4 << 20
 
 ARCHIVE = "archive string, content binary"
 _SEGMENT = pa.schema(
@@ -127,7 +131,9 @@ def _records(origin: str, page_id: int | None, url: str, payload: bytes, refers_
 
 
 def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, segment_bytes: int = SEGMENT_BYTES, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
-    """The archives of all pages. Payloads of fewer than ``least_bytes`` bytes are never revisited."""
+    """The archives of all pages. Payloads of fewer than ``least_bytes`` bytes are never revisited.
+
+    Written as Parquet, they take the options ``PARQUET``, which give each archive a row group of its own."""
     read = pages.select(F.col(f"`{page_id}`").cast("bigint").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
     read = read.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     ids = read.where(F.octet_length("html") >= least_bytes).select("page_id", "sha1")
@@ -209,10 +215,13 @@ def read_pages(archives: DataFrame) -> DataFrame:
 
     The digest of a response is computed from the payload read back, and must be the one in its header."""
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PAGE.types, strict=True)], schema=_PAGE)
+
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, ids, refers, digests, sizes, copies = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 6))
-            rows = []
+            rows, held = [], 0
             for kind, key, refer, digest, size, pieces, n in zip(kinds, ids, refers, digests, sizes, batch.column(5), copies, strict=True):
                 payload = None
                 if kind != "revisit":
@@ -221,9 +230,14 @@ def read_pages(archives: DataFrame) -> DataFrame:
                     if base32_sha1(payload) != digest:
                         raise BrokenArchive("payload digest")
                     size = len(payload)
-                rows += [(key, kind, refer, digest, size, payload)] * n
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _PAGE.types, strict=True)], schema=_PAGE)
+                for _ in range(n):
+                    rows.append((key, kind, refer, digest, size, payload))
+                    held += len(payload or b"")
+                    if held >= BATCH_BYTES:
+                        yield made(rows)
+                        rows, held = [], 0
+            if rows:
+                yield made(rows)
 
     return reassemble(read_segments(archives)).mapInArrow(tasks, PAGE)
 

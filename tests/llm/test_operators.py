@@ -9,12 +9,14 @@ import zlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tabulark.llm import fingerprint, hilbert, idcoder, idfiles, neardup, packing, phrases, pieces, quality, suffixes, warc
 from tabulark.llm.oracles import ORACLES
 from tabulark.llm.queries import QUERIES, vocabulary
+from tabulark.llm.scratch import BATCH, Scratch
 from tabulark.llm.tokenize import Encoder
 from tokenizers import Tokenizer
 
@@ -322,6 +324,26 @@ def test_warc(spark):
         warc.reassemble(lost).collect()
 
 
+def test_warc_holds_few_archives_at_a_time(spark, tmp_path, monkeypatch):
+    pages = spark.range(10, 50).coalesce(1).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 1 << 20).alias("html"))
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    write, groups = Scratch.write, []
+
+    def seen(self, df, name, *args, **kwargs):
+        table = write(self, df, name, *args, **kwargs)
+        if name == "archives":
+            files = [pq.ParquetFile(x.removeprefix("file://")).metadata for x in table.inputFiles()]
+            groups.extend((f.row_group(i).num_rows, f.row_group(i).column(1).is_stats_set) for f in files for i in range(f.num_row_groups))
+        return table
+
+    monkeypatch.setattr(Scratch, "write", seen)
+    limit = spark.conf.get(BATCH)
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in QUERIES["op7_warc"](spark, str(tmp_path)).collect()}
+    assert got == {i: (2 << 20, "response") for i in range(10, 50)} and spark.conf.get(BATCH) == limit
+    # A reader has a row group in memory; a writer keeps the least and greatest value of each until its file is closed.
+    assert set(groups) == {(1, False)} and len(groups) > 9
+
+
 def test_hilbert_is_a_walk(spark):
     bits = 3
     cells = spark.range(1 << (3 * bits)).select((F.col("id") % 8).alias("x"), (F.floor(F.col("id") / 8) % 8).alias("y"), F.floor(F.col("id") / 64).alias("z"))
