@@ -188,13 +188,15 @@ def epoch_orders(t: Tables) -> DataFrame:
 def label_scan(t: Tables) -> DataFrame:
     """One file a label in its category's folder, and others in the root, which is skipped."""
     path = claim(f"{shared_folder(t.spark)}/scan-{uuid.uuid4().hex}")
-    label = t.supplier.select("s_suppkey", "s_name", F.when(F.col("s_nationkey") % 2 == 0, F.lit("waterfall_plot")).alias("chart_type"), F.concat(F.lit("nation-"), "s_nationkey").alias("category"))
-    label.write.option("maxRecordsPerFile", 1).partitionBy("category").json(path)
-    label.drop("category").write.mode("append").option("maxRecordsPerFile", 50).json(path)
-    found = files.read_labels(t.spark, path, skip_root=True)
+    body = F.to_json(F.struct("s_suppkey", "s_name", F.when(F.col("s_nationkey") % 2 == 0, F.lit("waterfall_plot")).alias("chart_type")))
+    label = t.supplier.select(F.coalesce(F.concat(F.lit("nation-"), "s_nationkey"), F.lit("none")).alias("category"), body.alias("body"))
+    files.write_labels(label, path)
+    files.write_labels(label.withColumn("category", F.lit(None)), path, per_file=50)
+    found = files.read_labels(t.spark, path, skip_root=True).withColumn("category", F.expr("nullif(category, 'none')"))
     kind = samples.class_field(F.col("body"))
     own = F.from_json("body", "s_suppkey bigint, s_name string")
-    return found.select(F.regexp_replace("category", "^category=", "").alias("category"), own["s_suppkey"].alias("s_suppkey"), (kind == "waterfall_plot").alias("named"), F.md5(own["s_name"]).alias("name_md5"))
+    named = F.when(F.col("category").isNotNull(), kind == "waterfall_plot")
+    return found.select("category", own["s_suppkey"].alias("s_suppkey"), named.alias("named"), F.md5(own["s_name"]).alias("name_md5"))
 
 
 _WORDS_OF = r"SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+')) AS w FROM documents) WHERE regexp_full_match(w, '\p{L}+') AND length(w) BETWEEN 5 AND 12"

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +26,60 @@ def folder_of(path: Column) -> Column:
 def read_labels(spark: SparkSession, folder: str, skip_root: bool = False) -> DataFrame:
     """``category, base_name, body, label_path`` of every .json below; bad UTF-8 becomes U+FFFD."""
     path = F.col("_metadata.file_path")
-    read = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
-    found = read.select(folder_of(path).alias("category"), base_name(path).alias("base_name"), F.col("value").alias("body"), path.alias("label_path"))
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(folder)
+    found = read.select(folder_of(path).alias("category"), base_name(path).alias("base_name"), F.col("content").cast("string").alias("body"), path.alias("label_path"))
+    # Spark puts only a few files in a task, by what opening them may cost elsewhere: that would be very many tasks.
+    found = found.coalesce(_parts(spark))
     return found.where(F.col("category") != folder.rstrip("/").rsplit("/", 1)[-1]) if skip_root else found
 
 
+def _parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def write_labels(labels: DataFrame, folder: str, per_file: int = 1) -> None:
+    """Adds a .json file for each row's ``body`` in the folder of its ``category`` (a folder's name; null: ``folder``
+    itself), or for up to ``per_file`` rows of a category, as lines.
+
+    Tasks write through the file system that ``folder`` names (a shared one), first under a name of their own, so
+    that a task that is run again leaves the same whole files."""
+    spark, job = labels.sparkSession, uuid.uuid4().hex
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    # Where Spark would write it; pyarrow wants a local file's two slashes.
+    target = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().toString()
+    target = re.sub("^file:/(?!/)", "file:///", target)
+
+    def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(target)
+        task, own, made = TaskContext.get().partitionId(), uuid.uuid4().hex, 0
+        held: dict[str | None, list[str]] = {}
+        folders: dict[str | None, str] = {}
+
+        def write(category: str | None) -> int:
+            if category not in folders:
+                folders[category] = root if category is None else f"{root}/{category}"
+                system.create_dir(folders[category], recursive=True)
+            with system.open_output_stream(f"{folders[category]}/.{own}") as out:
+                out.write("".join(f"{x}\n" for x in held.pop(category)).encode())
+            system.move(f"{folders[category]}/.{own}", f"{folders[category]}/part-{task:05d}-{made:08d}-{job}.json")
+            return made + 1
+
+        for batch in batches:
+            for category, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(category, []).append("" if body is None else body)
+                if len(held[category]) == per_file:
+                    made = write(category)
+        for category in list(held):
+            made = write(category)
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64())], names=["files"])
+
+    rows = labels.select(F.col("category").cast("string"), F.col("body").cast("string"))
+    # A file costs far more than a row's bytes, by which Spark makes its tasks.
+    rows.repartition(_parts(spark)).mapInArrow(tasks, "files bigint").write.format("noop").mode("overwrite").save()
+
+
 def read_images(spark: SparkSession, folder: str, pattern: str = "*.{png,jpg}") -> DataFrame:
     """``category, base_name, extension, image_path, length, content``; unused columns are not read."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)

@@ -9,6 +9,7 @@ from hashlib import md5
 from pathlib import Path
 from urllib.parse import urljoin
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from tabulark.functions.ordinal import owned_tables, shared_folder, with_global_
 from tabulark.functions.permutation import permuted
 from tabulark.functions.selection import smallest
 from tabulark.operators import harvest, runs, samples, sampling, text
+from tabulark.queries import ORACLES, QUERIES
 from tabulark.sources import files
 from tabulark.streaming import ingest
 
@@ -267,6 +269,45 @@ def test_appended_runs(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/x").count() == 2
 
 
+def test_many_labels_are_few_tasks(spark, tmp_path):
+    for i in range(400):
+        (tmp_path / f"scan/c{i % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"scan/c{i % 3}/{i}.json").write_bytes([b"", b"\xef\xbb\xbf{}", b'"\xff\xfe"', b'{"a": 1}\r\n\n'][i % 4])
+    found = files.read_labels(spark, f"file://{tmp_path}/scan")
+    assert found.rdd.getNumPartitions() <= 4
+    path = F.col("_metadata.file_path")
+    whole = spark.read.text(f"file://{tmp_path}/scan", wholetext=True, recursiveFileLookup=True).select(path.alias("label_path"), F.hex(F.col("value").cast("binary")))
+    assert sorted(found.select("label_path", F.hex(F.col("body").cast("binary"))).collect()) == sorted(whole.collect())
+
+
+def test_labels_written_one_a_file(spark, tmp_path):
+    rows = [(f"c{i % 3}" if i % 5 else None, f'{{"é": {i}}}') for i in range(300)] + [("none", None)]
+    labels = spark.createDataFrame(rows, "category string, body string")
+    for per_file in (1, 7):
+        files.write_labels(labels, f"file://{tmp_path}/a b/x", per_file)
+    lines, sizes = [], []
+    for path in (tmp_path / "a b").rglob("*"):
+        if path.is_file():
+            assert path.suffix == ".json"  # nothing half-written stays
+            body = path.read_text()
+            lines += [(None if path.parent.name == "x" else path.parent.name, x) for x in body.removesuffix("\n").split("\n")]
+            sizes.append(body.count("\n"))
+    assert sorted(lines, key=str) == sorted([(c, b or "") for c, b in rows] * 2, key=str)
+    assert sizes.count(1) >= 301 and max(sizes) == 7
+    got = files.read_labels(spark, f"file://{tmp_path}/a b/x", skip_root=True).where("body <> '\n'")
+    assert {r.category for r in got.collect()} == {"c0", "c1", "c2"}
+
+
+def test_label_scan_on_odd_suppliers(spark, tmp_path):
+    rows = [(i, f"S\n\"{i}\"" if i % 4 else None, i % 6 or None) for i in range(60)] + [(None, "x", 2), (7, "S", 3), (7, "S", 3)]
+    spark.createDataFrame(rows, "s_suppkey bigint, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    columns = "category, s_suppkey, named, name_md5"
+    got = [tuple(r) for r in QUERIES["label_scan"](spark, str(tmp_path)).selectExpr(*columns.split(", ")).collect()]
+    assert sorted(got, key=str) == sorted(con.sql(f"SELECT {columns} FROM ({ORACLES['label_scan']})").fetchall(), key=str)
+
+
 def test_arm_labels(spark):
     rows = spark.createDataFrame([(s, i) for s in (*text.ARM_STYLES, "none") for i in range(4)], "s string, i int")
     got = rows.select("s", text.arm_label(F.col("s"), F.col("i")).alias("x")).collect()
