@@ -35,7 +35,8 @@ CHUNK_BYTES = 4096
 #: Options to write archives as Parquet. Else the writer looks at sizes every 100 rows only, holds as many archives in one
 #: page, and whoever reads the file gets them at once; and it holds a least and a greatest archive until the file is closed.
 PARQUET = {"parquet.block.row.count.limit": "1", "parquet.column.statistics.enabled": "false", "parquet.enable.dictionary": "false"}
-BATCH_BYTES = 4 << 20
+#: What Python workers get and give at once.
+BATCH_BYTES = 1 << 20
 
 ARCHIVE = "archive string, content binary"
 _SEGMENT = pa.schema(
@@ -170,6 +171,10 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, segment
     return placed.mapInArrow(tasks, ARCHIVE)
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+
 def read_segments(archives: DataFrame) -> DataFrame:
     """One row per record: ``origin, segment`` (null: whole record), ``total, kind, page_id, refers_to, digest, size`` (of
     a revisit's payload), ``content``."""
@@ -177,13 +182,17 @@ def read_segments(archives: DataFrame) -> DataFrame:
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = []
+                rows, held = [], 0
                 for h, body in parse(content.as_py()):
                     origin = h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]).strip("<>")
                     number, total, length = (h.get(k) for k in ("WARC-Segment-Number", "WARC-Segment-Total-Length", "X-Payload-Length"))
                     rows.append((origin, number and int(number), total and int(total), h["WARC-Type"], _page_id(h.get("X-Page-ID")), _page_id(h.get("X-Refers-To-Page-ID")), h.get("WARC-Payload-Digest", "").removeprefix("sha1:"), length and int(length), body))
+                    held += len(body)
+                    if held >= BATCH_BYTES:
+                        yield _batch(rows, _SEGMENT)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SEGMENT.types, strict=True)], schema=_SEGMENT)
+                    yield _batch(rows, _SEGMENT)
 
     return archives.select("content").mapInArrow(tasks, SEGMENT)
 
@@ -215,9 +224,6 @@ def read_pages(archives: DataFrame) -> DataFrame:
 
     The digest of a response is computed from the payload read back, and must be the one in its header."""
 
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PAGE.types, strict=True)], schema=_PAGE)
-
     def tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, ids, refers, digests, sizes, copies = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 6))
@@ -234,10 +240,10 @@ def read_pages(archives: DataFrame) -> DataFrame:
                     rows.append((key, kind, refer, digest, size, payload))
                     held += len(payload or b"")
                     if held >= BATCH_BYTES:
-                        yield made(rows)
+                        yield _batch(rows, _PAGE)
                         rows, held = [], 0
             if rows:
-                yield made(rows)
+                yield _batch(rows, _PAGE)
 
     return reassemble(read_segments(archives)).mapInArrow(tasks, PAGE)
 
